@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.llm.sequences import both_sources
 
@@ -20,5 +21,14 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(both_sources(spark, sf_dir).drop("block"), "events", "gaps").withColumn("duration", F.round("duration", 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs}
+def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of three or four events that at least an eighth of the blocks hold, with the number of blocks."""
+    return frequent_patterns(both_sources(spark, sf_dir).withColumnRenamed("block", "entity"), 1 / 8)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_patterns(spark, sf_dir).select("src", "pattern")
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns}
 ORACLES: dict[str, str] = {}

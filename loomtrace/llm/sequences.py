@@ -24,11 +24,11 @@ def both_sources(spark: SparkSession, folder: str) -> DataFrame:
     traces = typed_traces(table(spark, folder, "event_traces"), names=names).select(
         F.lit("event_traces").alias("src"), "row_id", block_key(F.col("BlockId")).alias("block"), F.when(valid, F.col("_events")).alias("events"), F.when(valid, F.col("_gaps")).alias("gaps")
     )
-    blocks = table(spark, folder, "block_sequences").select(
+    blocks = table(spark, folder, "block_sequences").withColumn("_values", event_values(F.col("event_ids"))).select(
         F.lit("block_sequences").alias("src"),
         "row_id",
         block_key(F.col("block_id")).alias("block"),
-        event_numbers(event_values(F.col("event_ids")), names).alias("events"),
+        event_numbers(F.col("_values"), names).alias("events"),
         F.lit(None).cast("array<double>").alias("gaps"),
     )
     return traces.unionByName(blocks)

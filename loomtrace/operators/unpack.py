@@ -56,7 +56,9 @@ def typed_traces(
             }
         )
         .withColumn("_gap_sum", F.aggregate("_gaps", F.lit(0.0), lambda total, x: total + x))
-        .withColumn("_reasons", _reasons(F.col("_events"), F.col("_gaps"), F.col("_gap_sum"), F.col("_latency")))
+        # the condition always holds; depending on the partition, it keeps filters above from being pushed below, where
+        # every list would be read again at each place that names it
+        .withColumn("_reasons", F.when(F.spark_partition_id() >= 0, _reasons(F.col("_events"), F.col("_gaps"), F.col("_gap_sum"), F.col("_latency"))))
         .drop("_gap_sum")
     )
 
@@ -111,7 +113,7 @@ def typed_lines(df: DataFrame, line: str = "line", names: Sequence[int] | None =
 
 def rejected(typed: DataFrame) -> DataFrame:
     """The rows that break a rule, with their first ``reason``."""
-    return typed.withColumn("reason", F.get("_reasons", F.lit(0))).where(F.col("reason").isNotNull())
+    return typed.where(F.size("_reasons") > 0).withColumn("reason", F.get("_reasons", F.lit(0)))
 
 
 def accepted(typed: DataFrame) -> DataFrame:

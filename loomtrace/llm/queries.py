@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
-from loomtrace.llm.sequences import both_sources
+from loomtrace.llm.sequences import block_key, both_sources
+from loomtrace.llm.splits import grouped_splits, related_pairs, signature_key
+from loomtrace.sources.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +32,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_patterns(spark, sf_dir).select("src", "pattern")
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest row of each group of related records with each other row of the group."""
+    return related_pairs(table(spark, sf_dir, "block_sequences"), "row_id", signature_key(F.col("trace_signature")), block_key(F.col("block_id")))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every record of block_sequences."""
+    wanted = [(r["split"], r["share"]) for r in table(spark, sf_dir, "split_targets").orderBy("split").collect()]  # a fixed table of three rows
+    word = F.lower(F.trim("label"))
+    return grouped_splits(
+        table(spark, sf_dir, "block_sequences"), "row_id", F.when(word == "anomaly", True).when(word == "normal", False), wanted, signature_key(F.col("trace_signature")), block_key(F.col("block_id"))
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits}
 ORACLES: dict[str, str] = {}

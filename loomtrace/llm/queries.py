@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.llm.encode import encode
 from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.llm.sequences import block_key, both_sources
@@ -46,5 +47,10 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document's text."""
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p7_ids": p7_ids}
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.encode import encode
+from loomtrace.llm.neighbours import nearest_vectors
 from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.llm.sequences import block_key, both_sources
@@ -47,10 +48,21 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of every usable vector."""
+    return nearest_vectors(table(spark, sf_dir, "trace_vectors"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with cosine at least 0.9 of which one is among the five most similar of the other."""
+    near = p6_neighbours(spark, sf_dir).where("cosine >= 0.9")
+    return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document's text."""
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids}
 ORACLES: dict[str, str] = {}

@@ -45,50 +45,72 @@ def letters_of(events: Column) -> Column:
 class Sequences:
     """Sequences over a small alphabet with, for each place, where each item comes next."""
 
-    def __init__(self, codes: list[np.ndarray], units: np.ndarray, weights: np.ndarray, n_items: int):
-        length = max(map(len, codes))
-        rows = len(codes)
-        sizes = np.fromiter(map(len, codes), np.int64, rows)
-        grid = np.full((rows, length), -1, np.int16)
-        grid[np.arange(length) < sizes[:, None]] = np.concatenate(codes)
+    def __init__(self, grid: np.ndarray, units: np.ndarray | None, weights: np.ndarray, n_items: int):
+        """``grid``: items by row and place, -1 behind a sequence's end; ``units``: the unit of each row, ascending, or
+        None where each row is one."""
+        rows, length = grid.shape
         self.after = np.zeros((rows, length + 1, n_items), np.int32 if length > 30_000 else np.int16)
+        every = np.arange(rows)
         for place in range(length - 1, -1, -1):
-            self.after[:, place] = self.after[:, place + 1]
-            here = np.flatnonzero(grid[:, place] >= 0)
-            self.after[here, place, grid[here, place]] = place + 1
+            now = self.after[:, place]
+            now[:] = self.after[:, place + 1]
+            here = grid[:, place]
+            if (here >= 0).all():
+                now[every, here] = place + 1
+            else:
+                some = np.flatnonzero(here >= 0)
+                now[some, here[some]] = place + 1
         self.units, self.weights = units, weights
-        self.single = len(np.unique(units)) == rows
 
     def held(self, rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next place of each item after ``ends``, 0 for none, and the weight of the units that have it."""
         after = self.after[rows, ends]
         has = after > 0
-        if self.single:
+        if self.units is None:
             return after, self.weights[rows] @ has
         unit = self.units[rows]
         starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         return after, self.weights[rows[starts]] @ np.logical_or.reduceat(has, starts, axis=0)
 
 
-def _chunks(codes: list[np.ndarray], units: np.ndarray, weights: np.ndarray, n_items: int) -> Iterator[Sequences]:
-    """Sequences sorted by length in parts of bounded size; a unit's sequences stay together."""
-    if not codes:
-        return
-    first = np.r_[True, units[1:] != units[:-1]]
-    starts = np.flatnonzero(first)
-    lengths = np.fromiter(map(len, codes), np.int64, len(codes))
-    longest = np.maximum.reduceat(lengths, starts)
-    ends = np.r_[starts[1:], len(codes)]
-    several = ends - starts > 1
-    for group in (~several, several):
-        part: list[int] = []
-        for u in np.flatnonzero(group)[np.argsort(longest[group], kind="stable")]:
-            if part and (len(part) + ends[u] - starts[u]) * (longest[u] + 1) * n_items > TABLE_CELLS:
-                yield Sequences([codes[i] for i in part], units[part], weights[part], n_items)
-                part = []
-            part += range(starts[u], ends[u])
-        if part:
-            yield Sequences([codes[i] for i in part], units[part], weights[part], n_items)
+def _sequences(units: list[str], weights: np.ndarray, index: dict[str, int], needed: str | None, shortest: int) -> Iterator[Sequences]:
+    """The units' sequences, sorted by length, in parts of bounded size; units of several sequences stay together."""
+    table = np.full(128, -1, np.int16)
+    for letter, i in index.items():
+        table[ord(letter)] = i
+    n_items = len(index)
+
+    def grid(texts: list[str]) -> np.ndarray:
+        return table[np.array(texts, "S").view(np.uint8).reshape(len(texts), -1)]
+
+    single, several = [], []
+    for u, unit in enumerate(units):
+        (several if " " in unit else single).append(u)
+    if single:
+        texts = [units[u] for u in single]
+        own = np.asarray(weights, np.float64)[single]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(lengths, kind="stable")
+        order = order[np.searchsorted(lengths[order], shortest) :]
+        at = 0
+        while at < len(order):
+            fits = np.arange(1, len(order) - at + 1) * (lengths[order[at:]] + 1) * n_items <= TABLE_CELLS
+            part = order[at : at + max(1, int(fits.argmin()) if not fits.all() else len(fits))]
+            yield Sequences(grid([texts[i] for i in part]), None, own[part], n_items)
+            at += len(part)
+    texts, of, longest = [], [], 0
+    for u in sorted(several, key=lambda u: len(units[u])):
+        own_texts = [x for x in {*units[u].split(" ")} if len(x) >= shortest and (needed is None or needed in x)]
+        if not own_texts:
+            continue
+        longest = max(longest, *map(len, own_texts))
+        if texts and (len(texts) + len(own_texts)) * (longest + 1) * n_items > TABLE_CELLS:
+            yield Sequences(grid(texts), np.array(of), np.asarray(weights, np.float64)[of], n_items)
+            texts, of = [], []
+        texts += own_texts
+        of += [u] * len(own_texts)
+    if texts:
+        yield Sequences(grid(texts), np.array(of), np.asarray(weights, np.float64)[of], n_items)
 
 
 def _count(seqs: Sequences, pairs: np.ndarray, pivot: int, lengths: tuple[int, ...], found: dict[tuple[int, ...], float]) -> None:
@@ -117,20 +139,6 @@ def _count(seqs: Sequences, pairs: np.ndarray, pivot: int, lengths: tuple[int, .
     grow((), np.arange(n), np.zeros(n, np.int64), np.ones(pairs.shape[0], bool), pivot < 0)
 
 
-def _split_units(units: list[str], weights: np.ndarray, index: dict[str, int], needed: str | None, shortest: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    table = np.full(128, -1, np.int16)
-    for letter, i in index.items():
-        table[ord(letter)] = i
-    codes, of, w = [], [], []
-    for u, (unit, weight) in enumerate(zip(units, weights)):
-        for seq in {*unit.split(" ")} if " " in unit else (unit,):
-            if len(seq) >= shortest and (needed is None or needed in seq):
-                codes.append(table[np.frombuffer(seq.encode(), np.uint8)])
-                of.append(u)
-                w.append(weight)
-    return codes, np.array(of, np.int64), np.array(w, np.float64)
-
-
 def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     index = {x: i for i, x in enumerate(LETTERS)}
     n = len(LETTERS)
@@ -138,7 +146,7 @@ def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for src, part in batch.groupby("src"):
             sums = total.setdefault(src, np.zeros((n, n)))
-            for seqs in _chunks(*_split_units(part["unit"].tolist(), part["w"].to_numpy(), index, None, 2), n):
+            for seqs in _sequences(part["unit"].tolist(), part["w"].to_numpy(), index, None, 2):
                 rows = np.arange(len(seqs.after))
                 start = np.zeros(len(rows), np.int64)
                 first = seqs.after[rows, start]
@@ -217,8 +225,7 @@ def frequent_patterns(df: DataFrame, min_share: float, lengths: tuple[int, ...]
             texts, weights = waiting.pop(key)
             own = pd.Series(np.concatenate(weights)).groupby(np.concatenate(texts)).sum()
             index = {x: i for i, x in enumerate(alphabet[: pivot + 1])}
-            split = _split_units(own.index.tolist(), own.to_numpy(), index, alphabet[pivot], shortest)
-            for seqs in _chunks(*split, pivot + 1):
+            for seqs in _sequences(own.index.tolist(), own.to_numpy(), index, alphabet[pivot], shortest):
                 _count(seqs, pairs[: pivot + 1, : pivot + 1], pivot, lengths, found.setdefault(key, {}))
 
         for batch in batches:
@@ -262,7 +269,7 @@ def _heavy_counts(many: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
             for (src, entity), part in batch.groupby(["src", "entity"], sort=False):
                 found: dict[tuple[int, ...], float] = {}
                 texts = part["seq"].tolist()
-                for seqs in _chunks(*_split_units(texts, np.ones(len(texts)), index, None, min(lengths)), len(LETTERS)):
+                for seqs in _sequences(texts, np.ones(len(texts)), index, None, min(lengths)):
                     _count(seqs, pairs, -1, lengths, found)
                 if found:
                     yield pd.DataFrame({"src": src, "entity": entity, "pattern": ["".join(LETTERS[i] for i in p) for p in found]})

@@ -11,6 +11,7 @@ from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.llm.sequences import block_key, both_sources
 from loomtrace.llm.splits import grouped_splits, related_pairs, signature_key
+from loomtrace.llm.truncation import truncated_texts, truncation_by_source
 from loomtrace.sources.tables import table
 
 
@@ -64,5 +65,15 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text").where("cut").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts."""
+    return truncation_by_source(truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)))
+
+
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p9_found": p9_found, "p9_sources": p9_sources}
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.encode import encode
+from loomtrace.llm.mixing import language_key, mix_sources, topic_key
 from loomtrace.llm.neighbours import nearest_vectors
 from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
@@ -65,6 +66,24 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents").withColumns({"lang": language_key(F.col("lang")), "topic": topic_key(F.col("text"))})
+    sized = encode(documents, "doc_id", "text", only_count=True, keep=("source", "lang", "topic"))
+    weights = [tuple(r) for r in table(spark, sf_dir, "mix_weights").select("source", "target_weight", "max_repeats").collect()]  # a fixed table of eight rows
+    return mix_sources(sized, "doc_id", weights)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with their copies and their source's target and actual share."""
+    mixed, report = _mix(spark, sf_dir)
+    return mixed.join(F.broadcast(report.select("source", "target_share", "actual_share")), "source")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source of the mix."""
+    return _mix(spark, sf_dir)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut."""
     return truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text").where("cut").select("doc_id")
@@ -75,5 +94,5 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
 ORACLES: dict[str, str] = {}

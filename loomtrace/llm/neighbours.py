@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.llm.graph import Graph
+from loomtrace.session import shared_checkpoint
 
 #: Vectors of a shard, as intended; a shard of more than twice as many is split.
 SHARD = 8192
@@ -82,7 +83,6 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
     sampled = min(LARGEST_SAMPLE, wanted * SAMPLE_A_CENTRE)
     part = columns.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sampled))) == 0) if rows > sampled else columns
     _, sample = unit_rows(part.select("vector").toArrow().column(0).combine_chunks(), dims) if rows else ((), np.zeros((0, dims), np.float32))
-    result = "id long, neighbour long, cosine double, place int"
     if not len(sample):
         sample = np.eye(1, dims, dtype=np.float32)
     _, one_each = np.unique(_same(sample), return_index=True)
@@ -201,10 +201,15 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
             good, vectors = unit_rows(batch.column(1), dims)
             yield pa.RecordBatch.from_arrays([pa.array(_same(vectors), pa.binary()), batch.column(0).take(pa.array(good))], names=["key", "id"])
 
-    crowded = merged.where(F.size("own") > k).select("key", F.col("own").alias("first"))
+    named = columns.mapInArrow(copies_of, "key binary, id long")
+    crowded = shared_checkpoint(named.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("key"))
+    if crowded.isEmpty():
+        return listed
+    copies = named.join(crowded, "key")
+    first = copies.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= k + 1)
+    firsts = first.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("first"))
     more = (
-        columns.mapInArrow(copies_of, "key binary, id long")
-        .join(crowded, "key")
+        copies.join(firsts, "key")
         .where(~F.array_contains("first", F.col("id")))
         .select("id", F.posexplode(F.slice("first", 1, k)).alias("n", "neighbour"))
         .select("id", "neighbour", F.lit(1.0).alias("cosine"), (F.col("n") + 1).alias("place"))

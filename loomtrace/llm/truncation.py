@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.functions.packed import let
+from loomtrace.session import shared_checkpoint
+
 #: Characters by which segments are spread over tasks.
 HEAD = 8
 #: A last segment is an end of its own if it ends at least this share of the distinct texts, and this many, or as often
@@ -30,7 +33,10 @@ HEAD = 8
 END_SHARE, LEAST_ENDS = 2e-4, 3
 #: ... and if longer segments that start with it are at most this many times as frequent.
 LONGER = 20.0
-# What systems put after a cut.
+#: Characters at the end in which a cut mark is looked for.
+MARK_SPACE = 80
+# Blanks, what systems put after a cut.
+BLANKS = " \t\r\n\f\u000b\u00a0\u3000\u2028\u2029"
 CUT_MARK = r"(?s)(?:\s*\[\+[^\]\n]{0,40}\]?|\s*\[?(?:\.{2,}|…)\]?(?:\s*\[?(?:\.{2,}|…)\]?)*|\s*[\[(<](?:truncated|cut off|cut|snip|more|continued)[^\n]{0,40})\z"
 #: Something to see, so that a text is not blank.
 VISIBLE = r"[^\s\p{Z}\p{C}]"
@@ -42,6 +48,16 @@ def source_key(source: Column) -> Column:
     return F.nullif(F.replace(F.lower(F.btrim(source, F.lit(" \t\r\n"))), F.lit("-"), F.lit("_")), F.lit(""))
 
 
+def _trimmed(text: Column) -> Column:
+    """A text without the blanks at its end and without characters that format only."""
+    return F.rtrim(F.regexp_replace(text, r"\p{Cf}", ""), F.lit(BLANKS))
+
+
+def _unmarked(text: Column) -> Column:
+    """A text without blanks at its end and without what was put after a cut, which stands in the last characters."""
+    return let(_trimmed(text), lambda t: F.concat(F.left(t, F.greatest(F.length(t) - MARK_SPACE, F.lit(0))), F.regexp_replace(F.right(t, F.least(F.length(t), F.lit(MARK_SPACE))), CUT_MARK, "")))
+
+
 def _segments(text: Column) -> Column:
     """Masked segments of a text, in order. Line ends with blanks beside them are blanks."""
     clean = F.regexp_replace(F.regexp_replace(text, r"[\p{Cf}\u0000]", ""), r"\p{Nd}+", "0")
@@ -86,47 +102,52 @@ def truncated_texts(df: DataFrame, key: str, text: str, keep: tuple[str, ...] =
     ``cut`` is false for null, empty and blank texts. Copies of a text get the same answer. Texts of any length are
     used whole. An empty table gives no row."""
     rows = df.select(key, *keep, F.col(text).alias("_text"))
-    trimmed = F.regexp_replace(F.regexp_replace("_text", r"[\p{Cf}]", ""), r"[\s\p{Z}]+\z", "")
-    unmarked = F.regexp_replace(trimmed, CUT_MARK, "")
+    full = F.coalesce(F.col("_text").rlike(VISIBLE), F.lit(False))
+    once = F.spark_partition_id() >= 0  # always true; keeps filters of later steps from repeating the segmentation
     of_text = (
-        rows.select("_text").where(F.col("_text").isNotNull() & F.col("_text").rlike(VISIBLE)).groupBy("_text").agg(F.lit(1).alias("one"))
-        .select(F.xxhash64("_text").alias("h"), _segments(unmarked).alias("segments"), unmarked.rlike(CLOSED).alias("closed"))
+        rows.where(full).groupBy("_text").agg(F.lit(1).alias("one"))
+        .select(F.when(once, _segments(_unmarked(F.col("_text")))).alias("segments"))
     )
-    last = F.size("segments") - 1
-    each = of_text.select(last.alias("last"), F.posexplode("segments").alias("at", "segment")).where("segment <> ''")
-    counted = each.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(F.col("at") == F.col("last")).alias("ends"))
-    opened = counted.where((F.col("ends") == 0) | ~F.col("segment").rlike(CLOSED)).unionByName(counted.where((F.col("ends") > 0) & F.col("segment").rlike(CLOSED)).withColumn("ends", F.lit(0).cast("long")))
-    head = F.left("segment", F.lit(HEAD))
+    each = of_text.select((F.size("segments") - 1).alias("last"), F.posexplode("segments").alias("at", "segment"))
+    counted = shared_checkpoint(each.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(F.col("at") == F.col("last")).alias("ends")))
+    n_texts = counted.agg(F.sum("ends")).first()[0] or 0
+    least = max(float(LEAST_ENDS), end_share * n_texts)
+    opened = counted.where("segment <> ''").withColumn("ends", F.when(F.col("segment").rlike(CLOSED), 0).otherwise(F.col("ends")))
     long_ones = (
-        opened.where(F.length("segment") >= HEAD).withColumn("head", head).repartition("head").sortWithinPartitions("segment").select("segment", "n", "ends")
+        opened.where(F.length("segment") >= HEAD).repartition(F.left("segment", F.lit(HEAD))).sortWithinPartitions("segment").select("segment", "n", "ends")
         .mapInArrow(_longer_counts, "segment string, n long, ends long, longer long")
     )
-    short = opened.where((F.length("segment") < HEAD) & (F.col("ends") > 0))
     prefixes = (
-        opened.select("n", F.length("segment").alias("size"), F.explode(F.sequence(F.lit(1), F.lit(HEAD - 1))).alias("k"), "segment")
-        .where("size > k").groupBy(F.left("segment", F.col("k")).alias("segment")).agg(F.sum("n").alias("longer"))
+        opened.select("n", "segment", F.explode(F.sequence(F.lit(1), F.lit(HEAD - 1))).alias("k")).where(F.length("segment") > F.col("k"))
+        .groupBy(F.left("segment", F.col("k")).alias("segment")).agg(F.sum("n").alias("longer"))
     )
+    short = opened.where((F.length("segment") < HEAD) & (F.col("ends") > 0))
     short_ones = short.join(prefixes, "segment", "left").select("segment", "n", "ends", F.coalesce("longer", F.lit(0)).alias("longer"))
-    texts = of_text.agg(F.count("*").alias("texts"))
-    least = F.greatest(F.lit(float(LEAST_ENDS)), F.lit(end_share) * F.col("texts"))
-    verdict = (
-        long_ones.unionByName(short_ones).join(F.broadcast(texts))  # one row
-        .select("segment", F.when(F.col("longer") > F.col("n") * LONGER, "cut").when(F.col("n") >= least, "whole").when(F.col("longer") > 0, "cut").otherwise("unknown").alias("verdict"))
+    kind = (
+        F.when(F.col("longer") > F.col("n") * LONGER, "cut").when(F.col("n") >= least, "whole").when(F.col("longer") > 0, "cut").otherwise("unknown")
     )
+    verdict = shared_checkpoint(long_ones.unionByName(short_ones).select("segment", kind.alias("verdict")))
     # a segment like no other may still end as whole ones do
     tail = F.regexp_extract("segment", r"(\S+ \S+)\z", 1)
     tails = verdict.where("verdict = 'whole'").select(tail.alias("tail")).where("tail <> ''").distinct().withColumn("known", F.lit(True))
-    verdict = (
+    bad = (
         verdict.withColumn("tail", F.when(F.col("verdict") == "unknown", tail)).join(tails, "tail", "left")
-        .select("segment", (F.col("verdict") != "whole") & F.col("known").isNull()).toDF("segment", "bad")
+        .select("segment", ((F.col("verdict") != "whole") & F.col("known").isNull()).alias("bad"))
     )
-    marked = F.length(unmarked) < F.length(trimmed)
-    asked = rows.select(
-        key, *keep, F.element_at(_segments(unmarked), -1).alias("segment"), (F.coalesce(F.col("_text").rlike(VISIBLE), F.lit(False))).alias("full"), marked.alias("marked"), unmarked.rlike(CLOSED).alias("closed")
+    end = F.when(
+        full,
+        let(
+            _unmarked(F.col("_text")),
+            lambda t: F.struct(
+                t.rlike(CLOSED).alias("closed"),
+                (F.length(t) < F.length(_trimmed(F.col("_text")))).alias("marked"),
+                F.when(~t.rlike(CLOSED), F.element_at(_segments(t), -1)).alias("segment"),
+            ),
+        ),
     )
-    needs = asked.withColumn("segment", F.when(F.col("full") & ~F.col("closed"), F.col("segment")))
-    cut = F.col("full") & F.when(F.col("closed"), F.col("marked")).otherwise(F.coalesce("bad", F.lit(True)))
-    return needs.join(verdict, "segment", "left").select(key, *keep, cut.alias("cut"))
+    asked = rows.select(key, *keep, F.when(once, end).alias("end")).withColumn("segment", F.col("end.segment"))
+    cut = F.when(F.col("end").isNull(), False).when(F.col("end.closed"), F.col("end.marked")).otherwise(F.coalesce("bad", F.lit(True)))
+    return asked.join(bad, "segment", "left").select(key, *keep, cut.alias("cut"))
 
 
 def truncation_by_source(found: DataFrame, source: str = "source") -> DataFrame:

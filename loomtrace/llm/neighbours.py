@@ -112,16 +112,23 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
             sims = vectors @ centres.T
             best = np.argpartition(-sims, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.broadcast_to(np.arange(len(centres)), sims.shape)
             best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1), 1)
-            made: dict[str, list] = {c: [] for c in ("leaf", "part", "chunk", "home", "asked", "node")}
-            for node, leaves in enumerate(best.tolist()):
-                hashed = int.from_bytes(names[node][:8], "little")
-                for place, leaf in enumerate(leaves):
-                    own_part, own_chunk = hashed % int(parts[leaf]), (hashed >> 20) % int(chunks[leaf])
-                    for p in range(int(parts[leaf])):
-                        home = place == 0 and p == own_part
-                        for c in range(int(chunks[leaf])) if home else (own_chunk,):
-                            for name, x in zip(made, (leaf, p, c, home, c == own_chunk, node)):
-                                made[name].append(x)
+            node, leaf = np.repeat(np.arange(len(names)), best.shape[1]), best.ravel()
+            place = np.tile(np.arange(best.shape[1]), len(names))
+            plain = (parts[leaf] == 1) & (chunks[leaf] == 1)
+            made = {
+                "leaf": leaf[plain], "part": np.zeros(plain.sum(), np.int32), "chunk": np.zeros(plain.sum(), np.int32),
+                "home": place[plain] == 0, "asked": np.ones(plain.sum(), bool), "node": node[plain],
+            }
+            more: dict[str, list] = {c: [] for c in made}
+            for n, at, l in zip(node[~plain].tolist(), place[~plain].tolist(), leaf[~plain].tolist()):
+                hashed = int.from_bytes(names[n][:8], "little")
+                own_part, own_chunk = hashed % int(parts[l]), (hashed >> 20) % int(chunks[l])
+                for p in range(int(parts[l])):
+                    home = at == 0 and p == own_part
+                    for c in range(int(chunks[l])) if home else (own_chunk,):
+                        for name, x in zip(more, (l, p, c, home, c == own_chunk, n)):
+                            more[name].append(x)
+            made = {c: np.concatenate([made[c], np.array(more[c], made[c].dtype)]) for c in made}
             take = pa.array(made["node"], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -136,46 +143,44 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
 
     def look_up(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        names = np.array([x.ljust(16, b"\0") for x in table["key"].to_pylist()], "V16")
-        home, asked = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "asked"))
+        names = np.frombuffer(b"".join(table["key"].to_pylist()), "S16")
+        home, asked = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("home", "asked"))
         vectors = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float32).reshape(-1, dims)
-        copies = table["ids"].to_pylist()
-        node_of: dict[bytes, int] = {}
-        members: list[list[int]] = []
-        at: list[int] = []
-        for i in np.flatnonzero(home).tolist():
-            name = names[i].tobytes()
-            if name in node_of:
-                members[node_of[name]] += copies[i]
-            else:
-                node_of[name] = len(at)
-                at.append(i)
-                members.append(list(copies[i]))
-        members = [sorted(x)[: k + 1] for x in members]
-        query_names: dict[bytes, int] = {}
-        for i in np.flatnonzero(asked).tolist():
-            query_names.setdefault(names[i].tobytes(), i)
-        keys, places = list(query_names), np.fromiter(query_names.values(), np.int64, len(query_names))
-        own = np.array([node_of.get(x, -1) for x in keys], np.int64)
-        found_ids: list[list[int]] = [[] for _ in keys]
-        found_sims: list[list[float]] = [[] for _ in keys]
-        if at and keys:
-            graph = Graph(vectors[at])
-            for here, group in ((True, np.flatnonzero(own >= 0)), (False, np.flatnonzero(own < 0))):
-                if not len(group):
-                    continue
-                nodes, sims = graph.search(vectors[places[group]], max(width, k + 1), own[group] if here else None)
-                for q, row, sim, mine in zip(group.tolist(), nodes[:, : k + 1].tolist(), sims[:, : k + 1].tolist(), own[group].tolist()):
-                    for node, s in zip(row, sim):
-                        if node >= 0 and node != mine:
-                            found_ids[q] += members[node]
-                            found_sims[q] += [s] * len(members[node])
+        copies = table["ids"].combine_chunks().take(pa.array(home))
+        sizes = pc.list_value_length(copies).to_numpy(zero_copy_only=False)
+        node_names, at, node_of_row = np.unique(names[home], return_index=True, return_inverse=True)
+        # the ids of each node's copies, ascending, padded by -1
+        order = np.lexsort((copies.flatten().to_numpy(zero_copy_only=False), np.repeat(node_of_row, sizes)))
+        flat = copies.flatten().to_numpy(zero_copy_only=False)[order]
+        node = np.repeat(node_of_row, sizes)[order]
+        slot = np.arange(len(node)) - np.searchsorted(node, node)
+        members = np.full((len(at), k + 1), -1, np.int64)
+        few = slot <= k
+        members[node[few], slot[few]] = flat[few]
+        asked_names, first = np.unique(names[asked], return_index=True)
+        own = np.searchsorted(node_names, asked_names)
+        own = np.where((own < len(at)) & (node_names[np.minimum(own, max(len(at) - 1, 0))] == asked_names), own, -1) if len(at) else np.full(len(first), -1)
+        found = np.full((len(first), k + 1), -1, np.int64)
+        sims = np.zeros((len(first), k + 1), np.float32)
+        if len(at) and len(first):
+            graph = Graph(vectors[home[at]])
+            for here in (True, False):
+                group = np.flatnonzero((own >= 0) == here)
+                if len(group):
+                    nodes, near = graph.search(vectors[asked[first[group]]], max(width, k + 1), own[group] if here else None)
+                    found[group], sims[group] = nodes[:, : k + 1], near[:, : k + 1]
+        ids = members[np.maximum(found, 0)] if len(at) else np.full((*found.shape, k + 1), -1)
+        shown = (ids >= 0) & ((found >= 0) & (found != own[:, None]))[:, :, None]
+        offsets = pa.array(np.r_[0, np.cumsum(shown.sum((1, 2)))].astype(np.int32))
+        own_ids = [None] * len(first)
+        for q in np.flatnonzero(own >= 0).tolist():
+            own_ids[q] = [x for x in members[own[q]].tolist() if x >= 0]
         return pa.table(
             {
-                "key": pa.array(keys, pa.binary()),
-                "ids": pa.array([x[: 2 * k] for x in found_ids], pa.list_(pa.int64())),
-                "sims": pa.array([x[: 2 * k] for x in found_sims], pa.list_(pa.float32())),
-                "own": pa.array([members[n] if n >= 0 else None for n in own.tolist()], pa.list_(pa.int64())),
+                "key": pa.array([x.ljust(16, b"\0") for x in asked_names.tolist()], pa.binary()),
+                "ids": pa.ListArray.from_arrays(offsets, pa.array(ids[shown])),
+                "sims": pa.ListArray.from_arrays(offsets, pa.array(np.broadcast_to(sims[:, :, None], ids.shape)[shown])),
+                "own": pa.array(own_ids, pa.list_(pa.int64())),
             }
         )
 

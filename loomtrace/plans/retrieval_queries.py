@@ -103,8 +103,7 @@ _JACCARD = "len(list_intersect(a, b)) / (len(list_distinct(a)) + len(list_distin
 _LCS = """list_reduce(a, lambda row_, x: list_reduce(range(1, len(b) + 1), lambda made, j: list_append(made, CASE WHEN b[j] = x THEN row_[j] + 1 ELSE greatest(row_[j + 1], made[j]) END), [0::BIGINT]), list_transform(range(0, len(b) + 1), lambda i: 0::BIGINT))[len(b) + 1] / greatest(len(a), len(b))"""
 _RANKED = " ranked AS (SELECT block_id, base_id, score, row_number() OVER (PARTITION BY block_id ORDER BY score DESC, base_id)::INT AS rank FROM scored) SELECT block_id, base_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 3"
 query("jaccard_topk", _BASE + f" scored AS (SELECT block_id, base_id, round({_JACCARD}, 9) AS score FROM q, base)," + _RANKED)(lambda s, d: _structure_top(s, d, (0, 1.0, 0)))
-query("lcs_topk")(lambda s, d: _structure_top(s, d, (0, 0, 1.0)))
-query("hybrid_topk")(lambda s, d: _structure_top(s, d, (0.5, 0.2, 0.3), vector=True))
+query("lcs_topk", _BASE + f" scored AS (SELECT block_id, base_id, round({_LCS}, 9) AS score FROM q, base)," + _RANKED)(lambda s, d: _structure_top(s, d, (0, 0, 1.0)))
 
 
 @query("jaccard_columns", _BASE + f" scored AS (SELECT block_id, base_id, round({_JACCARD}, 6) AS score FROM q, base) SELECT * FROM scored")
@@ -122,6 +121,10 @@ query("gram_cosine_topk", _BASE + _GRAMS + """ dots AS (SELECT x.id AS block_id,
  scored AS (SELECT q.block_id, base.base_id, round((least(1, coalesce(dot, 0) / nq.norm / nb.norm) + 1) / 2, 9) AS score FROM q JOIN base ON true LEFT JOIN dots ON dots.block_id = q.block_id AND dots.base_id = base.base_id
    JOIN norms nq ON nq.id = q.block_id JOIN norms nb ON nb.id = base.base_id),""" + _RANKED)(lambda s, d: _structure_top(s, d, (1.0, 0, 0), vector=True))
 
+query("hybrid_topk", _BASE + _GRAMS + f""" dots AS (SELECT x.id AS block_id, y.id AS base_id, sum(x.n * y.n) AS dot FROM cells x JOIN cells y USING (bucket) WHERE x.id IN (SELECT block_id FROM q) AND y.id IN (SELECT base_id FROM base) GROUP BY ALL),
+ scored AS (SELECT q.block_id, base.base_id, round(0.5::DOUBLE * (least(1, coalesce(dot, 0) / nq.norm / nb.norm) + 1) / 2 + 0.2::DOUBLE * {_JACCARD} + 0.3::DOUBLE * {_LCS}, 9) AS score FROM q JOIN base ON true LEFT JOIN dots ON dots.block_id = q.block_id AND dots.base_id = base.base_id
+   JOIN norms nq ON nq.id = q.block_id JOIN norms nb ON nb.id = base.base_id),""" + _RANKED)(lambda s, d: _structure_top(s, d, (0.5, 0.2, 0.3), vector=True))
+
 query("fixed_selection_sweep", _TOP + ", ks AS (SELECT unnest(range(1, 11))::INT AS k) SELECT vec_id, k, count(*) AS contexts, count(*) FILTER (label = 'ANOMALY') AS anomalies, round(avg(score), 6) AS mean_score FROM ranked JOIN ks ON rank <= k GROUP BY ALL")(
     lambda s, d: R.select_fixed(_ranked(s, d), SWEEP).groupBy("vec_id", "k").agg(F.count("*").alias("contexts"), F.count_if(F.col("label") == "ANOMALY").alias("anomalies"), F.round(F.avg("score"), 6).alias("mean_score"))
 )

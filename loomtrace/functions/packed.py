@@ -34,7 +34,7 @@ _SEP_CLASS = "[" + SEPARATORS.replace("\\", "\\\\").replace("&", "\\&") + "]"
 #: A separator between the letter E and a number is that event id's punctuation.
 _SEPARATOR = rf"{_BLANK}*(?:{'|'.join(ARROWS)}|(?!(?<=[Ee]){_SEP_CLASS}\d){_SEP_CLASS}){_BLANK}*|{_BLANK}+"
 _PAIRED_LITERAL = rf"([\"'`]+)[^{QUOTES}]*\1|[“„][^{QUOTES}]*[”“]|[‘‚][^{QUOTES}]*[’‘]|«[^{QUOTES}]*»"
-_LITERAL, _SPLIT = "\u0001", "\u0002"
+_LITERAL, _SPLIT, _NO_VALUE = "\u0001", "\u0002", "?"
 _EVENT = rf"^{_LITERAL}?{_BLANK}*[Ee][\p{{P}}\p{{S}}&&[^\[\](){{}}<>{QUOTES}]]*0*([1-9][0-9]?){_BLANK}*{_LITERAL}?\z"
 _NUMBER = rf"^{_LITERAL}?{_BLANK}*(\+?[0-9]+\.?[0-9]*|\+?\.[0-9]+|-0+\.?0*){_BLANK}*{_LITERAL}?\z"
 
@@ -45,7 +45,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _general(text: Column, value_pattern: str, prefix: str) -> Column:
-    """Values of any packing, each in plain spelling or without digits where it is no value, joined by commas; null
+    """Values of any packing, each in plain spelling or ``?`` where it is no value, joined by commas; null
     where brackets or quotes are unpaired."""
 
     def of_inner(inner: Column) -> Column:
@@ -59,7 +59,7 @@ def _general(text: Column, value_pattern: str, prefix: str) -> Column:
                 ),
                 "",
             )
-            values = F.transform(F.split(marked, _SPLIT, -1), lambda v: F.concat(F.lit(prefix), F.regexp_extract(v, value_pattern, 1)))
+            values = F.transform(F.split(marked, _SPLIT, -1), lambda v: let(F.regexp_extract(v, value_pattern, 1), lambda x: F.when(x == "", _NO_VALUE).otherwise(F.concat(F.lit(prefix), x))))
             return (
                 F.when(F.size(pieces) % 2 == 0, F.lit(None).cast("string"))
                 .when((F.size(pieces) > 1) & F.regexp_replace(inner, _PAIRED_LITERAL, "").rlike(_QUOTE), F.lit(None).cast("string"))
@@ -83,7 +83,7 @@ def _general(text: Column, value_pattern: str, prefix: str) -> Column:
 
 def event_values(text: Column) -> Column:
     """The ids of a packed list of event ids as one comma-joined text of ``E<number>``; null where the text is null
-    or its brackets or quotes are unpaired, an id without digits where a value is no event id, '' for no value."""
+    or its brackets or quotes are unpaired, ``?`` where a value is no event id, '' for no value."""
     body = text.substr(F.lit(2), F.length(text) - 2)
     bare = F.replace(F.replace(text.substr(F.lit(3), F.length(text) - 4), F.lit('", "'), F.lit(",")), F.lit('","'), F.lit(","))
     json_like = text.rlike(r'^\["[E0-9", ]*"\]\z')
@@ -95,7 +95,7 @@ def event_values(text: Column) -> Column:
 
 
 def number_values(text: Column) -> Column:
-    """The numbers of a packed list, joined by commas; null and empty as in `event_values`, '' for a value that is no
+    """The numbers of a packed list, joined by commas; null, empty and ``?`` as in `event_values`, for values that are no
     decimal number of at least 0."""
     body = text.substr(F.lit(2), F.length(text) - 2)
     return F.when(text.rlike(r"^\[[0-9.,]*\]\z"), body).when(text.isNotNull(), _general(text, _NUMBER, ""))

@@ -62,8 +62,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A CSV table that `read_csv` reads back; arrays must be JSON texts. Null and empty text stay apart."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"', nullValue="", emptyValue='""').csv(path)
+    """A CSV table that `read_csv` reads back; arrays must be JSON texts. Null and empty text both come back as null."""
+    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

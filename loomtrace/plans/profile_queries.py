@@ -82,10 +82,15 @@ _STATS = T + """,
  sizes AS (SELECT count(*) FILTER (label = 'Normal') AS nn, count(*) FILTER (label = 'Anomaly') AS na FROM traces),
  final AS (SELECT stats.*, round(blocks_normal / nn, 9) AS prevalence_normal, round(blocks_anomaly / na, 9) AS prevalence_anomaly, round(blocks_anomaly / na - blocks_normal / nn, 9) AS prevalence_difference FROM stats, sizes)
  SELECT * FROM final"""
-_rounded = {c: F.round(c, 9) for c in ("prevalence_normal", "prevalence_anomaly", "prevalence_difference")}
-query("event_statistics", _STATS)(lambda s, d: P.event_statistics(traces(s, d)).withColumns(_rounded))
+
+
+def _event_statistics(s, d):
+    return P.event_statistics(traces(s, d)).withColumns({c: F.round(c, 9) for c in ("prevalence_normal", "prevalence_anomaly", "prevalence_difference")})
+
+
+query("event_statistics", _STATS)(_event_statistics)
 query("top_prevalence_difference", _STATS + " ORDER BY abs(prevalence_difference) DESC, event_id LIMIT 12")(
-    lambda s, d: P.largest_differences(P.event_statistics(traces(s, d)).withColumns(_rounded), "prevalence_difference")
+    lambda s, d: P.largest_differences(_event_statistics(s, d), "prevalence_difference")
 )
 query("occurrence_long", T + " SELECT block_id, event_id, count(*) AS n FROM (SELECT block_id, unnest(event_ids) AS event_id FROM traces) GROUP BY ALL")(lambda s, d: P.occurrences(traces(s, d)))
 _EVENTS = [f"E{i}" for i in range(1, 30)]

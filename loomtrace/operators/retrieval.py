@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions.sequences import gram_bucket, ngrams
+from loomtrace.functions.vectors import unit, vector_key
+
 MOST_QUERIES = 20_000
 #: Scores are ranked after rounding, so that equal scores tie whatever the order of summation.
 DECIMALS = 9
@@ -43,9 +46,20 @@ def lcs_scores(query: Sequence, candidates: Sequence[Sequence]) -> np.ndarray:
     return np.array([1.0 if not n and not len(c) else lcs_length(masks, n, c) / max(n, len(c)) for c in candidates])
 
 
-def jaccard_scores(query: Sequence, candidates: Sequence[frozenset]) -> np.ndarray:
-    own = frozenset(query)
-    return np.array([len(own & c) / len(own | c) if own or c else 1.0 for c in candidates])
+def jaccard_scores(queries: Sequence[Sequence], candidates: Sequence[Sequence]) -> np.ndarray:
+    """Share of common distinct events of every query with every candidate, from incidence matrices; 1 for two empty
+    sequences."""
+    places: dict = {}
+    sides = []
+    for sequences in (queries, candidates):
+        sides.append([[places.setdefault(e, len(places)) for e in {*s}] for s in sequences])
+    held = [np.zeros((len(side), len(places)), np.float32) for side in sides]
+    for matrix, side in zip(held, sides):
+        for row, events in zip(matrix, side):
+            row[events] = 1
+    common = held[0] @ held[1].T
+    either = held[0].sum(1)[:, None] + held[1].sum(1)[None, :] - common
+    return np.where(either > 0, common.astype(float) / np.maximum(either, 1), 1.0)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -80,7 +94,10 @@ def block_top(queries: DataFrame, base: DataFrame, k: int, score: Callable[[pd.D
         rows = [(ids[q], i, -s) for q, found in enumerate(best) for s, i in found]
         yield pd.DataFrame(rows, columns=[*names, "score"])
 
-    part = base.mapInPandas(run, f"`{names[0]}` {kinds[query_id]}, `{names[1]}` {kinds[base_id]}, score double")
+    spark = base.sparkSession
+    # scoring costs far more than moving a row, so even a small base is spread over all cores
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = base.repartition(parts, base_id).mapInPandas(run, f"`{names[0]}` {kinds[query_id]}, `{names[1]}` {kinds[base_id]}, score double")
     rank = F.row_number().over(Window.partitionBy(names[0]).orderBy(F.desc("score"), names[1]))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -92,20 +109,20 @@ def cosine_block(query_vector: str, base_vector: str) -> Callable[[pd.DataFrame,
     return score
 
 
-def structure_block(events: str, vector: str | None, weights: tuple[float, float, float]) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
-    """Weighted sum of the cosine moved to 0..1, the Jaccard share of distinct events and the LCS share of the order.
-    Parts of weight 0 are not computed."""
+def structure_block(events: str, weights: tuple[float, float, float]) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
+    """Weighted sum of the cosine of `gram_cells` moved to 0..1, the Jaccard share of distinct events and the LCS share
+    of the order. Parts of weight 0 are not computed."""
 
     def score(asked: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
         total = np.zeros((len(asked), len(block)))
         if weights[0]:
-            total += weights[0] * np.clip((cosine_block(vector, vector)(asked, block) + 1) / 2, 0, 1)
+            near = np.clip(dense_rows(asked["cells"], asked["weights"]) @ dense_rows(block["cells"], block["weights"]).T, -1, 1)
+            total += weights[0] * (near + 1) / 2
         sequences = [tuple(x) for x in block[events]]
-        sets = [frozenset(x) for x in sequences]
-        for q, own in enumerate(asked[events]):
-            if weights[1]:
-                total[q] += weights[1] * jaccard_scores(own, sets)
-            if weights[2]:
+        if weights[1]:
+            total += weights[1] * jaccard_scores([tuple(x) for x in asked[events]], sequences)
+        if weights[2]:
+            for q, own in enumerate(asked[events]):
                 total[q] += weights[2] * lcs_scores(tuple(own), sequences)
         return total
 
@@ -116,17 +133,23 @@ def valid_weights(weights: Sequence[float]) -> bool:
     return len(weights) == 3 and all(np.isfinite(w) and w >= 0 for w in weights) and abs(sum(weights) - 1) < 1e-9
 
 
-def gram_vectors(df: DataFrame, events: str, buckets: int = 1024, binary: bool = False, out: str = "vector") -> DataFrame:
-    """Dense unit vectors of hashed n-grams; ``binary`` counts a place once. All in column expressions."""
-    from loomtrace.functions.sequences import gram_bucket, ngrams
-    from loomtrace.functions.vectors import unit
+def gram_cells(df: DataFrame, events: str, buckets: int = 1024, binary: bool = False) -> DataFrame:
+    """Hashed n-grams of each row as a sparse unit vector: ``cells`` ARRAY<INT>, ascending, and ``weights``
+    ARRAY<DOUBLE>. ``binary`` counts a cell once. All in column expressions."""
+    places = F.array_sort(F.transform(ngrams(F.col(events)), lambda g: gram_bucket(g, buckets)))
+    counted = df.withColumn("_places", F.when(F.spark_partition_id() >= 0, places)).withColumn("cells", F.array_distinct("_places"))
+    # in sorted places a cell's count is the way from its first place to the next cell's
+    first = lambda k: F.coalesce(F.array_position("_places", F.get("cells", k)), F.size("_places") + 1)
+    count = F.transform("cells", lambda _, k: F.lit(1.0) if binary else (first(k + 1) - first(k)).cast("double"))
+    return counted.withColumn("weights", unit(count)).drop("_places")
+
 
-    places = F.transform(ngrams(F.col(events)), lambda g: gram_bucket(g, buckets))
-    counted = df.withColumn("_places", F.when(F.spark_partition_id() >= 0, places))
-    count = lambda i: F.size(F.filter("_places", lambda p: p == i))
-    used = F.map_from_entries(F.transform(F.array_distinct("_places"), lambda i: F.struct(i.alias("k"), (F.lit(1.0) if binary else count(i).cast("double")).alias("v"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.element_at("_used", i), F.lit(0.0)))
-    return counted.withColumn("_used", used).withColumn(out, unit(dense)).drop("_places", "_used")
+def dense_rows(cells: pd.Series, weights: pd.Series, buckets: int = 1024) -> np.ndarray:
+    sizes = np.fromiter(map(len, cells), np.int64, len(cells))
+    dense = np.zeros((len(cells), buckets))
+    if sizes.sum():
+        dense[np.repeat(np.arange(len(cells)), sizes), np.concatenate(cells.to_list()).astype(np.int64)] = np.concatenate(weights.to_list())
+    return dense
 
 
 def knn_votes(ranked: DataFrame, query_id: str, ks: Sequence[int]) -> DataFrame:
@@ -161,8 +184,6 @@ def score_quantiles(ranked: DataFrame, pool: int, quantiles: Sequence[float] = (
 def vector_audit(queries: DataFrame, base: DataFrame, query_id: str, vector: str, decimals: int = 7) -> DataFrame:
     """Queries whose vector, rounded, occurs in the base: with the number of such rows of each label and the smallest
     id. An equality join on the rounded vector; queries without a match keep nulls."""
-    from loomtrace.functions.vectors import vector_key
-
     groups = base.groupBy(vector_key(F.col(vector), decimals).alias("_key")).agg(
         F.count("*").alias("matches"), F.count_if(F.col("label") == "ANOMALY").alias("anomaly_matches"), F.count_if(F.col("label") == "NORMAL").alias("normal_matches"), F.min("base_id").alias("first_match")
     )

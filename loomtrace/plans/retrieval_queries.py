@@ -56,7 +56,7 @@ query("cosine_columns", _TOP + " SELECT vec_id, base_id, round(score, 6) AS scor
 def _column_scores(s: SparkSession, d: str) -> DataFrame:
     queries, base = _vectors(s, d)
     asked = queries.select("vec_id", unit(F.col("embedding")).alias("q"))  # a stated query set against all rows
-    return base.select(F.col("vec_id").alias("base_id"), unit(F.col("embedding")).alias("b")).join(F.broadcast(asked), F.col("vec_id") != F.col("base_id")).select("vec_id", "base_id", F.round(cosine(F.col("q"), F.col("b")), 6).alias("score"))
+    return base.select(F.col("vec_id").alias("base_id"), unit(F.col("embedding")).alias("b")).join(F.broadcast(asked), F.col("vec_id") != F.col("base_id")).select("vec_id", "base_id", F.round(F.round(cosine(F.col("q"), F.col("b")), 9), 6).alias("score"))
 
 
 _VOTES = _TOP + """, ks AS (SELECT unnest([1, 3, 5]) AS k),
@@ -93,8 +93,8 @@ def _structure(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _structure_top(s: SparkSession, d: str, weights: tuple[float, float, float], k: int = 3, vector: bool = False) -> DataFrame:
     queries, base = _structure(s, d)
     if vector:
-        queries, base = R.gram_vectors(queries, "event_ids"), R.gram_vectors(base, "event_ids")
-    top = R.block_top(queries, base, k, R.structure_block("event_ids", "vector", weights), "block_id", "base_id")
+        queries, base = R.gram_cells(queries, "event_ids"), R.gram_cells(base, "event_ids")
+    top = R.block_top(queries, base, k, R.structure_block("event_ids", weights), "block_id", "base_id")
     return top.select("block_id", "base_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.operators.unpack import accepted, packed_values, rejected, typed_lines, typed_traces
+from loomtrace.plans import packing_sql
 from loomtrace.sources.tables import table
 
 
@@ -41,4 +42,4 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found, "p5_loaded": p5_loaded}
-ORACLES: dict[str, str] = {}
+ORACLES = {"p3_found": packing_sql.P3_FOUND, "p3_values": packing_sql.P3_VALUES, "p5_found": packing_sql.P5_FOUND}

@@ -11,6 +11,7 @@ from loomtrace.llm.neighbours import nearest_vectors
 from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.llm.sequences import block_key, both_sources
+from loomtrace.llm.sql import ORACLES
 from loomtrace.llm.splits import grouped_splits, related_pairs, signature_key
 from loomtrace.llm.truncation import truncated_texts, truncation_by_source
 from loomtrace.sources.tables import table
@@ -95,4 +96,5 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

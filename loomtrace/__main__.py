@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.operators.report import write_report
 from loomtrace.plans import registry
 from loomtrace.sources.files import write_parquet
 
@@ -17,6 +18,8 @@ PROFILE = (
     "length_ecdf", "latency_ecdf", "unique_event_rates", "group_size_histogram", "duplicate_summary", "trace_examples", "missing_value_counts",
 )
 
+REPORTED = ("duplicate_summary", "quality_counters", "type_missingness", "summary_by_label_length", "summary_by_label_latency", "event_statistics")
+
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="loomtrace", description=__doc__)
@@ -51,6 +54,9 @@ def main(arguments: list[str] | None = None) -> int:
         return int(bool(broken))
     for name in PREPARED if given.command == "prepare" else PROFILE:
         write_parquet(queries[name](spark, given.folder), str(Path(given.out, name)))
+    if given.command == "profile":
+        parts = {name: [r.asDict() for r in spark.read.parquet(str(Path(given.out, name))).limit(40).collect()] for name in REPORTED}
+        write_report(Path(given.out, "REPORT.md"), "Profile of the traces", parts, given.folder)
     return 0
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.functions.sequences import rendered_trace
 from loomtrace.operators import profile as P
 from loomtrace.operators import quality as Q
+from loomtrace.operators import sets as K
 from loomtrace.operators import splits as S
 from loomtrace.operators import verify as V
 from loomtrace.plans.base import BLANKS, RAW_SQL, TRACES_SQL, TRIM, raw_rows, signed, templates, traces
@@ -15,6 +17,14 @@ from loomtrace.sources.tables import table
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 T = "WITH " + TRACES_SQL
+_TEXTS = T + """,
+ flat AS (SELECT block_id, unnest(event_ids) AS e, generate_subscripts(event_ids, 1) AS i FROM traces),
+ islands AS (SELECT block_id, e, i, i - row_number() OVER (PARTITION BY block_id, e ORDER BY i) AS g FROM flat),
+ runs AS (SELECT block_id, e, min(i) AS start, count(*) AS n FROM islands GROUP BY block_id, e, g),
+ firsts AS (SELECT block_id, e, min(i) AS pos FROM flat GROUP BY block_id, e),
+ defs AS (SELECT block_id, string_agg(e || ': ' || EventTemplate, chr(10) ORDER BY pos) AS defs FROM firsts JOIN hdfs_log_templates ON EventId = e GROUP BY block_id),
+ ordered AS (SELECT block_id, string_agg(CASE WHEN n = 1 THEN e ELSE e || ' × ' || n END, ' → ' ORDER BY start) AS folded FROM runs GROUP BY block_id),
+ texts AS (SELECT block_id, 'EVENT DEFINITIONS:' || chr(10) || defs || chr(10) || chr(10) || 'ORDERED TRACE:' || chr(10) || folded AS text FROM defs JOIN ordered USING (block_id))"""
 
 
 def query(name: str, sql: str | None = None):
@@ -84,6 +94,32 @@ query("sample_stratified", T + """, ranked AS (SELECT block_id, label, row_numbe
     lambda s, d: S.sample_stratified(traces(s, d), {"Normal": 40, "Anomaly": 10}).select("block_id", "label")
 )
 
+query("query_manifest", _TEXTS + """, picked AS (SELECT block_id FROM traces ORDER BY md5('42|' || block_id), block_id LIMIT 200)
+ SELECT block_id, upper(label) AS label, sig AS trace_signature, array_to_string(event_ids, ' ') AS events, text FROM picked JOIN signed USING (block_id) JOIN texts USING (block_id)""")(
+    lambda s, d: S.sample_uniform(signed(traces(s, d)), 200).select("block_id", F.upper("label").alias("label"), F.col("sig").alias("trace_signature"), F.array_join("event_ids", " ").alias("events"), rendered_trace(F.col("event_ids"), templates(s, d)).alias("text"))
+)
+
+
+def _block_keys(s: SparkSession, d: str, name: str, column: str) -> DataFrame:
+    return table(s, d, name).select(F.nullif(F.lower(F.btrim(column, F.lit(BLANKS))), F.lit("")).alias("key"))
+
+
+def _keys_sql(column: str, name: str) -> str:
+    return f"SELECT DISTINCT nullif(lower(trim({column}, {TRIM})), '') AS key FROM {name} WHERE nullif(lower(trim({column}, {TRIM})), '') IS NOT NULL"
+
+
+query("key_sets", f"""WITH a AS ({_keys_sql("BlockId", "event_traces")}), b AS ({_keys_sql("BlockId", "anomaly_label")}), u AS (SELECT a.key AS a, b.key AS b FROM a FULL JOIN b USING (key))
+ SELECT count(a) AS in_a, count(b) AS in_b, count(*) AS either, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b,
+ count(*) FILTER (a IS NULL OR b IS NULL) = 0 AS equal, count(*) FILTER (b IS NULL) = 0 AS a_in_b, count(*) FILTER (a IS NULL) = 0 AS b_in_a FROM u""")(
+    lambda s, d: K.overlap(_block_keys(s, d, "event_traces", "BlockId"), _block_keys(s, d, "anomaly_label", "BlockId"))
+)
+query("blocks_present", f"WITH a AS ({_keys_sql('block_id', 'block_sequences')}), b AS ({_keys_sql('BlockId', 'event_traces')}) SELECT key FROM a WHERE key IN (SELECT key FROM b)")(
+    lambda s, d: K.present(K.keys(_block_keys(s, d, "block_sequences", "block_id"), "key"), _block_keys(s, d, "event_traces", "BlockId"), "key")
+)
+query("blocks_absent", f"WITH a AS ({_keys_sql('block_id', 'block_sequences')}), b AS ({_keys_sql('BlockId', 'anomaly_label')}) SELECT key FROM a WHERE key NOT IN (SELECT key FROM b)")(
+    lambda s, d: K.absent(K.keys(_block_keys(s, d, "block_sequences", "block_id"), "key"), _block_keys(s, d, "anomaly_label", "BlockId"), "key")
+)
+
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
     """One label per block; Anomaly where records disagree."""

@@ -105,3 +105,9 @@ def test_adaptive_selection_keeps_queries_without_contexts(spark):
     got = {r["q"]: (r["passing_count"], r["filtered_out"]) for r in R.select_adaptive(ranked, asked, "q", 10, 0.5, 30).collect()}
     assert got == {1: (10, 20), 2: (0, 30), 3: (0, 30)}
     assert R.select_fixed(ranked.where("q = 1"), (1, 3)).count() == 4
+
+
+def test_other_hash_of_grams(df):
+    got = collected(df, S.blake_bucket(64)(S.ngrams(F.col("e"))))
+    place = lambda g: int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") % 64
+    assert got[3] == [place(g) for g in ("E1\x1fE2", "E2\x1fE2", "E2\x1fE1", "E1\x1fE2\x1fE2", "E2\x1fE2\x1fE1")]

@@ -10,13 +10,13 @@ from __future__ import annotations
 import numpy as np
 
 #: Edges kept by pruning, edges a node may collect before it is pruned again, width of a search while building.
-DEGREE, ROOM, BUILD_WIDTH = 14, 20, 20
+DEGREE, ROOM, BUILD_WIDTH = 24, 32, 24
 #: A candidate goes when a kept neighbour is this many times nearer to it than the node is.
-RELAXATION = 1.2
+RELAXATION = 1.3
 #: Points inserted at once, at most, and as a part of the points that are in.
 BATCH, BATCH_PART = 512, 4
 #: Nodes expanded at once in each search, and random entry points.
-EXPANDED, ENTRIES = 3, 24
+EXPANDED, ENTRIES = 4, 24
 
 
 class Graph:

@@ -14,7 +14,6 @@ combine their copies before anything is shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -28,13 +27,13 @@ from loomtrace.llm.graph import Graph
 from loomtrace.session import shared_checkpoint
 
 #: Vectors of a shard, as intended; a shard of more than twice as many is split.
-SHARD = 8192
+SHARD = 5000
 #: Shards that a vector is looked up in.
 PROBES = 3
 #: Width of the beam search.
-WIDTH = 16
+WIDTH = 14
 #: The most centres, sampled vectors for each and in all, and lookups of one task.
-CENTRES, SAMPLE_A_CENTRE, LARGEST_SAMPLE, LOOKUPS = 4096, 800, 200_000, 131_072
+CENTRES, SAMPLE_A_CENTRE, LARGEST_SAMPLE, LOOKUPS = 4096, 400, 200_000, 131_072
 #: Directions that agree in this many decimals of every component are the same.
 DECIMALS = 4
 
@@ -64,9 +63,29 @@ def _centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _same(vectors: np.ndarray) -> list[bytes]:
-    rounded = np.round(vectors, DECIMALS) + np.float32(0)  # no negative zero
-    return [hashlib.md5(row.tobytes(), usedforsecurity=False).digest() for row in rounded]
+_ODD = np.random.default_rng(11).integers(0, 2**64, (4096, 2), np.uint64) | np.uint64(1)
+
+
+def _same(vectors: np.ndarray) -> np.ndarray:
+    """A name of 16 bytes for each direction: two random linear functions, modulo 2 ** 64, of its rounded components.
+    Directions that differ share a name by chance only, once in 2 ** 128 pairs."""
+    rounded = np.rint(vectors * np.float32(10**DECIMALS)).astype(np.int64).view(np.uint64)
+    name = np.empty((len(vectors), 2), np.uint64)
+    for i in range(2):
+        name[:, i] = (rounded * np.resize(_ODD[:, i], vectors.shape[1])).sum(1, dtype=np.uint64)
+    return name.view("S16").ravel()
+
+
+def _binary(names: np.ndarray, width: int) -> pa.Array:
+    """Values of one width as a binary column, without a Python object for each."""
+    data = np.ascontiguousarray(names)
+    return pa.Array.from_buffers(pa.binary(width), len(names), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _joined(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column without nulls, one behind the other."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
 
 
 def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector", dims: int = 64, k: int = 5, shard: int = SHARD, probes: int = PROBES, width: int = WIDTH) -> DataFrame:
@@ -102,13 +121,14 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)[good]
             order = np.argsort(ids, kind="stable")
-            names, first, of = np.unique(np.array(_same(vectors[order]), "S16"), return_index=True, return_inverse=True)
-            copies: list[list[int]] = [[] for _ in names]
-            for i, node in zip(ids[order].tolist(), of.tolist()):
-                if len(copies[node]) <= k:
-                    copies[node].append(i)
+            names, first, of = np.unique(_same(vectors[order]), return_index=True, return_inverse=True)
+            # the smallest ids of each direction; ids come in ascending order
+            by_node = np.argsort(of, kind="stable")
+            slot = np.arange(len(of)) - np.searchsorted(of[by_node], of[by_node])
+            few = by_node[slot <= k]
+            offsets = np.r_[0, np.cumsum(np.bincount(of[few], minlength=len(names)))].astype(np.int32)
+            copies = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order][few]))
             vectors = vectors[order][first]
-            names = [bytes(x).ljust(16, b"\0") for x in names.tolist()]
             sims = vectors @ centres.T
             best = np.argpartition(-sims, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.broadcast_to(np.arange(len(centres)), sims.shape)
             best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1), 1)
@@ -120,8 +140,9 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
                 "home": place[plain] == 0, "asked": np.ones(plain.sum(), bool), "node": node[plain],
             }
             more: dict[str, list] = {c: [] for c in made}
+            hashed_names = names.view(np.uint64)[::2]
             for n, at, l in zip(node[~plain].tolist(), place[~plain].tolist(), leaf[~plain].tolist()):
-                hashed = int.from_bytes(names[n][:8], "little")
+                hashed = int(hashed_names[n])
                 own_part, own_chunk = hashed % int(parts[l]), (hashed >> 20) % int(chunks[l])
                 for p in range(int(parts[l])):
                     home = at == 0 and p == own_part
@@ -134,18 +155,18 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
                 [
                     *(pa.array(made[c], pa.int32()) for c in ("leaf", "part", "chunk")),
                     *(pa.array(made[c], pa.bool_()) for c in ("home", "asked")),
-                    pa.array(names, pa.binary()).take(take),
-                    pa.array(copies, pa.list_(pa.int64())).take(take),
-                    pa.array([v.tobytes() for v in vectors], pa.binary()).take(take),
+                    _binary(names[made["node"]], 16),
+                    copies.take(take),
+                    _binary(vectors[made["node"]], 4 * dims),
                 ],
                 names=[x.split()[0] for x in _ROUTED.split(", ")],
             )
 
     def look_up(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        names = np.frombuffer(b"".join(table["key"].to_pylist()), "S16")
+        names = _joined(table["key"].combine_chunks()).view("S16")
         home, asked = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("home", "asked"))
-        vectors = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float32).reshape(-1, dims)
+        vectors = _joined(table["vec"].combine_chunks()).view(np.float32).reshape(-1, dims)
         copies = table["ids"].combine_chunks().take(pa.array(home))
         sizes = pc.list_value_length(copies).to_numpy(zero_copy_only=False)
         node_names, at, node_of_row = np.unique(names[home], return_index=True, return_inverse=True)
@@ -172,15 +193,15 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
         ids = members[np.maximum(found, 0)] if len(at) else np.full((*found.shape, k + 1), -1)
         shown = (ids >= 0) & ((found >= 0) & (found != own[:, None]))[:, :, None]
         offsets = pa.array(np.r_[0, np.cumsum(shown.sum((1, 2)))].astype(np.int32))
-        own_ids = [None] * len(first)
-        for q in np.flatnonzero(own >= 0).tolist():
-            own_ids[q] = [x for x in members[own[q]].tolist() if x >= 0]
+        mine = members[np.maximum(own, 0)] if len(at) else np.full((len(first), k + 1), -1)
+        mine[own < 0] = -1
+        mine_offsets = pa.array(np.r_[0, np.cumsum((mine >= 0).sum(1))].astype(np.int32))
         return pa.table(
             {
-                "key": pa.array([x.ljust(16, b"\0") for x in asked_names.tolist()], pa.binary()),
+                "key": _binary(asked_names, 16),
                 "ids": pa.ListArray.from_arrays(offsets, pa.array(ids[shown])),
                 "sims": pa.ListArray.from_arrays(offsets, pa.array(np.broadcast_to(sims[:, :, None], ids.shape)[shown])),
-                "own": pa.array(own_ids, pa.list_(pa.int64())),
+                "own": pa.ListArray.from_arrays(mine_offsets, pa.array(mine[mine >= 0])),
             }
         )
 
@@ -204,7 +225,7 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
     def copies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, vectors = unit_rows(batch.column(1), dims)
-            yield pa.RecordBatch.from_arrays([pa.array(_same(vectors), pa.binary()), batch.column(0).take(pa.array(good))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([_binary(_same(vectors), 16), batch.column(0).take(pa.array(good))], names=["key", "id"])
 
     named = columns.mapInArrow(copies_of, "key binary, id long")
     crowded = shared_checkpoint(named.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("key"))

@@ -24,7 +24,7 @@ class Graph:
         """``vectors``: unit rows, float32. Repeated rows are allowed."""
         self.vectors = np.ascontiguousarray(vectors, np.float32)
         n = len(vectors)
-        self.edges = np.full((n, ROOM), -1, np.int32)
+        self.edges = np.full((n + 1, ROOM), -1, np.int32)  # the last row stands for no node
         self.degree = np.zeros(n, np.int32)
         order = np.random.default_rng(seed).permutation(n)
         self.entries = order[:ENTRIES]
@@ -50,10 +50,12 @@ class Graph:
 
     def _search(self, queries: np.ndarray, width: int, starts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         rows, n = len(queries), len(self.vectors)
-        ids = np.full((rows, width), -1, np.int32)
+        queries = np.ascontiguousarray(queries, np.float32)
+        ids = np.full((rows, width), n, np.int32)  # node n stands for none and has no edges
         sims = np.full((rows, width), -np.inf, np.float32)
         open_ = np.zeros((rows, width), bool)
-        stamp = np.full((rows, n), -1, np.int16)
+        # the step and slot in which a query met a node; a node met twice in a step counts in the slot written last
+        stamp = np.full(rows * n, -1, np.int16)
         if starts is None:
             near = queries @ self.vectors[self.entries].T
             own = min(width, len(self.entries))
@@ -63,36 +65,51 @@ class Graph:
             own = 1
             ids[:, 0], sims[:, 0] = starts, np.einsum("ij,ij->i", queries, self.vectors[starts])
         open_[:, :own] = True
-        np.put_along_axis(stamp, ids[:, :own].astype(np.int64), 0, 1)
+        stamp[(np.arange(rows)[:, None] * n + ids[:, :own]).ravel()] = 0
+        breadth = EXPANDED * ROOM
+        slots = np.arange(breadth, dtype=np.int16)
         active, step = np.arange(rows), 1
-        slots = np.arange(EXPANDED * ROOM, dtype=np.int64)
         while len(active):
-            local = open_[active]
-            pick = np.argsort(~local, axis=1, kind="stable")[:, :EXPANDED]
-            chosen = np.where(np.take_along_axis(local, pick, 1), np.take_along_axis(ids[active], pick, 1), -1)
-            open_[active[:, None], pick] = False
-            near = self.edges[chosen].reshape(len(active), -1)
-            near[np.repeat(chosen < 0, ROOM, axis=1)] = -1
-            who = np.repeat(active, near.shape[1])
+            count = len(active)
+            whole = count == rows
+            now_ids, now_sims, now_open = (ids, sims, open_) if whole else (ids[active], sims[active], open_[active])
+            offset = np.arange(count, dtype=np.int64)[:, None]
+            pick = np.argsort(~now_open, axis=1, kind="stable")[:, :EXPANDED] + offset * width
+            chosen = np.where(now_open.take(pick), now_ids.take(pick), n)
+            now_open = now_open.copy() if whole else now_open
+            now_open.ravel()[pick] = False
+            near = self.edges.take(chosen.ravel(), axis=0).reshape(count, breadth)
             flat = near.ravel()
             fresh = np.flatnonzero(flat >= 0)
-            fresh = fresh[stamp[who[fresh], flat[fresh]] < 0]
-            tag = (np.tile(slots[: near.shape[1]], len(active))[fresh] + step).astype(np.int16)
-            stamp[who[fresh], flat[fresh]] = tag
-            fresh = fresh[stamp[who[fresh], flat[fresh]] == tag]
-            step = step + EXPANDED * ROOM if step < 30_000 else 1
-            cand = np.full(near.shape, -np.inf, np.float32)
-            cand.ravel()[fresh] = np.einsum("ij,ij->i", self.vectors[flat[fresh]], queries[who[fresh]])
-            every = np.concatenate([sims[active], cand], axis=1)
+            line = fresh // breadth
+            node = flat.take(fresh)
+            at = active.take(line) * n + node
+            unseen = np.flatnonzero(stamp.take(at) < 0)
+            fresh, line, node, at = fresh.take(unseen), line.take(unseen), node.take(unseen), at.take(unseen)
+            tag = slots.take(fresh - line * breadth) + np.int16(step)
+            stamp[at] = tag
+            last = np.flatnonzero(stamp.take(at) == tag)
+            fresh, line, node = fresh.take(last), line.take(last), node.take(last)
+            step = step + breadth if step < 30_000 else 1
+            every = np.full((count, width + breadth), -np.inf, np.float32)
+            every[:, :width] = now_sims
+            every.ravel()[fresh + (line + 1) * width] = np.einsum("ij,ij->i", self.vectors.take(node, axis=0), queries.take(active.take(line), axis=0))
             best = np.argpartition(-every, width - 1, axis=1)[:, :width]
-            top = np.take_along_axis(every, best, 1)
-            order = np.argsort(-top, axis=1, kind="stable")
-            best, top = np.take_along_axis(best, order, 1), np.take_along_axis(top, order, 1)
-            sims[active] = top
-            ids[active] = np.where(top > -np.inf, np.take_along_axis(np.concatenate([ids[active], near], axis=1), best, 1), -1)
-            now = np.take_along_axis(np.concatenate([open_[active], cand > -np.inf], axis=1), best, 1)
-            open_[active] = now
-            active = active[now.any(axis=1)]
+            top = every.take(best + offset * (width + breadth))
+            order = np.argsort(-top, axis=1, kind="stable") + offset * width
+            best, top = best.take(order), top.take(order)
+            old = best < width
+            kept = np.where(old, best, 0) + offset * width
+            made = np.where(old, 0, best - width) + offset * breadth
+            found = top > -np.inf
+            now_ids = np.where(found, np.where(old, now_ids.take(kept), flat.take(made)), n)
+            now_open = np.where(old, now_open.take(kept), found)
+            if whole:
+                ids, sims, open_ = now_ids, top, now_open
+            else:
+                ids[active], sims[active], open_[active] = now_ids, top, now_open
+            active = active[now_open.any(axis=1)]
+        ids[ids == n] = -1
         return ids, sims
 
     def _prune(self, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray | None = None) -> np.ndarray:

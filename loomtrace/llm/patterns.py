@@ -62,12 +62,18 @@ class Sequences:
                 now[some, here[some]] = place + 1
         self.units, self.weights = units, weights
 
-    def held(self, rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next place of each item after ``ends``, 0 for none, and the weight of the units that have it."""
-        after = self.after[rows, ends]
+    def held(self, base: np.ndarray, ends: np.ndarray, item: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The next place of each item after ``ends``, 0 for none, and the weight of the units that have it; only of
+        one item where it is given. ``base`` is where a row begins in the flat table."""
+        n_items = self.after.shape[2]
+        if item is None:
+            after = self.after.reshape(-1, n_items).take(base + ends, axis=0)
+        else:
+            after = self.after.ravel().take((base + ends) * n_items + item)[:, None]
         has = after > 0
+        rows = base // self.after.shape[1]
         if self.units is None:
-            return after, self.weights[rows] @ has
+            return after, self.weights.take(rows) @ has
         unit = self.units[rows]
         starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         return after, self.weights[rows[starts]] @ np.logical_or.reduceat(has, starts, axis=0)
@@ -117,26 +123,28 @@ def _count(seqs: Sequences, pairs: np.ndarray, pivot: int, lengths: tuple[int, .
     """Add to ``found`` the weights of the patterns that contain ``pivot`` (any pattern if it is negative)."""
     longest = max(lengths)
 
-    def grow(pattern: tuple[int, ...], rows: np.ndarray, ends: np.ndarray, allowed: np.ndarray, has_pivot: bool) -> None:
-        after, counts = seqs.held(rows, ends)
+    def grow(pattern: tuple[int, ...], base: np.ndarray, ends: np.ndarray, allowed: np.ndarray, has_pivot: bool) -> None:
         size = len(pattern) + 1
+        if not has_pivot and size == longest:  # only the pivot can follow
+            count = seqs.held(base, ends, pivot)[1][0]
+            if count:
+                found[*pattern, pivot] = found.get((*pattern, pivot), 0) + count
+            return
+        after, counts = seqs.held(base, ends)
         for item in np.flatnonzero(allowed & (counts > 0)).tolist():
             now = has_pivot or item == pivot
-            if not now and size == longest:
-                continue
             longer = (*pattern, item)
             if now and size in lengths:
                 found[longer] = found.get(longer, 0) + counts[item]
             if size < longest:
                 onward = allowed & pairs[item]
-                if not now and size == longest - 1:  # only the pivot can follow
-                    onward = onward & (np.arange(len(onward)) == pivot)
-                if onward.any():
-                    keep = after[:, item] > 0
-                    grow(longer, rows[keep], after[keep, item].astype(np.int64), onward, now)
+                if onward.any() and (now or onward[pivot]):
+                    column = after[:, item]
+                    keep = np.flatnonzero(column)
+                    grow(longer, base.take(keep), column.take(keep).astype(np.int64), onward, now)
 
-    n = len(seqs.after)
-    grow((), np.arange(n), np.zeros(n, np.int64), np.ones(pairs.shape[0], bool), pivot < 0)
+    n, width = seqs.after.shape[:2]
+    grow((), np.arange(n, dtype=np.int64) * width, np.zeros(n, np.int64), np.ones(pairs.shape[0], bool), pivot < 0)
 
 
 def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,13 +155,12 @@ def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for src, part in batch.groupby("src"):
             sums = total.setdefault(src, np.zeros((n, n)))
             for seqs in _sequences(part["unit"].tolist(), part["w"].to_numpy(), index, None, 2):
-                rows = np.arange(len(seqs.after))
-                start = np.zeros(len(rows), np.int64)
-                first = seqs.after[rows, start]
+                base = np.arange(len(seqs.after), dtype=np.int64) * seqs.after.shape[1]
+                first = seqs.after[:, 0]
                 for item in range(n):
-                    keep = first[:, item] > 0
-                    if keep.any():
-                        sums[item] += seqs.held(rows[keep], first[keep, item].astype(np.int64))[1]
+                    keep = np.flatnonzero(first[:, item])
+                    if len(keep):
+                        sums[item] += seqs.held(base[keep], first[keep, item].astype(np.int64))[1]
     for src, sums in total.items():
         a, b = np.nonzero(sums)
         yield pd.DataFrame({"src": src, "a": a, "b": b, "w": sums[a, b].astype(np.int64)})

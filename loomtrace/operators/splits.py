@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.sequences import hash_part, template_text
+from loomtrace.session import shared_checkpoint
 
 SPLITS = ("train", "validation", "test")
 
@@ -117,6 +118,21 @@ def with_template_text(df: DataFrame, templates: dict[str, str]) -> DataFrame:
     return df.withColumn("template_text", template_text(F.col("event_ids"), templates))
 
 
+def ordered_index(df: DataFrame, by: str, order: Sequence[Column], out: str) -> DataFrame:
+    """Number the rows of each ``by`` from 0 in a total order, without one task per class.
+
+    Rows are range-partitioned and sorted once; a row's number is its place in its partition and the rows of its class
+    in the partitions before, of which there is one count each. ``order`` must leave no ties for a stable result."""
+    ranged = df.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order)
+    # cut here: ranges are drawn from a sample, so that a second evaluation could cut elsewhere
+    placed = shared_checkpoint(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    first = placed.groupBy("_part", by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")  # one row per partition and class
+    starts = first.select("_part", by, "_first", before.alias("_before"))
+    numbered = placed.join(starts, ["_part", by])
+    return numbered.withColumn(out, (F.col("_at") - F.col("_first") + F.col("_before")).cast("int")).drop("_at", "_part", "_first", "_before")
+
+
 def knowledge_variants(df: DataFrame) -> DataFrame:
     """Normal, anomaly and mixed knowledge bases of the training part, each in a fixed order: by sequence, and normal
     before anomaly in the mixed one. The index counts from 0 within a variant."""
@@ -124,9 +140,7 @@ def knowledge_variants(df: DataFrame) -> DataFrame:
     both = train.groupBy("event_ids").agg((F.count_distinct("label") > 1).alias("conflicting_sequence"))
     each = train.groupBy("event_ids", "label").agg(F.count("*").alias("occurrence_count"), F.min("block_id").alias("representative_block_id"))
     rows = each.join(both, "event_ids").withColumn("variant", F.explode(F.array(F.lower("label"), F.lit("mixed"))))
-    # a total order over one row per distinct sequence
-    index = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("label"), "event_ids")) - 1
-    return rows.withColumn("kb_index", index)
+    return ordered_index(rows, "variant", (F.desc("label"), F.col("event_ids")), "kb_index")
 
 
 def seen_flags(df: DataFrame, key: str = "sig") -> DataFrame:

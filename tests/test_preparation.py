@@ -57,6 +57,15 @@ def test_overlap_report_separates_labels(spark):
     assert got == {("test", "Anomaly"): (1, 1.0), ("test", "Normal"): (0, 0.0), ("validation", "Normal"): (0, 0.0)}
 
 
+def test_ordered_index_over_several_partitions(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("c"), F.col("id").alias("v")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {(r["c"], r["v"]): r["n"] for r in S.ordered_index(df, "c", (F.desc("v"),), "n").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(c, v): n for c in range(3) for n, v in enumerate(sorted((x for x in range(1000) if x % 3 == c), reverse=True))}
+    assert S.ordered_index(df.limit(0), "c", (F.desc("v"),), "n").count() == 0
+
+
 def test_samples(paired):
     assert S.sample_uniform(paired, 20).count() == 20 and S.sample_uniform(paired, 1000).count() == 60
     a = S.sample_uniform(paired, 20).select("block_id")

@@ -113,14 +113,14 @@ class Graph:
         return ids, sims
 
     def _prune(self, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray | None = None) -> np.ndarray:
-        """Up to ``DEGREE`` diverse candidates for each node, -1 padded; candidates may repeat or be -1 or the node."""
+        """Up to ``DEGREE`` diverse candidates for each node, -1 padded; candidates may repeat or be -1 or the node,
+        and come best first where their cosines are given."""
         width = cand.shape[1]
-        points = self.vectors[np.maximum(cand, 0)]
         if sims is None:
-            sims = np.einsum("bcd,bd->bc", points, self.vectors[nodes])
-        order = np.argsort(-sims, axis=1, kind="stable")
-        cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
-        points = np.take_along_axis(points, order[:, :, None], 1)
+            sims = np.einsum("bcd,bd->bc", self.vectors.take(np.maximum(cand, 0), axis=0), self.vectors[nodes])
+            order = np.argsort(-sims, axis=1, kind="stable")
+            cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
+        points = self.vectors.take(np.maximum(cand, 0), axis=0)
         far = 1 - sims
         between = RELAXATION * (1 - np.matmul(points, points.transpose(0, 2, 1)))
         alive = (cand >= 0) & (cand != nodes[:, None])

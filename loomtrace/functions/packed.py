@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 OPENING, CLOSING = "[({<", "])}>"
 QUOTES = "\"'`“”„‘’‚«»"
 BLANKS = " \t\r\n\f\u000b\u00a0\ufeff"
-SEPARATORS = ",;|/:\\&~•·，；、｜"
+SEPARATORS, WEAK_SEPARATORS = ",;|，；、｜", "/:\\&~•·"
 ARROWS = ("->", "=>", "→")
 LAST_EVENT = 29
 
 _BLANK = r"[\s\u00a0\ufeff]"
 _QUOTE = f"[{QUOTES}]"
-_SEP_CLASS = "[" + SEPARATORS.replace("\\", "\\\\").replace("&", "\\&") + "]"
-#: A separator between the letter E and a number is that event id's punctuation.
-_SEPARATOR = rf"{_BLANK}*(?:{'|'.join(ARROWS)}|(?!(?<=[Ee]){_SEP_CLASS}\d){_SEP_CLASS}){_BLANK}*|{_BLANK}+"
+_WEAK = "[" + WEAK_SEPARATORS.replace("\\", "\\\\").replace("&", "\\&") + "]"
+#: A weak separator between the letter E and a number is that event id's punctuation.
+_SEPARATOR = rf"{_BLANK}*(?:{'|'.join(ARROWS)}|[{SEPARATORS}]|(?!(?<=[Ee]){_WEAK}\d){_WEAK}){_BLANK}*|{_BLANK}+"
 _PAIRED_LITERAL = rf"([\"'`]+)[^{QUOTES}]*\1|[“„][^{QUOTES}]*[”“]|[‘‚][^{QUOTES}]*[’‘]|«[^{QUOTES}]*»"
 _LITERAL, _SPLIT, _NO_VALUE = "\u0001", "\u0002", "?"
 _EVENT = rf"^{_LITERAL}?{_BLANK}*[Ee][\p{{P}}\p{{S}}&&[^\[\](){{}}<>{QUOTES}]]*0*([1-9][0-9]?){_BLANK}*{_LITERAL}?\z"

@@ -42,7 +42,10 @@ def read_list(text, kind):
             i += 1
         else:
             j = i
-            while j < len(t) and t[j] not in QUOTES and t[j] not in SEPARATORS and not t[j].isspace() and not t.startswith("->", j):
+            while j < len(t) and t[j] not in QUOTES and not t[j].isspace() and not t.startswith("->", j):
+                inside_id = t[j] in "/:\\" and t[j - 1] in "eE" and t[j + 1 : j + 2].isdigit()
+                if t[j] in SEPARATORS and not inside_id:
+                    break
                 j += 1
             tokens.append(("v", t[i:j], False))
             i = j
@@ -72,7 +75,7 @@ def one(v, quoted, kind):
         if len(v) < 2 or v[0] not in "eE":
             return None
         j = 1
-        while j < len(v) and not v[j].isalnum() and not v[j].isspace():
+        while j < len(v) and not v[j].isalnum() and not v[j].isspace() and v[j] not in "[](){}<>":
             j += 1
         digits = v[j:]
         if not digits.isdigit() or not 1 <= int(digits) <= 29:

@@ -15,7 +15,7 @@ TRACES = "row_id long, Features string, TimeInterval string, Latency double"
 EDGES = [
     None, "", " ", "[]", "[ ]", "[E1]", "[E1,E2]", "E1,E2", "{E1;E2}", "<E1:E2>", "(E1 / E2)", "E1->E2", "E1 E2", "E1\tE2", "[E1\nE2]", "['E1', 'E2']", '["E1","E2"]', '[""E1"",""E2""]',
     "'E1';'E2'", "[e01,E_2]", "[E1,,E2]", "[E1,]", "[,E1]", "[E1", "E1]", "[E1)", '[E1,"E2]', '["E1\']', "[E0]", "[E30]", "[E29]", "[X1]", "[1E]", "[E]", "E-5|E#6", "[E1]\n", " [ E1 , E2 ] ", "[[E1]]", "nan",
-    '"E1"E2', '["E1" "E2"]', "[E1 ; E2 | E3]", "E:5,E/6",
+    '"E1"E2', '["E1" "E2"]', "[E1 ; E2 | E3]", "E:5,E/6", "E;5", "[E,5]",
 ]
 NUMBERS = [None, "", "[]", "[1.0]", "[1]", "[.5]", "[5.]", '["1,5"]', "[1,5]", '"1,5";2.5', "[-1]", "[-0.0]", "[1e3]", "[inf]", "[NaN]", "[1.2.3]", "[0x1F]", "1|2 ;3", "[1.0\n2.0]", "[+1]", "[1,]", "['1']", "[9" + "9" * 400 + "]"]
 
@@ -28,9 +28,6 @@ def lists(spark, texts, column):
 def test_event_lists_agree_with_a_character_loop(spark):
     got = lists(spark, EDGES, "Features")
     for i, text in enumerate(EDGES):
-        if text and ":5" in text:  # a separator between E and its number is the id's punctuation, which the loop lacks
-            assert got[i]["_events"] == [5, 6]
-            continue
         want = R.read_list(text, "event")
         own = got[i]["_events"]
         assert (own if own is not None and None not in own else None) == want, text
@@ -45,7 +42,7 @@ def test_number_lists_agree_with_a_character_loop(spark):
         assert own == want, text
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=25, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="E129 ,;|/\"'[]{}<>->_\t\n", max_size=14), min_size=30, max_size=60))
 def test_random_lists_agree_with_a_character_loop(spark, texts):
     got = lists(spark, texts, "Features")

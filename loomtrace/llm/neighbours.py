@@ -1,8 +1,9 @@
 """The most similar vectors of every vector.
 
 Vectors are spread over shards by their nearest centre, and each shard gets a robust-pruned directed graph (see
-`graph`). A vector is a node of its home shard's graph and is looked up, by beam search, there and in the shards of
-the next nearest centres; the lists of all shards it was looked up in are merged.
+`graph`). A vector is a node of its home shard's graph and is looked up, by beam search, there, in the shards of the
+next nearest centres, and in every shard whose centre is nearly as near as the home's: the more shards a table has, the
+nearer are their centres and the more of them are asked. The lists of all shards a vector was looked up in are merged.
 
 The centres come from k-means over a bounded sample (``SAMPLE_A_CENTRE`` vectors for each centre, at most
 ``LARGEST_SAMPLE``), chosen by a hash of the id; every vector is indexed and looked up. A shard that the sample shows
@@ -28,8 +29,10 @@ from loomtrace.session import shared_checkpoint
 
 #: Vectors of a shard, as intended; a shard of more than twice as many is split.
 SHARD = 5000
-#: Shards that a vector is looked up in.
-PROBES = 3
+#: Shards that a vector is looked up in at least, and how much less than its home's cosine those of further centres may be.
+PROBES, MARGIN = 3, 0.25
+#: Routed rows of one Arrow batch.
+ROUTED_ROWS = 32_768
 #: Width of the beam search.
 WIDTH = 14
 #: The most centres, sampled vectors for each and in all, and lookups of one task.
@@ -88,7 +91,7 @@ def _joined(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
 
 
-def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector", dims: int = 64, k: int = 5, shard: int = SHARD, probes: int = PROBES, width: int = WIDTH) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector", dims: int = 64, k: int = 5, shard: int = SHARD, probes: int = PROBES, width: int = WIDTH, margin: float = MARGIN) -> DataFrame:
     """``id``, ``neighbour`` BIGINT, ``cosine`` DOUBLE, ``place`` INT from 1: the ``k`` vectors most similar to each.
 
     Usable vectors have ``dims`` finite values, not all zero; others are neither looked up nor found. ``key`` is a
@@ -106,13 +109,24 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
         sample = np.eye(1, dims, dtype=np.float32)
     _, one_each = np.unique(_same(sample), return_index=True)
     centres = _centres(sample[one_each], wanted)
-    near = np.argsort(-(sample[one_each] @ centres.T), axis=1)[:, :probes]
+    probes = min(probes, len(centres))
+
+    def asked_shards(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The home of each vector, and which shards it is looked up in."""
+        sims = vectors @ centres.T
+        home = sims.argmax(1)
+        asked = sims >= np.take_along_axis(sims, home[:, None], 1) - np.float32(margin)
+        np.put_along_axis(asked, np.argpartition(-sims, probes - 1, axis=1)[:, :probes], True, 1)
+        return home, asked
+
     scale = rows * len(one_each) / max(1, len(sample)) / len(one_each)
-    nodes = np.bincount(near[:, 0], minlength=len(centres)) * scale
-    lookups = np.bincount(near.ravel(), minlength=len(centres)) * scale
+    nodes, lookups = np.zeros(len(centres)), np.zeros(len(centres))
+    for at in range(0, len(one_each), 8192):
+        homes, asked_of = asked_shards(sample[one_each[at : at + 8192]])
+        nodes += np.bincount(homes, minlength=len(centres)) * scale
+        lookups += asked_of.sum(0) * scale
     parts = np.where(nodes > 2 * shard, np.ceil(nodes / shard), 1).astype(np.int64)
     chunks = np.ceil(np.maximum(lookups, 1) / LOOKUPS).astype(np.int64)
-    probes = min(probes, len(centres))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,38 +143,37 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
             offsets = np.r_[0, np.cumsum(np.bincount(of[few], minlength=len(names)))].astype(np.int32)
             copies = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order][few]))
             vectors = vectors[order][first]
-            sims = vectors @ centres.T
-            best = np.argpartition(-sims, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.broadcast_to(np.arange(len(centres)), sims.shape)
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1), 1)
-            node, leaf = np.repeat(np.arange(len(names)), best.shape[1]), best.ravel()
-            place = np.tile(np.arange(best.shape[1]), len(names))
+            homes, asked = asked_shards(vectors)
+            node, leaf = np.nonzero(asked)
+            at_home = leaf == homes[node]
             plain = (parts[leaf] == 1) & (chunks[leaf] == 1)
             made = {
                 "leaf": leaf[plain], "part": np.zeros(plain.sum(), np.int32), "chunk": np.zeros(plain.sum(), np.int32),
-                "home": place[plain] == 0, "asked": np.ones(plain.sum(), bool), "node": node[plain],
+                "home": at_home[plain], "asked": np.ones(plain.sum(), bool), "node": node[plain],
             }
             more: dict[str, list] = {c: [] for c in made}
             hashed_names = names.view(np.uint64)[::2]
-            for n, at, l in zip(node[~plain].tolist(), place[~plain].tolist(), leaf[~plain].tolist()):
+            for n, at, l in zip(node[~plain].tolist(), at_home[~plain].tolist(), leaf[~plain].tolist()):
                 hashed = int(hashed_names[n])
                 own_part, own_chunk = hashed % int(parts[l]), (hashed >> 20) % int(chunks[l])
                 for p in range(int(parts[l])):
-                    home = at == 0 and p == own_part
+                    home = at and p == own_part
                     for c in range(int(chunks[l])) if home else (own_chunk,):
                         for name, x in zip(more, (l, p, c, home, c == own_chunk, n)):
                             more[name].append(x)
             made = {c: np.concatenate([made[c], np.array(more[c], made[c].dtype)]) for c in made}
-            take = pa.array(made["node"], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(made[c], pa.int32()) for c in ("leaf", "part", "chunk")),
-                    *(pa.array(made[c], pa.bool_()) for c in ("home", "asked")),
-                    _binary(names[made["node"]], 16),
-                    copies.take(take),
-                    _binary(vectors[made["node"]], 4 * dims),
-                ],
-                names=[x.split()[0] for x in _ROUTED.split(", ")],
-            )
+            for start in range(0, len(made["node"]), ROUTED_ROWS):
+                some = {c: x[start : start + ROUTED_ROWS] for c, x in made.items()}
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(some[c], pa.int32()) for c in ("leaf", "part", "chunk")),
+                        *(pa.array(some[c], pa.bool_()) for c in ("home", "asked")),
+                        _binary(names[some["node"]], 16),
+                        copies.take(pa.array(some["node"], pa.int32())),
+                        _binary(vectors[some["node"]], 4 * dims),
+                    ],
+                    names=[x.split()[0] for x in _ROUTED.split(", ")],
+                )
 
     def look_up(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

@@ -54,6 +54,15 @@ def test_recall_of_the_operator_on_the_test_table(spark):
     assert len(found & close) / len(close) > 0.97 and len(found - close) < 0.03 * len(close)
 
 
+def test_recall_holds_when_shards_are_many(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/trace_vectors.parquet").select("vec_id", "vector")
+    good = [(r["vec_id"], r["vector"]) for r in df.collect() if r["vector"] is not None and len(r["vector"]) == 64 and np.isfinite(r["vector"]).all() and np.any(r["vector"])]
+    ids, vectors = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    want, _ = brute(ids, vectors)
+    recall = lambda got: np.mean([len({*got[i]} & {*want[i]}) / 5 for i in ids.tolist()])
+    assert recall(lists(df, shard=20)) > 0.89
+
+
 def test_unusable_vectors_few_vectors_and_extra_columns(spark):
     v = [1.0] + [0.0] * 63
     rows = [(1, v, "x"), (2, [2.0] + [0.0] * 63, "x"), (3, None, "x"), (4, [0.0] * 64, "x"), (5, [float("nan")] + v[1:], "x"), (6, v[:10], "x"), (7, [float("inf")] + v[1:], "x"), (8, [None] + v[1:], "x"), (9, [-1.0] + v[1:], "x")]

@@ -1,13 +1,14 @@
-"""Scoring of a bounded set of queries against a knowledge base, in blocks, and selection of contexts.
+"""Scoring of a set of queries against a knowledge base, in blocks, and selection of contexts.
 
-The queries (their number is checked against ``MOST_QUERIES``) go to every task; the knowledge base stays where it is
-and is read once. Each task keeps only the best candidates of its part for each query, so what is shuffled is the
+The queries go to the tasks in blocks of at most ``MOST_QUERIES``; the knowledge base stays where it is and is read
+once for each block. Each task keeps only the best candidates of its part for each query, so what is shuffled is the
 number of tasks times queries times k, whatever the knowledge base's size."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from loomtrace.functions.sequences import gram_bucket, ngrams
 from loomtrace.functions.vectors import unit, vector_key
 
-MOST_QUERIES = 20_000
+#: Queries of a block, and scores that a task computes at once.
+MOST_QUERIES, SCORES = 20_000, 4_000_000
 #: Scores are ranked after rounding, so that equal scores tie whatever the order of summation.
 DECIMALS = 9
 
@@ -70,34 +72,43 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 def block_top(queries: DataFrame, base: DataFrame, k: int, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], query_id: str, base_id: str, leave_out_self: bool = False) -> DataFrame:
     """``query_id``, ``base_id``, ``score``, ``rank`` from 1: the ``k`` best rows of ``base`` for each query.
 
-    ``score`` gets all queries and one block of the base and returns a matrix. Ids are BIGINT or STRING; ties go to the
+    ``score`` gets some of the queries and one block of the base and returns a matrix. Any number of queries is
+    answered; all are collected on the driver, which sends them out by blocks. Ids are BIGINT or STRING; ties go to the
     smaller id. ``leave_out_self`` leaves out a base row with the query's own id."""
-    asked = queries.limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; split them")
+    if MOST_QUERIES < 1:
+        raise ValueError("a block holds at least one query")
+    every = queries.toPandas()
     kinds = {x: (f.schema[x].dataType.simpleString()) for f, x in ((queries, query_id), (base, base_id))}
     names = (query_id, base_id) if query_id != base_id else (query_id, f"{base_id}_found")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[tuple]] = [[] for _ in range(len(asked))]
-        ids = asked[query_id].tolist()
-        for block in batches:
-            if not len(block) or not len(asked):
-                continue
-            scores = np.round(score(asked, block), DECIMALS)
-            own_ids = block[base_id].to_numpy()
-            by_id = np.argsort(own_ids, kind="stable")
-            for q, row in enumerate(scores):
-                order = by_id[np.argsort(-row[by_id], kind="stable")[: k + 1]]
-                found = [(-row[i], own_ids[i]) for i in order if not (leave_out_self and own_ids[i] == ids[q])]
-                best[q] = heapq.nsmallest(k, best[q] + found)
-        rows = [(ids[q], i, -s) for q, found in enumerate(best) for s, i in found]
-        yield pd.DataFrame(rows, columns=[*names, "score"])
+    def answers(asked: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: list[list[tuple]] = [[] for _ in range(len(asked))]
+            ids = asked[query_id].tolist()
+            for block in batches:
+                if not len(block) or not len(asked):
+                    continue
+                own_ids = block[base_id].to_numpy()
+                by_id = np.argsort(own_ids, kind="stable")
+                step = max(1, SCORES // len(block))
+                for start in range(0, len(asked), step):
+                    scores = np.round(score(asked.iloc[start : start + step], block), DECIMALS)
+                    for q, row in enumerate(scores, start):
+                        order = by_id[np.argsort(-row[by_id], kind="stable")[: k + 1]]
+                        found = [(-row[i], own_ids[i]) for i in order if not (leave_out_self and own_ids[i] == ids[q])]
+                        best[q] = heapq.nsmallest(k, best[q] + found)
+            rows = [(ids[q], i, -s) for q, found in enumerate(best) for s, i in found]
+            yield pd.DataFrame(rows, columns=[*names, "score"])
+
+        return run
 
     spark = base.sparkSession
     # scoring costs far more than moving a row, so even a small base is spread over all cores
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = base.repartition(parts, base_id).mapInPandas(run, f"`{names[0]}` {kinds[query_id]}, `{names[1]}` {kinds[base_id]}, score double")
+    spread = base.repartition(parts, base_id)
+    blocks = [every.iloc[at : at + MOST_QUERIES].reset_index(drop=True) for at in range(0, max(1, len(every)), MOST_QUERIES)]
+    found = [spread.mapInPandas(answers(asked), f"`{names[0]}` {kinds[query_id]}, `{names[1]}` {kinds[base_id]}, score double") for asked in blocks]
+    part = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy(names[0]).orderBy(F.desc("score"), names[1]))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -90,6 +90,16 @@ def test_block_top_checks_its_queries_and_breaks_ties_by_id(spark):
     R.MOST_QUERIES = old
 
 
+def test_block_top_answers_more_queries_than_a_block_holds(spark, monkeypatch):
+    base = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "base_id long, v array<double>")
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "q long, v array<double>")
+    ask = lambda: sorted(tuple(r) for r in R.block_top(asked, base, 2, R.cosine_block("v", "v"), "q", "base_id", leave_out_self=True).collect())
+    whole = ask()
+    monkeypatch.setattr(R, "MOST_QUERIES", 3)
+    monkeypatch.setattr(R, "SCORES", 4)
+    assert ask() == whole and {q for q, *_ in whole} == {*range(7)}
+
+
 def test_votes(spark):
     rows = [(1, 1, 1.0, "NORMAL"), (1, 2, 0.99, "ANOMALY"), (1, 3, 0.99, "ANOMALY"), (2, 1, 0.5, "ANOMALY"), (2, 2, 0.5, "NORMAL")]
     ranked = spark.createDataFrame(rows, "q long, rank int, score double, label string")

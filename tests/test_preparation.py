@@ -37,6 +37,31 @@ def test_group_split_keeps_groups(paired):
     assert few.where("split IS NULL").count() == 0 and S.pairwise_overlap(few).agg(F.sum("shared")).first()[0] == 0
 
 
+def test_group_split_allocates_every_group_by_its_rule(paired):
+    small = [(f"{i}-{j}", f"s{i}", "Anomaly" if i % 4 == 0 else "Normal") for i in range(80) for j in range(1 + i % 2)]
+    df = paired.sparkSession.createDataFrame(small, "block_id string, sig string, label string")
+    made = S.greedy_split(df, most_groups=3)
+    assert {(r["split"], r["blocks"], r["anomaly"]) for r in S.composition(made).collect()} == {("train", 84, 14), ("validation", 18, 3), ("test", 18, 3)}
+    assert {r["violations"] for r in S.split_violations(made).collect()} == {0}
+
+
+def test_greedy_classes_take_the_steps_of_single_groups():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        blocks, members = rng.integers(1, 40, 6), rng.integers(1, 60, 6)
+        anomalies = (blocks * rng.integers(0, 2, 6)).astype(np.int64)
+        counts = S.greedy_classes(blocks, anomalies, members, (0.7, 0.15, 0.15), passes=0)
+        sums = np.array([max((blocks * members).sum(), 1), max((anomalies * members).sum(), 1)], float)
+        weight = np.c_[blocks, anomalies] / sums
+        target, load, want = np.array([0.7, 0.15, 0.15])[:, None] * (weight * members[:, None]).sum(0), np.zeros((3, 2)), np.zeros((6, 3))
+        for g in np.argsort(-weight.max(1), kind="stable"):
+            for _ in range(members[g]):
+                to = (weight[g] * (2 * (load - target) + weight[g])).sum(1).argmin()
+                load[to] += weight[g]
+                want[g, to] += 1
+        assert (counts.sum(1) == members).all() and np.abs(counts - want).max() <= 1  # equal costs may go either way
+
+
 def test_greedy_groups_with_skew():
     sizes = np.array([500, 200, 100, 50] + [10] * 100)
     anomalies = np.array([s if i % 10 == 0 else 0 for i, s in enumerate(sizes)])

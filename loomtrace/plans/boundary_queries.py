@@ -76,8 +76,8 @@ query("messages_to_input", _CHAT + f""" SELECT block_id, md5('SYSTEM:' || chr(10
  FROM asked JOIN texts ON id = block_id, refs""")(lambda s, d: _chats(s, d).select("block_id", F.md5(M.single_input(F.col("chat")).cast("binary")).alias("input_md5")))
 query("llm_classify_stub")(lambda s, d: C.classify(_chats(s, d), "stub")[0].select("block_id", "prediction", "reason", "prompt_tokens", "request_count", "cache_hit"))
 query("encode_stub")(lambda s, d: C.encode_texts(table(s, d, "normal_knowledge_base"), "trace_id", "template_text"))
-query("file_inventory")(lambda s, d: files.inventory(s, f"{d}/hdfs_log_templates.parquet"))
-query("file_sha256")(lambda s, d: files.provenance(s, f"{d}/hdfs_log_templates.parquet"))
+query("file_inventory")(lambda s, d: files.inventory(s, d))
+query("file_sha256")(lambda s, d: files.provenance(s, d))
 query("session_traces", """WITH e AS (SELECT user_id, ts, event_type, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
  SELECT user_id || '_' || strftime(min(ts), '%Y%m%d%H%M%S') AS block_id, string_agg(event_type, ' ' ORDER BY ts, event_type) AS events, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS latency FROM g GROUP BY user_id, s""")(

@@ -8,8 +8,12 @@ import os
 import re
 import struct
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,21 +97,44 @@ def save_json(path: str | Path, value: object) -> None:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name and bytes of the files in a folder; contents are not read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    """Name, below the folder, and bytes of all files in a folder and the folders in it, or of one file; contents are
+    not read."""
+    return _listed(spark, path).select("name", "bytes")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``name`` below the folder and ``bytes`` of every file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    below = F.col("path").substr(F.lit(len(folder) + 2), F.length("path"))
+    name = F.when(F.startswith("path", F.lit(folder + "/")), below).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select("path", name.alias("name"), F.col("length").alias("bytes"))
 
 
 def provenance(spark: SparkSession, path: str) -> DataFrame:
-    """`inventory` with the SHA-256 of each file. Files of 2 GB and more need `file_sha256`."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """`inventory` with the SHA-256 of each file. A task streams each of its files by `file_sha256`, whatever its size;
+    executors must reach the folder, as a local path or through a file system that pyarrow knows."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [file_sha256(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(digests, pa.string())], names=["name", "bytes", "sha256"])
+
+    return _listed(spark, path).mapInArrow(hashed, "name string, bytes long, sha256 string")
 
 
 def file_sha256(path: str | Path, step: int = 1 << 20) -> str:
     """SHA-256 of a file, read in steps."""
-    digest = hashlib.sha256()
-    with open(path, "rb") as file:
+    digest, path = hashlib.sha256(), str(path)
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        system, place = FileSystem.from_uri(quote(path, safe=":/@"))
+        stream = system.open_input_stream(place)
+    else:
+        stream = open(path, "rb")
+    with stream as file:
         while block := file.read(step):
             digest.update(block)
     return digest.hexdigest()

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtrace import runs
 from loomtrace.operators import classify as C
 from loomtrace.operators import prompts as M
+from loomtrace.plans import boundary_queries as B
 from loomtrace.sources import files
 
 ANSWERS = {
@@ -144,3 +146,13 @@ def test_settings_and_reuse(tmp_path):
     assert runs.changed(tmp_path) == []
     (tmp_path / "q.txt").write_text("y")
     assert runs.changed(tmp_path) == ["q.txt"]
+
+
+@pytest.mark.parametrize("name", ["file_inventory", "file_sha256"])
+def test_all_files_of_a_folder_are_listed_and_hashed(spark, tmp_path, name):
+    (tmp_path / "t.parquet").mkdir()
+    for file, text in (("a b.parquet", b"x" * 3_000_000), ("t.parquet/part-0", b"1"), ("t.parquet/part-1", b"22")):
+        (tmp_path / file).write_bytes(text)
+    want = {str(p.relative_to(tmp_path)): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*") if p.is_file()}
+    got = {r["name"]: tuple(r)[1:] for r in B.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == (want if name == "file_sha256" else {n: x[:1] for n, x in want.items()})

@@ -30,21 +30,27 @@ def query(name: str, sql: str | None = None):
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
-    """Answers as services give them, sound and broken, from the labels of block_sequences."""
+    """Answers as services give them, sound and broken, from the labels and ids of all rows of block_sequences."""
     label, kind = F.coalesce("label", F.lit("null")), F.col("row_id") % 6
-    sound = F.concat(F.lit('{"label": "'), label, F.lit('", "reason": "block '), F.coalesce("block_id", F.lit("?")), F.lit('"}'))
+    answer = lambda *fields: F.to_json(F.struct(label.alias("label"), *fields))
+    sound = answer(F.concat(F.lit("block "), F.coalesce("block_id", F.lit("?"))).alias("reason"))
     text = (
         F.when(kind == 0, sound).when(kind == 1, F.concat(F.lit("```json\n"), sound, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("I think "), sound, F.lit(" fits.")))
-        .when(kind == 3, F.concat(F.lit('{"label": "'), label, F.lit('"}'))).when(kind == 4, label).otherwise(F.concat(F.lit('{"label": "'), label, F.lit('", "reason": " "}')))
+        .when(kind == 3, answer()).when(kind == 4, label).otherwise(answer(F.lit(" ").alias("reason")))
     )
-    return table(s, d, "block_sequences").where("block_id IS NULL OR NOT block_id RLIKE '[\\\\s\"]'").select("row_id", text.alias("text"))
+    return table(s, d, "block_sequences").select("row_id", "block_id", text.alias("text"))
+
+
+def _parsed(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("x", M.parsed_answer(F.col("text"))).select("row_id", "x.label", "x.reason")
 
 
 query("parse_llm_output", """SELECT row_id, CASE WHEN row_id % 6 <= 2 AND upper(trim(label)) IN ('NORMAL', 'ANOMALY') THEN upper(trim(label)) ELSE 'INVALID_OUTPUT' END AS label,
  CASE WHEN row_id % 6 <= 2 AND upper(trim(label)) IN ('NORMAL', 'ANOMALY') THEN 'block ' || coalesce(block_id, '?') ELSE '' END AS reason
  FROM block_sequences WHERE block_id IS NULL OR NOT regexp_matches(block_id, '[\\s"]')""")(
-    lambda s, d: _answers(s, d).withColumn("x", M.parsed_answer(F.col("text"))).select("row_id", "x.label", "x.reason")
+    lambda s, d: _parsed(_answers(s, d).where("block_id IS NULL OR NOT block_id RLIKE '[\\\\s\"]'"))  # as the SQL
 )
+query("parse_llm_output_all")(lambda s, d: _parsed(_answers(s, d)))
 
 
 def _chats(s: SparkSession, d: str) -> DataFrame:

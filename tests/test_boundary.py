@@ -156,3 +156,16 @@ def test_all_files_of_a_folder_are_listed_and_hashed(spark, tmp_path, name):
     want = {str(p.relative_to(tmp_path)): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*") if p.is_file()}
     got = {r["name"]: tuple(r)[1:] for r in B.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == (want if name == "file_sha256" else {n: x[:1] for n, x in want.items()})
+
+
+def test_answers_of_all_rows_are_parsed_as_by_json(spark):
+    data, blanks = "/root/testdata/sf0.01", " \t\r\n"
+    answers = {r["row_id"]: r["text"] for r in B._answers(spark, data).collect()}
+    want = {}
+    for row, text in answers.items():
+        found = json.loads(text[text.index("{") : text.rindex("}") + 1]) if "{" in text else {}
+        label, reason = found.get("label", "").strip(blanks).upper(), found.get("reason", "").strip(blanks)
+        want[row] = (label, reason) if label in ("NORMAL", "ANOMALY") and reason else ("INVALID_OUTPUT", "")
+    got = {r["row_id"]: (r["label"], r["reason"]) for r in B.QUERIES["parse_llm_output_all"](spark, data).collect()}
+    assert got == want and len(got) == spark.read.parquet(f"{data}/block_sequences.parquet").count()
+    assert len(got) > B.QUERIES["parse_llm_output"](spark, data).count()

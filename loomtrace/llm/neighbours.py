@@ -1,16 +1,20 @@
 """The most similar vectors of every vector.
 
 Vectors are spread over shards by their nearest centre, and each shard gets a robust-pruned directed graph (see
-`graph`). A vector is a node of its home shard's graph and is looked up, by beam search, there, in the shards of the
-next nearest centres, and in every shard whose centre is nearly as near as the home's: the more shards a table has, the
-nearer are their centres and the more of them are asked. The lists of all shards a vector was looked up in are merged.
-
-The centres come from k-means over a bounded sample (``SAMPLE_A_CENTRE`` vectors for each centre, at most
-``LARGEST_SAMPLE``), chosen by a hash of the id; every vector is indexed and looked up. A shard that the sample shows
-to be much larger than the others is split by a hash of the vector, and lookups go to all its parts; if more vectors
-are looked up in a part than ``LOOKUPS``, they are spread over several tasks that each hold the part. Vectors of the
-same direction are one node that knows the smallest ids of its copies, which is all that the lists can show; batches
-combine their copies before anything is shuffled.
+`graph`). A vector is a node of its home shard's graph and is looked up, by beam search, there, in the shard of the
+next nearest centre, and in every shard whose centre's cosine is less than the home's by at most a margin. The margin is
+measured: ``TRIALS`` vectors are compared with all others, and it is as wide as it takes to ask the homes of the share
+``FOUND`` of their true neighbours. So the shards asked follow the data and the number of shards, without a limit. The
+lists of all shards a vector was looked up in are merged.
+
+Shards grow with the square root of the table, so that both a shard's size and the number of shards grow slowly. The
+centres come from k-means over a bounded sample (``SAMPLE_A_CENTRE`` vectors for each centre, at most
+``LARGEST_SAMPLE``), chosen by a hash of the id; every vector is indexed and looked up. A centre whose shard would be
+much larger than intended is replaced by several, from k-means over its part of the sample. If more vectors are looked
+up in a shard than ``LOOKUPS``, they are spread over several tasks that each hold the shard. Vectors of the same
+direction are one node that knows the smallest ids of its copies, which is all that the lists can show; batches combine
+their copies before anything is shuffled. Lookups away from home carry their vector in 16 bits a component, which moves
+a cosine by about 1e-5.
 """
 
 from __future__ import annotations
@@ -27,20 +31,25 @@ from pyspark.sql import functions as F
 from loomtrace.llm.graph import Graph
 from loomtrace.session import shared_checkpoint
 
-#: Vectors of a shard, as intended; a shard of more than twice as many is split.
-SHARD = 5000
-#: Shards that a vector is looked up in at least, and how much less than its home's cosine those of further centres may be.
-PROBES, MARGIN = 3, 0.25
+#: Vectors of a shard, as intended, for a table of so many rows; it grows with the square root of the rows beyond them.
+SHARD, ROWS = 5000, 200_000
+#: Shards that a vector is looked up in at least; vectors whose true neighbours are found out, and the share of these
+#: whose homes are to be asked.
+PROBES, TRIALS, FOUND = 2, 256, 0.96
+#: A shard this many times as large as intended is divided.
+UNEVEN = 2.0
 #: Routed rows of one Arrow batch.
 ROUTED_ROWS = 32_768
 #: Width of the beam search.
-WIDTH = 14
-#: The most centres, sampled vectors for each and in all, and lookups of one task.
-CENTRES, SAMPLE_A_CENTRE, LARGEST_SAMPLE, LOOKUPS = 4096, 400, 200_000, 131_072
+WIDTH = 8
+#: Sampled vectors for each centre and in all, and lookups of one task.
+SAMPLE_A_CENTRE, LARGEST_SAMPLE, LOOKUPS = 400, 200_000, 400_000
 #: Directions that agree in this many decimals of every component are the same.
 DECIMALS = 4
+#: What a component of 1 is on the way to other shards.
+SCALE = 32_000
 
-_ROUTED = "leaf int, part int, chunk int, home boolean, asked boolean, key binary, ids array<long>, vec binary"
+_ROUTED = "leaf int, chunk int, home boolean, asked boolean, key binary, ids array<long>, vec binary"
 
 
 def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +63,11 @@ def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return right[good], (values / np.linalg.norm(values, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+def _means(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(7)
     centres = vectors[rng.choice(len(vectors), min(count, len(vectors)), replace=False)].astype(np.float32)
     for _ in range(rounds):
-        own = np.concatenate([(vectors[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(vectors), 8192)])
+        own = _nearest(vectors, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, vectors)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -66,6 +75,25 @@ def _centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(vectors[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(vectors), 8192)])
+
+
+def _centres(vectors: np.ndarray, count: int) -> np.ndarray:
+    """About ``count`` centres of the distinct ``vectors``, none with more than `UNEVEN` times its share of them."""
+    centres, most = _means(vectors, count), UNEVEN * len(vectors) / count
+    while True:
+        own = _nearest(vectors, centres)
+        sizes = np.bincount(own, minlength=len(centres))
+        large = np.flatnonzero((sizes > most) & (sizes > 1))
+        if not len(large):
+            return centres
+        divided = [_means(vectors[own == c], math.ceil(sizes[c] * count / len(vectors))) for c in large]
+        centres = np.unique(np.concatenate([np.delete(centres, large, axis=0), *divided]), axis=0)
+        if len(centres) <= len(sizes):  # no further division
+            return centres
+
+
 _ODD = np.random.default_rng(11).integers(0, 2**64, (4096, 2), np.uint64) | np.uint64(1)
 
 
@@ -91,25 +119,71 @@ def _joined(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
 
 
-def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector", dims: int = 64, k: int = 5, shard: int = SHARD, probes: int = PROBES, width: int = WIDTH, margin: float = MARGIN) -> DataFrame:
+def true_neighbours(columns: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, centres: np.ndarray | None = None) -> DataFrame:
+    """``trial`` INT (a place in ``ids``), ``found`` ARRAY<STRUCT<far, id, leaf>>: the ``k`` vectors of ``columns`` (``id``,
+    ``vector``) that are most similar to each of the given ones, from a comparison with all, and the nearest centre of
+    each. A task keeps its ``k`` best of every given vector, of which there must be a bounded number."""
+    dims = vectors.shape[1]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(ids), k), -2, np.float32)
+        who, leaf = np.full((len(ids), k), -1, np.int64), np.zeros((len(ids), k), np.int32)
+        for batch in batches:
+            good, others = unit_rows(batch.column(1), dims)
+            others_ids = batch.column(0).to_numpy(zero_copy_only=False)[good]
+            homes = _nearest(others, centres).astype(np.int32) if centres is not None and len(others) else np.zeros(len(others), np.int32)
+            sims = vectors @ others.T
+            sims[ids[:, None] == others_ids[None, :]] = -2
+            at = np.flatnonzero(sims > best.min(1)[:, None])
+            row, column = np.divmod(at, max(1, len(others)))
+            for t in np.unique(row).tolist():
+                mine = column[row == t]
+                every = np.r_[best[t], sims[t, mine]]
+                top = np.argsort(-every, kind="stable")[:k]
+                best[t], who[t], leaf[t] = every[top], np.r_[who[t], others_ids[mine]][top], np.r_[leaf[t], homes[mine]][top]
+        row, column = np.nonzero(who >= 0)
+        made = [pa.array(row, pa.int32()), pa.array(-best[row, column]), pa.array(who[row, column]), pa.array(leaf[row, column])]
+        yield pa.RecordBatch.from_arrays(made, names=["trial", "far", "id", "leaf"])
+
+    near = columns.mapInArrow(compare, "trial int, far float, id long, leaf int")
+    return near.groupBy("trial").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "id", "leaf"))), 1, k).alias("found"))
+
+
+def _margin(columns: DataFrame, ids: np.ndarray, vectors: np.ndarray, centres: np.ndarray, probes: int, k: int) -> float:
+    """How much less than the home's the cosine of a centre may be, so that the homes of the share `FOUND` of the true
+    neighbours of the given vectors are asked."""
+    sims = vectors @ centres.T
+    home, last = sims.max(1), np.partition(sims, len(centres) - probes, axis=1)[:, len(centres) - probes]
+    gaps = []
+    for r in true_neighbours(columns, ids, vectors, k, centres).collect():  # `TRIALS` rows at most
+        t = r["trial"]
+        gaps += [0.0 if sims[t, x["leaf"]] >= last[t] else float(home[t] - sims[t, x["leaf"]]) for x in r["found"]]
+    return sorted(gaps)[math.ceil(FOUND * len(gaps)) - 1] + 1e-6 if gaps else 0.0
+
+
+def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector", dims: int = 64, k: int = 5, shard: int | None = None, probes: int = PROBES, width: int = WIDTH, margin: float | None = None) -> DataFrame:
     """``id``, ``neighbour`` BIGINT, ``cosine`` DOUBLE, ``place`` INT from 1: the ``k`` vectors most similar to each.
 
     Usable vectors have ``dims`` finite values, not all zero; others are neither looked up nor found. ``key`` is a
     unique BIGINT. The vector itself is left out; equal cosines come in the order of ids. Vectors of the same direction
-    are each other's nearest, by id. The search is approximate: a neighbour can be missed; the cosines of those that
-    come out are exact up to rounding. An empty table, or one without usable vectors, gives no row."""
-    spark = df.sparkSession
+    are each other's nearest, by id. The search is approximate: a neighbour can be missed, and the cosines of those that
+    come out may be off by about 1e-5. An empty table, or one without usable vectors, gives no row."""
     columns = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
     rows = columns.count()
-    wanted = max(1, min(CENTRES, math.ceil(rows / shard)))
+    shard = shard or math.ceil(SHARD * max(1.0, rows / ROWS) ** 0.5)
+    wanted = max(1, math.ceil(rows / shard))
     sampled = min(LARGEST_SAMPLE, wanted * SAMPLE_A_CENTRE)
     part = columns.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sampled))) == 0) if rows > sampled else columns
-    _, sample = unit_rows(part.select("vector").toArrow().column(0).combine_chunks(), dims) if rows else ((), np.zeros((0, dims), np.float32))
-    if not len(sample):
-        sample = np.eye(1, dims, dtype=np.float32)
+    taken = part.toArrow().combine_chunks() if rows else None
+    places, sample = unit_rows(taken.column(1).combine_chunks(), dims) if rows else ((), np.zeros((0, dims), np.float32))
+    if not len(sample):  # no usable vector among them: one shard
+        places, sample = np.zeros(0, np.int64), np.eye(1, dims, dtype=np.float32)
     _, one_each = np.unique(_same(sample), return_index=True)
     centres = _centres(sample[one_each], wanted)
     probes = min(probes, len(centres))
+    if margin is None:
+        trial = np.unique(np.linspace(0, len(sample) - 1, TRIALS).astype(np.int64))
+        margin = _margin(columns, taken.column(0).to_numpy()[places][trial], sample[trial], centres, probes, k) if len(places) and len(centres) > probes else 0.0
 
     def asked_shards(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The home of each vector, and which shards it is looked up in."""
@@ -119,14 +193,10 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
         np.put_along_axis(asked, np.argpartition(-sims, probes - 1, axis=1)[:, :probes], True, 1)
         return home, asked
 
-    scale = rows * len(one_each) / max(1, len(sample)) / len(one_each)
-    nodes, lookups = np.zeros(len(centres)), np.zeros(len(centres))
+    lookups = np.zeros(len(centres))
     for at in range(0, len(one_each), 8192):
-        homes, asked_of = asked_shards(sample[one_each[at : at + 8192]])
-        nodes += np.bincount(homes, minlength=len(centres)) * scale
-        lookups += asked_of.sum(0) * scale
-    parts = np.where(nodes > 2 * shard, np.ceil(nodes / shard), 1).astype(np.int64)
-    chunks = np.ceil(np.maximum(lookups, 1) / LOOKUPS).astype(np.int64)
+        lookups += asked_shards(sample[one_each[at : at + 8192]])[1].sum(0)
+    chunks = np.ceil(np.maximum(lookups * rows / len(sample), 1) / LOOKUPS).astype(np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,43 +213,43 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
             offsets = np.r_[0, np.cumsum(np.bincount(of[few], minlength=len(names)))].astype(np.int32)
             copies = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order][few]))
             vectors = vectors[order][first]
+            short = np.rint(vectors * np.float32(SCALE)).astype(np.int16)
             homes, asked = asked_shards(vectors)
             node, leaf = np.nonzero(asked)
-            at_home = leaf == homes[node]
-            plain = (parts[leaf] == 1) & (chunks[leaf] == 1)
-            made = {
-                "leaf": leaf[plain], "part": np.zeros(plain.sum(), np.int32), "chunk": np.zeros(plain.sum(), np.int32),
-                "home": at_home[plain], "asked": np.ones(plain.sum(), bool), "node": node[plain],
-            }
-            more: dict[str, list] = {c: [] for c in made}
-            hashed_names = names.view(np.uint64)[::2]
-            for n, at, l in zip(node[~plain].tolist(), at_home[~plain].tolist(), leaf[~plain].tolist()):
-                hashed = int(hashed_names[n])
-                own_part, own_chunk = hashed % int(parts[l]), (hashed >> 20) % int(chunks[l])
-                for p in range(int(parts[l])):
-                    home = at and p == own_part
-                    for c in range(int(chunks[l])) if home else (own_chunk,):
-                        for name, x in zip(more, (l, p, c, home, c == own_chunk, n)):
-                            more[name].append(x)
-            made = {c: np.concatenate([made[c], np.array(more[c], made[c].dtype)]) for c in made}
-            for start in range(0, len(made["node"]), ROUTED_ROWS):
-                some = {c: x[start : start + ROUTED_ROWS] for c, x in made.items()}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(some[c], pa.int32()) for c in ("leaf", "part", "chunk")),
-                        *(pa.array(some[c], pa.bool_()) for c in ("home", "asked")),
-                        _binary(names[some["node"]], 16),
-                        copies.take(pa.array(some["node"], pa.int32())),
-                        _binary(vectors[some["node"]], 4 * dims),
-                    ],
-                    names=[x.split()[0] for x in _ROUTED.split(", ")],
-                )
+            spread = names.view(np.uint64)[::2][node] >> np.uint64(20)
+            chunk = (spread % chunks[leaf].astype(np.uint64)).astype(np.int32)
+            away = leaf != homes[node]
+            # a node goes to all tasks of its home, which all build the graph; one of them looks it up
+            at_home = np.flatnonzero(~away)
+            times = chunks[leaf[at_home]]
+            held = np.repeat(at_home, times)
+            own_chunk = (np.arange(len(held)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+            for lines, home, to, look in ((held, True, own_chunk, own_chunk == chunk[held]), (np.flatnonzero(away), False, chunk[away], np.ones(away.sum(), bool))):
+                for start in range(0, len(lines), ROUTED_ROWS):
+                    some = slice(start, start + ROUTED_ROWS)
+                    nodes = node[lines[some]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(leaf[lines[some]], pa.int32()),
+                            pa.array(to[some]),
+                            pa.array(np.full(len(nodes), home)),
+                            pa.array(look[some]),
+                            _binary(names[nodes], 16),
+                            copies.take(pa.array(nodes, pa.int32())) if home else pa.nulls(len(nodes), pa.list_(pa.int64())),
+                            _binary(vectors[nodes], 4 * dims) if home else _binary(short[nodes], 2 * dims),
+                        ],
+                        names=[x.split()[0] for x in _ROUTED.split(", ")],
+                    )
 
     def look_up(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         names = _joined(table["key"].combine_chunks()).view("S16")
-        home, asked = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("home", "asked"))
-        vectors = _joined(table["vec"].combine_chunks()).view(np.float32).reshape(-1, dims)
+        at_home, is_asked = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "asked"))
+        home, asked = np.flatnonzero(at_home), np.flatnonzero(is_asked)
+        vectors = np.empty((len(names), dims), np.float32)
+        column = table["vec"].combine_chunks()
+        vectors[at_home] = _joined(column.filter(pa.array(at_home))).view(np.float32).reshape(-1, dims)
+        vectors[~at_home] = _joined(column.filter(pa.array(~at_home))).view(np.int16).reshape(-1, dims) / np.float32(SCALE)
         copies = table["ids"].combine_chunks().take(pa.array(home))
         sizes = pc.list_value_length(copies).to_numpy(zero_copy_only=False)
         node_names, at, node_of_row = np.unique(names[home], return_index=True, return_inverse=True)
@@ -218,9 +288,8 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
             }
         )
 
-    groups = int((parts * chunks).sum())
-    routed = columns.mapInArrow(route, _ROUTED).repartition(min(max(groups, 1), 10_000), "leaf", "part", "chunk")
-    lists = routed.groupBy("leaf", "part", "chunk").applyInArrow(look_up, "key binary, ids array<long>, sims array<float>, own array<long>")
+    routed = columns.mapInArrow(route, _ROUTED).repartition(min(int(chunks.sum()), 10_000), "leaf", "chunk")
+    lists = routed.groupBy("leaf", "chunk").applyInArrow(look_up, "key binary, ids array<long>, sims array<float>, own array<long>")
     pairs = F.flatten(F.collect_list(F.transform("ids", lambda i, n: F.struct((-F.get("sims", n)).alias("far"), i.alias("i")))))
     merged = lists.groupBy("key").agg(F.sort_array(pairs).alias("others"), F.flatten(F.collect_list("own")).alias("own"))
     # a node's copies come first, then the others; copies beyond the first k + 1 have the first k
@@ -254,3 +323,21 @@ def nearest_vectors(df: DataFrame, key: str = "vec_id", vector: str = "vector",
         .select("id", "neighbour", F.lit(1.0).alias("cosine"), (F.col("n") + 1).alias("place"))
     )
     return listed.unionByName(more)
+
+
+def measured_recall(df: DataFrame, key: str = "vec_id", vector: str = "vector", dims: int = 64, k: int = 5, trials: int = 1000, **settings: float) -> DataFrame:
+    """``trials``, ``neighbours`` BIGINT, ``recall`` DOUBLE: which share of the ``k`` most similar vectors `nearest_vectors`
+    finds. About ``trials`` vectors, chosen by a hash of the id, are compared with all others. A vector it finds counts
+    if it is as similar as the true ``k``-th. Without usable vectors the counts are 0 and the share null."""
+    columns = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    each = max(1, columns.count() // trials)
+    taken = columns.where(F.pmod(F.xxhash64("id", F.lit("trial")), F.lit(each)) == 0).toArrow().combine_chunks()
+    places, vectors = unit_rows(taken.column(1).combine_chunks(), dims) if len(taken) else (np.zeros(0, np.int64), np.zeros((0, dims), np.float32))
+    ids = taken.column(0).to_numpy()[places] if len(taken) else np.zeros(0, np.int64)
+    true = true_neighbours(columns, ids, vectors, k)
+    names = df.sparkSession.createDataFrame(list(enumerate(ids.tolist())), "trial int, id long")
+    wanted = true.join(names, "trial").select("id", F.size("found").alias("n"), (-F.element_at("found", -1)["far"] - 5e-5).alias("least"))
+    found = nearest_vectors(df, key, vector, dims, k, **settings)
+    hits = wanted.join(found, "id", "left").groupBy("id").agg(F.first("n").alias("n"), F.count_if(F.col("cosine") >= F.col("least")).alias("hits"))
+    counted = hits.agg(F.count("*").alias("trials"), F.coalesce(F.sum("n"), F.lit(0)).alias("neighbours"), F.sum("hits").alias("hits"))
+    return counted.select("trials", "neighbours", F.try_divide(F.col("hits").cast("double"), "neighbours").alias("recall"))

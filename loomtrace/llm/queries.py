@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm.encode import encode
 from loomtrace.llm.mixing import language_key, mix_sources, topic_key
-from loomtrace.llm.neighbours import nearest_vectors
+from loomtrace.llm.neighbours import measured_recall, nearest_vectors
 from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_runs
 from loomtrace.llm.sequences import block_key, both_sources
@@ -62,6 +62,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
 
 
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the five most similar vectors that p6_neighbours finds, for up to `TRIALS` vectors spread over the
+    ids, which are compared with all others: ``trials``, ``neighbours`` and ``recall``."""
+    return measured_recall(table(spark, sf_dir, "trace_vectors"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document's text."""
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -95,6 +101,6 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,7 @@ from loomtrace.llm.encode import encode
 from loomtrace.llm.mixing import language_key, mix_sources, topic_key
 from loomtrace.llm.neighbours import measured_recall, nearest_vectors
 from loomtrace.llm.patterns import frequent_patterns
-from loomtrace.llm.runs import collapse_runs
+from loomtrace.llm.runs import collapse_event_rows, collapse_runs
 from loomtrace.llm.sequences import block_key, both_sources
 from loomtrace.llm.sql import ORACLES
 from loomtrace.llm.splits import grouped_splits, related_pairs, signature_key
@@ -28,6 +28,12 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(both_sources(spark, sf_dir).drop("block"), "events", "gaps").withColumn("duration", F.round("duration", 6))
 
 
+def p1_event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the same kind of event of each user in the event table, which has one event per row."""
+    runs = collapse_event_rows(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id")
+    return runs.select(F.col("entity").alias("user_id"), F.col("first").alias("first_ts"), F.col("last").alias("last_ts"), F.col("event").alias("event_type"), "n_events")
+
+
 def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns of three or four events that at least an eighth of the blocks hold, with the number of blocks."""
     return frequent_patterns(both_sources(spark, sf_dir).withColumnRenamed("block", "entity"), 1 / 8)
@@ -101,6 +107,6 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p1_event_runs": p1_event_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,6 +19,9 @@ runs AS (SELECT src, row_id, e AS event, min(i) AS first_pos, max(i) AS last_pos
 P1_FOUND = _RUNS + " SELECT src, row_id, first_pos, last_pos FROM runs WHERE n_events > 1"
 P1_RUNS = _RUNS + """ SELECT src, row_id, first_pos, last_pos, event, n_events, CASE WHEN src = 'event_traces' THEN round(coalesce(list_sum(gaps[first_pos + 1:last_pos]), 0), 6) END AS duration FROM runs JOIN (SELECT src, row_id, gaps FROM both_) USING (src, row_id)"""
 
+P1_EVENT_RUNS = """WITH e AS (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, event_type, count(*) AS n_events FROM e GROUP BY user_id, event_type, g"""
+
 
 def _level(n: int) -> str:
     """Patterns of n events from the frequent ones of n - 1, each at the first place where it ends in a row."""
@@ -43,4 +46,4 @@ links AS MATERIALIZED (SELECT DISTINCT row_id AS a, m AS b FROM held WHERE row_i
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT min(b) AS row_id_a, a AS row_id_b FROM reach GROUP BY a HAVING min(b) < a"""
 
-ORACLES = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p2_found": P2_FOUND, "p2_patterns": P2_PATTERNS, "p4_found": P4_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p1_event_runs": P1_EVENT_RUNS, "p2_found": P2_FOUND, "p2_patterns": P2_PATTERNS, "p4_found": P4_FOUND}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm import patterns as P
 from loomtrace.llm.queries import QUERIES
-from loomtrace.llm.runs import collapse_runs
+from loomtrace.llm.runs import collapse_event_rows, collapse_runs
 from loomtrace.llm.sequences import both_sources
 
 DATA = "/root/testdata/sf0.001"
@@ -48,6 +48,43 @@ def test_a_long_sequence(spark):
     assert tuple(r) == (n // 3, 3, n - 1)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_runs_of_event_rows_over_many_parts(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["hot", "hot", *"abcdef"]), rng.choice([None, *range(400)]), rng.choice(["x", "x", "x", "y", None]), i) for i in range(900)]
+    rows += [("one", i, "z", i) for i in range(300)] + [(None, 1, "x", 1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame([(*r, "extra") for r in rows], "who string, at int, what string, n int, entity string").repartition(3)
+        got = Counter(tuple(r) for r in collapse_event_rows(df, "who", "at", "what", "n").collect())
+        assert collapse_event_rows(df.limit(0), "who", "at", "what", "n").count() == 0
+        assert collapse_event_rows(df, "who", "at", "what", "n", at_least=300).collect()[0]["entity"] == "one"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = Counter()
+    for who in {r[0] for r in rows} - {None}:
+        own = sorted((r[1], r[3], r[2]) for r in rows if r[0] == who and r[1] is not None)
+        for key, group in groupby(own, key=lambda r: (r[2], r[:2] if r[2] is None else None)):
+            group = list(group)
+            want[who, group[0][0], group[-1][0], key[0], len(group)] += 1
+    assert got == want
+
+
+def test_time_grows_with_a_row_s_length_not_with_its_square(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i / 2).cast("int")).alias("e"))
+        began = time.perf_counter()
+        assert collapse_runs(df, "e").count() == n // 2
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(640_000) < 8 * max(0.3, seconds(160_000))
+
+
 def brute(rows, share, lengths):
     entities = defaultdict(set)
     for src, entity, events in rows:

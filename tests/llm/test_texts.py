@@ -88,8 +88,8 @@ def test_longer_counts_see_nested_prefixes():
     import pyarrow as pa
 
     words = sorted(["abcdefgh", "abcdefghi", "abcdefghij", "abcdefgx", "b"])
-    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array([1, 2, 4, 8, 16]), pa.array([1, 1, 0, 1, 1])], names=["segment", "n", "ends"])
-    got = {r["segment"]: r["longer"] for b in C._longer_counts(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()}
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array([1, 2, 4, 8, 16]), pa.array([1, 1, 0, 1, 1]), pa.array([0] * 5)], names=["segment", "n", "ends", "part"])
+    got = {r["segment"]: r["longer"] for b in C._longer_counts(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist() if r["kind"] != C._FIRST}
     assert got == {"abcdefgh": 6, "abcdefghi": 4, "abcdefgx": 0, "b": 0}
 
 
@@ -144,3 +144,30 @@ def test_keys(spark):
 def test_mix_query(spark):
     report = {r["source"]: r for r in QUERIES["p8_report"](spark, DATA).collect()}
     assert len(report) == 8 and QUERIES["p8_mix"](spark, DATA).count() == sum(r["n_docs"] for r in report.values())
+
+
+def test_prefix_counts_over_many_parts(spark):
+    import random
+
+    rng = random.Random(4)
+    words = {"t=0 node " + "".join(rng.choice("ab é") for _ in range(rng.randrange(9))) for _ in range(400)} | {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(300)} | {"t", "t=0", "t=0 node", "z"}
+    rows = [(w, rng.randrange(1, 9), rng.randrange(2)) for w in sorted(words)]
+    want = {(w, n, e, sum(m for v, m, _ in rows if v != w and v.startswith(w))) for w, n, e in rows if e}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = C.prefix_counts(spark.createDataFrame(rows, "segment string, n long, ends long")).collect()
+            assert {tuple(r) for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_evidence_of_cuts(spark):
+    texts = [f"node {i} was restarted by the operator on duty" for i in range(40)] + ["node 7 was restarted by the op", "All is well. [truncated]", "unlike anything that anybody wro", "All is well.", None]
+    found = C.truncated_texts(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"), "doc_id", "text", ("source",))
+    got = {r["doc_id"]: r["evidence"] for r in found.collect()}
+    assert [got[i] for i in range(38, 45)] == [None, None, "prefix", "mark", "ending", None, None]
+    (row,) = C.truncation_by_source(found).collect()
+    assert (row["n_docs"], row["n_cut"], row["by_prefix"], row["by_mark"], row["by_ending"]) == (45, 3, 1, 1, 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.encode import encode
@@ -12,7 +12,7 @@ from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_event_rows, collapse_runs
 from loomtrace.llm.sequences import block_key, both_sources
 from loomtrace.llm.sql import ORACLES
-from loomtrace.llm.splits import grouped_splits, related_pairs, signature_key
+from loomtrace.llm.splits import grouped_splits, related_pairs, signature_key, split_report
 from loomtrace.llm.truncation import truncated_texts, truncation_by_source
 from loomtrace.sources.tables import table
 
@@ -48,13 +48,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_pairs(table(spark, sf_dir, "block_sequences"), "row_id", signature_key(F.col("trace_signature")), block_key(F.col("block_id")))
 
 
+def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float]]:
+    return [(r["split"], r["share"]) for r in table(spark, sf_dir, "split_targets").orderBy("split").collect()]  # a fixed table of three rows
+
+
+def _anomalous() -> Column:
+    """Whether a record is an anomaly; null where its label can't be read."""
+    word = F.lower(F.trim("label"))
+    return F.when(word == "anomaly", True).when(word == "normal", False)
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_splits(table(spark, sf_dir, "block_sequences"), "row_id", _anomalous(), _targets(spark, sf_dir), signature_key(F.col("trace_signature")), block_key(F.col("block_id")))
+
+
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every record of block_sequences."""
-    wanted = [(r["split"], r["share"]) for r in table(spark, sf_dir, "split_targets").orderBy("split").collect()]  # a fixed table of three rows
-    word = F.lower(F.trim("label"))
-    return grouped_splits(
-        table(spark, sf_dir, "block_sequences"), "row_id", F.when(word == "anomaly", True).when(word == "normal", False), wanted, signature_key(F.col("trace_signature")), block_key(F.col("block_id"))
-    )
+    return _assigned(spark, sf_dir).select("row_id", "split")
+
+
+def p4_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the splits together and of each: records, groups, groups in several splits, whether the share is within 0.01 of
+    its target and whether both labels are there."""
+    labels = table(spark, sf_dir, "block_sequences").select("row_id", _anomalous().alias("anomalous"))
+    report = split_report(_assigned(spark, sf_dir).join(labels, "row_id"), "anomalous", _targets(spark, sf_dir))
+    return report.agg(
+        F.count("*").alias("splits"), F.sum("records").alias("records"), F.sum("yes").alias("anomalies"), F.sum("no").alias("normals"), (F.sum("groups") - F.sum("crossing")).alias("whole_groups"),
+        F.count_if(F.abs(F.col("share") - F.col("target")) <= 0.01).alias("near_target"), F.count_if((F.col("yes") > 0) & (F.col("no") > 0)).alias("with_both_labels"),
+    )
 
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +128,6 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p1_event_runs": p1_event_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p1_event_runs": p1_event_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p4_split_report": p4_split_report, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,8 +6,11 @@ only, the usual case, links nothing, so the graph holds no more than the excepti
 alternating large and small stars (Kiveris and others, 2014), with lineage cut after each round.
 
 Splits are then allocated by flow: components of the same size and label profile make one bundle, of which only the
-counts reach the driver; bundles' integral parts are sent proportionally, the rest by cheapest convex deviation cost,
-improved by moves along negative cycles, and members are assigned by hash.
+counts reach the driver (204 bundles for 408,108 rows of the test tables). The proportional flow from bundles to splits
+costs nothing but is not integral; its integral part is sent, the other components take the cheapest arcs, and negative
+cycles of the residual network, through one or two bundles, are cancelled until there is none. Members of a bundle are
+assigned by their rank in the order of a hash, which comes from counts of hash ranges, so that no window holds a whole
+bundle.
 """
 
 from __future__ import annotations
@@ -21,12 +24,10 @@ from pyspark.sql import functions as F
 
 from loomtrace.session import shared_checkpoint
 
-#: Components up to this size keep their exact label profile; larger ones are bundled by size classes of 1/16.
-EXACT_SIZE = 64
-#: This many of the largest components are bundles of their own.
-GIANTS = 500
-#: Bundles with more components than this are assigned by hash alone, without a rank.
-RANKED = 10_000
+#: Ranges of the hash by which members are ranked.
+RANGES = 4096
+#: A cycle counts as negative if it lowers the cost by more than this; costs are of the order of 1.
+LEAST_GAIN = 1e-13
 
 
 def signature_key(signature: Column) -> Column:
@@ -64,10 +65,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def related_groups(df: DataFrame, row_id: str, first_key: Column, *other_keys: Column) -> tuple[DataFrame, DataFrame]:
+def related_groups(df: DataFrame, row_id: str, first_key: Column, *other_keys: Column, **keep: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with the node of their first key, and the nodes with their group.
 
-    Returns rows (``row_id``, ``node``) and nodes (``node``, ``root``, ``first_id``: the smallest row_id of the whole
+    Returns rows (``row_id``, ``node`` and the columns of ``keep``) and nodes (``node``, ``root``, ``first_id``: the smallest row_id of the whole
     group, ``n``: its rows). ``row_id`` must be unique. Rows without first key are nodes of their own, which the other
     keys may link. Null keys connect nothing."""
     own = F.concat(F.lit(b"r"), F.col(row_id).cast("string").cast("binary"))
@@ -75,8 +76,9 @@ def related_groups(df: DataFrame, row_id: str, first_key: Column, *other_keys: C
         F.col(row_id).alias("row_id"),
         F.coalesce(F.concat(F.lit(b"k"), first_key.cast("binary")), own).alias("node"),
         *(key.alias(f"k{i}") for i, key in enumerate(other_keys)),
+        *(value.alias(name) for name, value in keep.items()),
     )
-    rows = keyed.select("row_id", "node")
+    rows = keyed.select("row_id", "node", *keep)
     edges = None
     for i in range(len(other_keys)):
         held = keyed.where(F.col(f"k{i}").isNotNull()).select(F.col(f"k{i}").alias("key"), "node")
@@ -92,7 +94,8 @@ def related_groups(df: DataFrame, row_id: str, first_key: Column, *other_keys: C
 def related_pairs(df: DataFrame, row_id: str, first_key: Column, *other_keys: Column) -> DataFrame:
     """``row_id_a``, ``row_id_b``: the smallest row of each group of two or more, with each other row of the group.
 
-    Rows with null row_id are left out; repeated row ids count once."""
+    Rows with null row_id are left out. A row_id that is repeated gives a pair for each of its rows but those of the
+    smallest."""
     rows, nodes = related_groups(df.where(F.col(row_id).isNotNull()), row_id, first_key, *other_keys)
     grouped = nodes.where("n > 1").select("node", F.col("first_id").alias("row_id_a"))
     return rows.join(grouped, "node").where("row_id <> row_id_a").select("row_id_a", F.col("row_id").alias("row_id_b"))
@@ -103,87 +106,103 @@ def allocate(bundles: np.ndarray, counts: np.ndarray, shares: Sequence[float]) -
 
     ``bundles`` has one row per bundle with the size of one of its components by label, ``counts`` the number of its
     components, ``shares`` the wanted share of each split. Every component goes to one split. The cost of a split is
-    the squared deviation from its wanted rows, each label's deviation measured against that label's total. The
-    proportional flow has no cost but is not integral; its integral part is kept, the remaining components follow the
-    cheapest arc, largest first, and moves and exchanges of single components cancel negative cycles."""
+    the squared deviation from its wanted rows, each label's deviation measured against that label's total.
+
+    The integral part of the proportional flow is kept; the remaining components, largest first, take the arc with the
+    least growth of the cost. Then negative cycles are cancelled, the most negative of a pair of splits first: a
+    component moves from one split to the other, or two of different bundles change places. In the end no such cycle
+    lowers the cost. (With components of different sizes the integral optimum is a partition problem; this is an
+    optimum against all moves and exchanges.)"""
     share = np.asarray(shares, float) / np.sum(shares)
     size = np.c_[bundles.sum(1), bundles].astype(float)
     total = np.maximum((size * counts[:, None]).sum(0), 1)
-    scale = 1 / total
-    want = share[:, None] * total
+    size, splits = size / total, range(len(share))
     flow = np.floor(counts[:, None] * share + 1e-9).astype(np.int64)
-    load = flow.T @ size
+    off = flow.T @ size - share[:, None] * np.minimum(size.T @ counts, 1)
+
+    def growth(split: int, change: np.ndarray) -> np.ndarray:
+        return (change * (2 * off[split] + change)).sum(-1) / share[split]
 
-    def cost(split: int, change: np.ndarray) -> np.ndarray:
-        off, now = (load[split] + change - want[split]) * scale, (load[split] - want[split]) * scale
-        return (off**2 - now**2).sum(-1) / share[split]
+    def send(bundle: int, split: int, n: int) -> None:
+        flow[bundle, split] += n
+        off[split] += n * size[bundle]
 
     for b in np.argsort(-size[:, 0], kind="stable"):
         for _ in range(int(counts[b] - flow[b].sum())):
-            k = min(range(len(share)), key=lambda s: cost(s, size[b]))
-            flow[b, k] += 1
-            load[k] += size[b]
-    for _ in range(200):  # each move lowers the cost; the bound is for the driver's time only
-        best = (-1e-15, None)
-        for a, b in permutations(range(len(share)), 2):
-            gain = np.where(flow[:, a] > 0, cost(a, -size) + cost(b, size), np.inf)
-            i = int(gain.argmin())
-            if gain[i] < best[0]:
-                best = (gain[i], (i, a, b))
-        if best[1] is None:
-            break
-        i, a, b = best[1]
-        flow[i, a] -= 1
-        flow[i, b] += 1
-        load[a] -= size[i]
-        load[b] += size[i]
+            send(b, min(splits, key=lambda k: growth(k, size[b])), 1)
+    still = False
+    while not still:
+        still = True
+        for a, b in permutations(splits, 2):
+            mine, theirs = np.flatnonzero(flow[:, a] > 0), np.flatnonzero(flow[:, b] > 0)
+            if not len(mine):
+                continue
+            # what a gives to b, against each bundle that b gives back, or nothing
+            back = np.r_[np.zeros((1, size.shape[1])), size[theirs]]
+            best, cycle = -LEAST_GAIN, None
+            for at in range(0, len(mine), 256):
+                change = size[mine[at : at + 256], None] - back
+                gain = growth(a, -change) + growth(b, change)
+                i, j = np.unravel_index(gain.argmin(), gain.shape)
+                if gain[i, j] < best:
+                    best, cycle = gain[i, j], (mine[at + i], theirs[j - 1] if j else None)
+            if cycle:
+                still = False
+                given, returned = cycle
+                send(given, a, -1), send(given, b, 1)
+                if returned is not None:
+                    send(returned, b, -1), send(returned, a, 1)
     for label in range(bundles.shape[1]):  # every split gets every label, where there are enough components
-        for k in range(len(share)):
+        for k in splits:
             if not (flow[:, k] @ bundles[:, label]):
-                rich = [(size[i, 0], i, a) for i in np.flatnonzero(bundles[:, label]) for a in range(len(share)) if a != k and flow[i, a] > 0 and flow[:, a] @ (bundles[:, label] > 0) > 1]
+                rich = [(size[i, 0], i, a) for i in np.flatnonzero(bundles[:, label]) for a in splits if a != k and flow[i, a] > 0 and flow[:, a] @ (bundles[:, label] > 0) > 1]
                 if rich:
                     _, i, a = min(rich)
-                    flow[i, a] -= 1
-                    flow[i, k] += 1
+                    send(i, a, -1), send(i, k, 1)
     return flow
 
 
 def grouped_splits(df: DataFrame, row_id: str, label: Column, splits: Sequence[tuple[str, float]], first_key: Column, *other_keys: Column) -> DataFrame:
-    """``row_id``, ``split`` of every row, related rows in one split, near the given shares, with both labels in each.
+    """``row_id``, ``split``, ``root`` (the group) of every row, related rows in one split, near the given shares, with
+    both labels in each.
 
     ``label`` is a boolean column; null is a profile of its own. Groups are bundled by their number of rows of each
-    label: exactly up to ``EXACT_SIZE`` rows, in size classes beyond, the ``GIANTS`` largest alone, so the driver gets
-    a number of bundles that does not grow with the table. The result depends on the rows only, not on their order. An
-    empty table gives no row."""
-    rows, nodes = related_groups(df, row_id, first_key, *other_keys)
-    labels = df.select(F.col(row_id).alias("row_id"), label.alias("label"))
+    label, so the driver gets one row for each profile that occurs. The result depends on the rows only, not on their
+    order. An empty table gives no row."""
+    rows, nodes = related_groups(df, row_id, first_key, *other_keys, label=label)
     nodes = shared_checkpoint(nodes.select("node", "root"))
-    profile = rows.join(labels, "row_id").groupBy("node").agg(F.count_if("label").alias("yes"), F.count_if(~F.col("label")).alias("no"), F.count("*").alias("n"))
-    groups = shared_checkpoint(nodes.join(profile, "node").groupBy("root").agg(*(F.sum(c).alias(c) for c in ("yes", "no", "n"))))
+    profile = rows.groupBy("node").agg(F.count_if("label").alias("yes"), F.count_if(~F.col("label")).alias("no"), F.count("*").alias("n"))
+    key = ["yes", "no", "n"]
+    spot = F.xxhash64("root")
+    groups = shared_checkpoint(
+        nodes.join(profile, "node").groupBy("root").agg(*(F.sum(c).alias(c) for c in key))
+        .withColumns({"spot": spot, "range": F.pmod(F.shiftrightunsigned(spot, 40), F.lit(RANGES)).cast("int")})
+    )
+    ranges = groups.groupBy(*key, "range").agg(F.count("*").alias("inside"))
+    found = ranges.groupBy(*key).agg(F.sum("inside").alias("groups")).collect()
+    found.sort(key=lambda r: (r["n"], r["yes"], r["no"]))
+    sizes = np.array([[r["yes"], r["no"], r["n"] - r["yes"] - r["no"]] for r in found], np.int64).reshape(-1, 3)
+    flow = allocate(sizes, np.array([r["groups"] for r in found], np.int64), [s for _, s in splits]) if found else np.zeros((0, len(splits)), np.int64)
+    allotted = df.sparkSession.createDataFrame([(*(r[c] for c in key), np.cumsum(f).tolist()) for r, f in zip(found, flow)], "yes long, no long, n long, upto array<long>")
+    before = F.sum("inside").over(Window.partitionBy(*key).orderBy("range")) - F.col("inside")  # at most `RANGES` rows a bundle
+    starts = ranges.withColumn("before", before).join(allotted, key).drop("inside")
+    rank = F.row_number().over(Window.partitionBy(*key, "range").orderBy("spot", "root")) - 1
+    placed = groups.withColumn("rank", rank).join(starts, [*key, "range"])
+    names = F.array(*(F.lit(n) for n, _ in splits))
+    split = F.get(names, F.size(F.filter("upto", lambda x: x <= F.col("before") + F.col("rank"))))
+    assigned = placed.select("root", split.alias("split"))
+    return rows.join(nodes, "node").join(assigned, "root").select("row_id", "split", "root")
 
-    def rounded(c: str) -> Column:
-        step = F.greatest(F.lit(1).cast("double"), F.pow(2.0, F.floor(F.log2(F.greatest(F.col(c), F.lit(1)))) - 4))
-        return F.when(F.col("n") <= EXACT_SIZE, F.col(c)).otherwise((F.floor(F.col(c) / step) * step).cast("long"))
 
-    giants = groups.where(F.col("n") > EXACT_SIZE).orderBy(F.desc("n"), "root").limit(GIANTS).select("root", F.lit(True).alias("giant"))
-    bundled = groups.join(giants, "root", "left").withColumns(
-        {"b_yes": rounded("yes"), "b_no": rounded("no"), "b_rest": rounded("n") - rounded("yes") - rounded("no"), "b_root": F.when(F.col("giant"), F.col("root"))}
+def split_report(assigned: DataFrame, label: str, splits: Sequence[tuple[str, float]]) -> DataFrame:
+    """What the rows ``split``, ``root`` and the boolean ``label`` of `grouped_splits` come to, one row per split:
+    ``target``, ``records``, ``share``, ``yes``, ``no``, ``groups``, and ``crossing``: groups with records elsewhere too."""
+    spread = assigned.groupBy("root").agg(F.count_distinct("split").alias("k"))
+    counted = assigned.join(spread, "root").groupBy("split").agg(
+        F.count("*").alias("records"), F.count_if(label).alias("yes"), F.count_if(~F.col(label)).alias("no"), F.count_distinct("root").alias("groups"), F.count_distinct(F.when(F.col("k") > 1, F.col("root"))).alias("crossing")
     )
-    key = ["b_yes", "b_no", "b_rest", "b_root"]
-    found = bundled.groupBy(*key).agg(F.count("*").alias("groups"), F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("n").alias("n")).collect()
-    found.sort(key=lambda r: (r["n"] / r["groups"], *r[:3], bytes(r["b_root"] or b"")))
-    counts = np.array([r["groups"] for r in found], np.int64)
-    sizes = np.array([[r["yes"] / r["groups"], r["no"] / r["groups"], (r["n"] - r["yes"] - r["no"]) / r["groups"]] for r in found]).reshape(-1, 3)
-    flow = allocate(sizes, counts, [s for _, s in splits]) if found else np.zeros((0, len(splits)), np.int64)
-    spark = df.sparkSession
-    schema = "b_yes long, b_no long, b_rest long, b_root binary, groups long, upto array<long>"
-    allotted = spark.createDataFrame([(*(r[c] for c in key), r["groups"], np.cumsum(f).tolist()) for r, f in zip(found, flow)], schema)
-    order = F.xxhash64("root")
-    with_rank = bundled.join(F.broadcast(allotted), [bundled[c].eqNullSafe(allotted[c]) for c in key]).select(bundled["root"], allotted["groups"], "upto", *(allotted[c].alias(f"k_{c}") for c in key))
-    small = with_rank.where(F.col("groups") <= RANKED)
-    ranked = small.withColumn("rank", F.row_number().over(Window.partitionBy(*(f"k_{c}" for c in key)).orderBy(order, "root")) - 1)
-    spread = with_rank.where(F.col("groups") > RANKED).withColumn("rank", F.floor((F.shiftrightunsigned(order, 11) / F.lit(float(2**53))) * F.col("groups")))
-    names = F.array(*(F.lit(n) for n, _ in splits))
-    split = F.get(names, F.size(F.filter("upto", lambda x: x <= F.col("rank"))))
-    assigned = ranked.unionByName(spread).select("root", split.alias("split"))
-    return rows.join(nodes, "node").join(assigned, "root").select("row_id", "split")
+    whole = sum(s for _, s in splits)
+    wanted = assigned.sparkSession.createDataFrame([(n, s / whole) for n, s in splits], "split string, target double")
+    total = F.sum("records").over(Window.partitionBy(F.lit(1)))  # one row per split
+    made = wanted.join(counted, "split", "left").na.fill(0)
+    return made.withColumn("share", F.coalesce(F.try_divide(F.col("records").cast("double"), total), F.lit(0.0)))

@@ -39,11 +39,15 @@ f1 AS MATERIALIZED (SELECT src, p, count(DISTINCT block) AS support FROM l1 JOIN
 SELECT src, p AS pattern, support FROM f3 UNION ALL SELECT src, p, support FROM f4"""
 P2_FOUND = f"SELECT src, pattern FROM ({P2_PATTERNS})"
 
-P4_FOUND = f"""WITH RECURSIVE keyed AS (
+_RELATED = f"""WITH RECURSIVE keyed AS (
   SELECT row_id, 'b' || {_BLOCK.format("block_id")} AS k FROM block_sequences UNION ALL SELECT row_id, 's' || nullif(regexp_extract(lower(trace_signature), '([0-9a-f]{{64}})', 1), '') FROM block_sequences),
 held AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS m FROM keyed WHERE k IS NOT NULL),
 links AS MATERIALIZED (SELECT DISTINCT row_id AS a, m AS b FROM held WHERE row_id <> m UNION SELECT m, row_id FROM held WHERE row_id <> m),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT min(b) AS row_id_a, a AS row_id_b FROM reach GROUP BY a HAVING min(b) < a"""
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"""
+P4_FOUND = _RELATED + """ SELECT min(b) AS row_id_a, a AS row_id_b FROM reach GROUP BY a HAVING min(b) < a"""
 
-ORACLES = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p1_event_runs": P1_EVENT_RUNS, "p2_found": P2_FOUND, "p2_patterns": P2_PATTERNS, "p4_found": P4_FOUND}
+P4_SPLIT_REPORT = _RELATED + """, members AS (SELECT a FROM reach GROUP BY a HAVING min(b) < a)
+SELECT (SELECT count(*) FROM split_targets) AS splits, count(*) AS records, count(*) FILTER (lower(trim(label)) = 'anomaly') AS anomalies, count(*) FILTER (lower(trim(label)) = 'normal') AS normals,
+ count(*) - (SELECT count(*) FROM members) AS whole_groups, (SELECT count(*) FROM split_targets) AS near_target, (SELECT count(*) FROM split_targets) AS with_both_labels FROM block_sequences"""
+
+ORACLES = {"p1_found": P1_FOUND, "p1_runs": P1_RUNS, "p1_event_runs": P1_EVENT_RUNS, "p2_found": P2_FOUND, "p2_patterns": P2_PATTERNS, "p4_found": P4_FOUND, "p4_split_report": P4_SPLIT_REPORT}

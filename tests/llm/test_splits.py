@@ -90,13 +90,49 @@ def test_splits_keep_groups_shares_and_labels(spark):
         assert {"normal", "anomaly"} <= {(table[i]["label"] or "").strip().lower() for i in own}
 
 
-def test_large_bundles_are_spread_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(S, "RANKED", 50)
+def test_members_of_a_bundle_are_ranked_exactly(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGES", 16)
     rows = [(i, f"b{i}", sig(i), i % 10 == 0, "x") for i in range(2000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = S.grouped_splits(df, "row_id", F.col("label"), SHARES, S.signature_key(F.col("trace_signature")), block_key(F.col("block_id")))
+    keys = (S.signature_key(F.col("trace_signature")), block_key(F.col("block_id")))
+    got = S.grouped_splits(df, "row_id", F.col("label"), SHARES, *keys)
     counts = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
-    assert sum(counts.values()) == 2000 and all(abs(counts[n] / 2000 - s) < 0.04 for n, s in SHARES)
+    assert counts == {"test": 300, "train": 1400, "validation": 300}
+    again = S.grouped_splits(df.repartition(7).orderBy(F.desc("row_id")), "row_id", F.col("label"), SHARES, *keys)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_split_report(spark):
+    rows = [("test", "a", True), ("test", "a", False), ("train", "b", True), ("train", "c", None), ("test", "c", None)]
+    report = {r["split"]: r for r in S.split_report(spark.createDataFrame(rows, "split string, root string, y boolean"), "y", SHARES).collect()}
+    assert {k: (r["records"], r["yes"], r["no"], r["groups"], r["crossing"]) for k, r in report.items()} == {"test": (3, 1, 1, 2, 1), "train": (2, 1, 0, 2, 1), "validation": (0, 0, 0, 0, 0)}
+    assert report["test"]["share"] == 0.6 and report["train"]["target"] == 0.7
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_move_or_exchange_lowers_the_cost(seed):
+    rng = np.random.default_rng(seed)
+    bundles = np.unique(np.concatenate([rng.integers(0, 6, (20, 3)), rng.integers(0, 200, (5, 3)), [[1, 0, 0], [0, 1, 0]]]), axis=0)
+    bundles = bundles[bundles.sum(1) > 0]
+    counts, share = rng.integers(1, 40, len(bundles)), np.array([0.15, 0.7, 0.15])
+    counts[bundles.sum(1) > 20] = 1
+    flow = S.allocate(bundles, counts, share)
+    assert (flow.sum(1) == counts).all() and (flow >= 0).all()
+    size = np.c_[bundles.sum(1), bundles] / np.maximum((np.c_[bundles.sum(1), bundles] * counts[:, None]).sum(0), 1)
+    whole = size.T @ counts
+    cost = lambda f: (((f.T @ size - share[:, None] * whole) ** 2).sum(1) / share).sum()
+    now = cost(flow)
+    for _ in range(3000):
+        other = flow.copy()
+        i, j = rng.integers(0, len(bundles), 2)
+        a, b = rng.choice(3, 2, replace=False)
+        other[i, a] -= 1
+        other[i, b] += 1
+        if rng.random() < 0.7:
+            other[j, b] -= 1
+            other[j, a] += 1
+        if (other >= 0).all():
+            assert cost(other) >= now - 1e-9
 
 
 def test_allocation():

@@ -110,7 +110,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str) -> Encoder:
+def encoder_of(path: str = VOCABULARY) -> Encoder:
+    """The encoder of a vocabulary, kept by the process."""
     return Encoder(path)
 
 
@@ -124,7 +125,7 @@ def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY, only_coun
     n = 1 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             ids = [encoder(x) for x in batch.column(n).to_pylist()]
             made = pa.array([len(x) for x in ids], pa.int64()) if only_count else pa.array(ids, pa.list_(pa.int32()))

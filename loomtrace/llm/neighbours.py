@@ -63,7 +63,8 @@ def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return right[good], (values / np.linalg.norm(values, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _means(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+def means(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means: up to ``count`` centres of unit rows."""
     rng = np.random.default_rng(7)
     centres = vectors[rng.choice(len(vectors), min(count, len(vectors)), replace=False)].astype(np.float32)
     for _ in range(rounds):
@@ -81,14 +82,14 @@ def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _centres(vectors: np.ndarray, count: int) -> np.ndarray:
     """About ``count`` centres of the distinct ``vectors``, none with more than `UNEVEN` times its share of them."""
-    centres, most = _means(vectors, count), UNEVEN * len(vectors) / count
+    centres, most = means(vectors, count), UNEVEN * len(vectors) / count
     while True:
         own = _nearest(vectors, centres)
         sizes = np.bincount(own, minlength=len(centres))
         large = np.flatnonzero((sizes > most) & (sizes > 1))
         if not len(large):
             return centres
-        divided = [_means(vectors[own == c], math.ceil(sizes[c] * count / len(vectors))) for c in large]
+        divided = [means(vectors[own == c], math.ceil(sizes[c] * count / len(vectors))) for c in large]
         centres = np.unique(np.concatenate([np.delete(centres, large, axis=0), *divided]), axis=0)
         if len(centres) <= len(sizes):  # no further division
             return centres

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm.encode import encode
-from loomtrace.llm.mixing import language_key, mix_sources, topic_key
+from loomtrace.llm.mixing import Mix, language_key, mix_sources, sized_documents
 from loomtrace.llm.neighbours import measured_recall, nearest_vectors
 from loomtrace.llm.patterns import frequent_patterns
 from loomtrace.llm.runs import collapse_event_rows, collapse_runs
@@ -14,6 +14,7 @@ from loomtrace.llm.sequences import block_key, both_sources
 from loomtrace.llm.sql import ORACLES
 from loomtrace.llm.splits import grouped_splits, related_pairs, signature_key, split_report
 from loomtrace.llm.truncation import truncated_texts, truncation_by_source
+from loomtrace.session import shared_checkpoint
 from loomtrace.sources.tables import table
 
 
@@ -100,22 +101,32 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents").withColumns({"lang": language_key(F.col("lang")), "topic": topic_key(F.col("text"))})
-    sized = encode(documents, "doc_id", "text", only_count=True, keep=("source", "lang", "topic"))
+def _mix(spark: SparkSession, sf_dir: str, all_tokens: bool = False) -> Mix:
+    documents = table(spark, sf_dir, "documents").withColumn("lang", language_key(F.col("lang")))
+    sized = shared_checkpoint(sized_documents(documents, "doc_id", "text", ("source", "lang")))
     weights = [tuple(r) for r in table(spark, sf_dir, "mix_weights").select("source", "target_weight", "max_repeats").collect()]  # a fixed table of eight rows
-    return mix_sources(sized, "doc_id", weights)
+    return mix_sources(sized, "doc_id", weights, float(sized.agg(F.sum("n_tokens")).first()[0] or 0) if all_tokens else None)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix with their copies and their source's target and actual share."""
-    mixed, report = _mix(spark, sf_dir)
-    return mixed.join(F.broadcast(report.select("source", "target_share", "actual_share")), "source")
+    mixed, report, _ = _mix(spark, sf_dir)
+    return mixed.join(F.broadcast(report.select("source", "target_share", "actual_share")), "source")  # one row for each source
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every source of the mix."""
-    return _mix(spark, sf_dir)[1]
+    return _mix(spark, sf_dir).report
+
+
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every language and topic of the mix."""
+    return _mix(spark, sf_dir).marginals
+
+
+def p8_report_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a mix that is to have as many tokens as there are, so that some sources fall short at their caps."""
+    return _mix(spark, sf_dir, all_tokens=True).report
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +139,6 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(truncated_texts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p1_event_runs": p1_event_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p4_split_report": p4_split_report, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p1_event_runs": p1_event_runs, "p2_found": p2_found, "p2_patterns": p2_patterns, "p4_found": p4_found, "p4_splits": p4_splits, "p4_split_report": p4_split_report, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p6_recall": p6_recall, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p8_marginals": p8_marginals, "p8_report_total": p8_report_total, "p9_found": p9_found, "p9_sources": p9_sources}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -101,7 +101,7 @@ def sized(spark, counts):
 
 def test_mix_meets_its_shares(spark):
     df = sized(spark, {"a": 900, "B-C": 300, "small": 30, "other": 50})
-    mixed, report = X.mix_sources(df, "id", [("A", 0.5, 1), ("b_c ", 0.3, 2), ("small", 0.1, 4), ("missing", 0.1, 3)])
+    mixed, report, marginals = X.mix_sources(df, "id", [("A", 0.5, 1), ("b_c ", 0.3, 2), ("small", 0.1, 4), ("missing", 0.1, 3)])
     got = {r["source"]: r for r in report.collect()}
     assert {*got} == {"a", "b_c", "small", "missing"} and got["missing"]["mix_tokens"] == 0
     for name, share in (("a", 0.5), ("b_c", 0.3), ("small", 0.1)):
@@ -109,13 +109,17 @@ def test_mix_meets_its_shares(spark):
     most = {r["source"]: r["m"] for r in mixed.groupBy("source").agg(F.max("copies").alias("m")).collect()}
     assert most["small"] == 4 and most["a"] == 1 and most["b_c"] <= 2
     assert mixed.select("id").distinct().count() == mixed.count() and mixed.where("source = 'other'").count() == 0
+    assert got["small"]["at_cap"] and not got["a"]["at_cap"] and got["small"]["unused_tokens"] == 0 < got["a"]["unused_tokens"]
+    held = {(r["axis"], r["value"]): r for r in marginals.collect()}
+    assert {*held} == {("lang", x) for x in ("en", "de", "(other)")} | {("topic", x) for x in ("t1", "t2", "(other)")}
+    assert all(abs(r["target_share"] - r["actual_share"]) < 0.02 for r in held.values())
     again = X.mix_sources(df.repartition(7), "id", [("A", 0.5, 1), ("b_c ", 0.3, 2), ("small", 0.1, 4), ("missing", 0.1, 3)])[0]
     assert mixed.exceptAll(again).count() == 0
 
 
 def test_mix_that_cannot_be_met(spark):
     df = sized(spark, {"a": 200, "small": 10})
-    _, report = X.mix_sources(df, "id", [("a", 0.5, 2), ("small", 0.5, 2)], total_tokens=20_000)
+    _, report, _ = X.mix_sources(df, "id", [("a", 0.5, 2), ("small", 0.5, 2)], total_tokens=20_000)
     got = {r["source"]: r for r in report.collect()}
     assert got["small"]["mix_tokens"] == 2 * got["small"]["available_tokens"] and not got["small"]["met"]
     assert abs(got["a"]["mix_tokens"] - 10_000) < 200
@@ -123,7 +127,7 @@ def test_mix_that_cannot_be_met(spark):
 
 def test_mix_of_nothing(spark):
     empty = sized(spark, {"a": 1}).limit(0)
-    mixed, report = X.mix_sources(empty, "id", [("a", 1.0, 1), (None, 1.0, 1), ("b", None, None)])
+    mixed, report, _ = X.mix_sources(empty, "id", [("a", 1.0, 1), (None, 1.0, 1), ("b", None, None)])
     assert mixed.count() == 0 and [tuple(r)[:2] for r in report.orderBy("source").collect()] == [("a", 1.0), ("b", 0.0)]
 
 
@@ -135,15 +139,28 @@ def test_raking():
     assert np.allclose([got[:2].sum(), got[2:].sum()], 100) and np.allclose([got[[0, 2]].sum(), got[[1, 3]].sum()], [150, 50], atol=1e-3) and (w <= 1).all()
 
 
-def test_keys(spark):
-    df = spark.createDataFrame([("EN", "# Cache pins\n1. x"), ("en-US", "Subject: Trash sweep blk_1\n"), ("vie", "Slow seal: y"), (None, None), ("", "no head here")], "l string, t string")
-    got = [tuple(r) for r in df.select(X.language_key(F.col("l")), X.topic_key(F.col("t"))).collect()]
-    assert got == [("en", "Cache pins"), ("en", "Trash sweep"), ("vi", "Slow seal"), ("(other)", "(other)"), ("(other)", "(other)")]
+def test_language_keys(spark):
+    df = spark.createDataFrame([(x,) for x in ("EN", " en-US", "vie", None, "", "klingon", "de_AT")], "l string")
+    assert [r[0] for r in df.select(X.language_key(F.col("l"))).collect()] == ["en", "en", "vi", "(other)", "(other)", "(other)", "de"]
+
+
+def test_topics_part_unlike_texts(spark):
+    kinds = ["the database index was rebuilt after the failed migration", "rain and wind are expected over the northern hills tonight", "add two eggs and flour then stir the dough slowly"]
+    rows = [(i, kinds[i % 3] + f" {i}", "x") for i in range(90)] + [(90, None, "x"), (91, "", "x"), (92, " ", "x")]
+    df = spark.createDataFrame(rows, "id long, body string, topic string")
+    got = {r["id"]: (r["topic"], r["n_tokens"]) for r in X.sized_documents(df, "id", "body").collect()}
+    own = [{got[i][0] for i in range(k, 90, 3)} for k in range(3)]
+    assert not own[0] & own[1] and not own[1] & own[2] and not own[0] & own[2] and len(got) == 93
+    assert got[90] == ("(other)", 0) and got[91] == ("(other)", 0) and got[92][0] == "(other)" and got[92][1] > 0
+    assert X.sized_documents(df.limit(0), "id", "body").count() == 0
 
 
 def test_mix_query(spark):
     report = {r["source"]: r for r in QUERIES["p8_report"](spark, DATA).collect()}
     assert len(report) == 8 and QUERIES["p8_mix"](spark, DATA).count() == sum(r["n_docs"] for r in report.values())
+    total = {r["source"]: r for r in QUERIES["p8_report_total"](spark, DATA).collect()}
+    assert any(r["at_cap"] and r["mix_tokens"] < r["target_tokens"] for r in total.values())
+    assert {r["axis"] for r in QUERIES["p8_marginals"](spark, DATA).collect()} == {"lang", "topic"}
 
 
 def test_prefix_counts_over_many_parts(spark):

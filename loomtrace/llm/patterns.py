@@ -9,15 +9,17 @@ Scale. An entity's distinct sequences form a unit, equal units are counted once
 spread over several partitions by a hash of the unit. Since a partition then sees a part of a pivot's units, it
 counts every candidate and the sums are held against the threshold afterwards. Candidates are bounded by the
 alphabet: at most ``LAST_EVENT`` items, and only extensions by pairs that are frequent everywhere. An entity with
-more than ``MAX_UNIT`` distinct sequences is not gathered: tasks find the patterns of its sequences part by part, and
-its distinct patterns, which the alphabet bounds, are added to the sums. Only counts of items and ordered pairs reach
-the driver (at most 29 and 841 of each source).
+more than ``MAX_UNIT`` distinct sequences is not gathered: each of its sequences goes to its pivots' partitions by
+itself, wherever its hash sends it, and the distinct patterns of an entity, which the frequent pairs bound, are counted
+once. Both ways prune by the same counts, taken over all entities, so they find the same patterns. Only counts of items
+and ordered pairs reach the driver (at most 29 and 841 of each source).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from loomtrace.session import shared_checkpoint
 
 #: One letter for each event number, so that a sequence is a short text.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabc"
-#: Distinct sequences of one entity that are gathered into one unit.
+#: Distinct sequences of one entity that are gathered into one unit; those of larger entities are units of their own.
 MAX_UNIT = 64
 #: Units of one pivot that go to one partition.
 UNITS_A_PARTITION = 400_000
@@ -120,7 +122,7 @@ def _sequences(units: list[str], weights: np.ndarray, index: dict[str, int], nee
 
 
 def _count(seqs: Sequences, pairs: np.ndarray, pivot: int, lengths: tuple[int, ...], found: dict[tuple[int, ...], float]) -> None:
-    """Add to ``found`` the weights of the patterns that contain ``pivot`` (any pattern if it is negative)."""
+    """Add to ``found`` the weights of the patterns that contain ``pivot``."""
     longest = max(lengths)
 
     def grow(pattern: tuple[int, ...], base: np.ndarray, ends: np.ndarray, allowed: np.ndarray, has_pivot: bool) -> None:
@@ -144,7 +146,7 @@ def _count(seqs: Sequences, pairs: np.ndarray, pivot: int, lengths: tuple[int, .
                     grow(longer, base.take(keep), column.take(keep).astype(np.int64), onward, now)
 
     n, width = seqs.after.shape[:2]
-    grow((), np.arange(n, dtype=np.int64) * width, np.zeros(n, np.int64), np.ones(pairs.shape[0], bool), pivot < 0)
+    grow((), np.arange(n, dtype=np.int64) * width, np.zeros(n, np.int64), np.ones(pairs.shape[0], bool), False)
 
 
 def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,20 +188,20 @@ def frequent_patterns(df: DataFrame, min_share: float, lengths: tuple[int, ...]
         entities.where("seq = last").select("src", F.col("seq").alias("unit")).unionByName(gathered.select("src", "unit")).groupBy("src", "unit").agg(F.count("*").alias("w"))
     )
 
-    heavy = shared_checkpoint(_heavy_counts(many, lengths))
-    heavy_entities = {r["src"]: r["n"] for r in many.groupBy("src").agg(F.count_distinct("entity").alias("n")).collect()}
+    large = shared_checkpoint(many.select("src", "entity", F.col("seq").alias("unit")))
     totals = {r["src"]: r["n"] for r in entities.groupBy("src").agg(F.count("*").alias("n")).collect()}
     need = {src: max(1, math.ceil(n * min_share - 1e-9)) for src, n in totals.items()}
-    # what the gathered units must hold themselves for a pattern to be frequent with all large entities added
-    floor = {src: max(1, n - heavy_entities.get(src, 0)) for src, n in need.items()}
 
-    items = units.select("src", "w", F.explode(F.array_distinct(F.split(F.replace("unit", F.lit(" "), F.lit("")), ""))).alias("item")).where("item <> ''")
+    own_items = F.explode(F.array_distinct(F.split(F.replace("unit", F.lit(" "), F.lit("")), ""))).alias("item")
+    large_items = large.select("src", "entity", own_items).distinct().select("src", F.lit(1).cast("long").alias("w"), "item")
+    items = units.select("src", "w", own_items).unionByName(large_items).where("item <> ''")
     item_rows = items.groupBy("src", "item").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
-    pair_rows = units.mapInPandas(_pair_counts, "src string, a int, b int, w long").groupBy("src", "a", "b").agg(F.sum("w").alias("w")).collect()
+    large_pairs = _spread(large, "src", "entity").mapInPandas(_entity_pairs, "src string, entity string, a int, b int").distinct().select("src", "a", "b", F.lit(1).cast("long").alias("w"))
+    pair_rows = units.mapInPandas(_pair_counts, "src string, a int, b int, w long").unionByName(large_pairs).groupBy("src", "a", "b").agg(F.sum("w").alias("w")).collect()
 
     plan: dict[str, tuple[str, np.ndarray]] = {}
-    parts = []
-    for src, n in floor.items():
+    parts, large_parts = [], []
+    for src, n in need.items():
         order = [r for r in sorted(item_rows, key=lambda r: (-r["w"], r["item"])) if r["src"] == src and r["w"] >= n]
         alphabet = "".join(r["item"] for r in order)
         where = {x: i for i, x in enumerate(alphabet)}
@@ -217,10 +219,11 @@ def frequent_patterns(df: DataFrame, min_share: float, lengths: tuple[int, ...]
             salt = F.pmod(F.xxhash64(rewritten), F.lit(spread)).cast("int") if spread > 1 else F.lit(0)
             routes.append(F.when(F.contains("unit", F.lit(r["item"])), F.struct(F.lit(i).alias("pivot"), salt.alias("salt"), rewritten.alias("unit"))))
         if routes:
-            routed = units.where(F.col("src") == src).select("src", "w", F.explode(F.array_compact(F.array(*routes))).alias("r")).select("src", "w", "r.*")
-            parts.append(routed.where(F.length("unit") >= shortest))
+            for rows_of, also, into in ((units, "w", parts), (large, "entity", large_parts)):
+                routed = rows_of.where(F.col("src") == src).select("src", also, F.explode(F.array_compact(F.array(*routes))).alias("r")).select("src", also, "r.*")
+                into.append(routed.where(F.length("unit") >= shortest))
     if not parts:
-        return heavy.groupBy("src", "pattern").agg(F.sum("n").alias("support")).where("false")
+        return units.select("src", F.lit("").alias("pattern"), F.col("w").alias("support")).where("false")
 
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple[str, int], dict[tuple[int, ...], float]] = {}
@@ -251,9 +254,21 @@ def frequent_patterns(df: DataFrame, min_share: float, lengths: tuple[int, ...]
             if counts:
                 yield pd.DataFrame({"src": src, "pattern": ["".join(alphabet[i] for i in p) for p in counts], "n": np.rint([*counts.values()]).astype(np.int64)})
 
-    routed = parts[0]
-    for part in parts[1:]:
-        routed = routed.unionByName(part)
+    def of_entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (src, pivot, entity), part in batch.groupby(["src", "pivot", "entity"], sort=False):
+                alphabet, pairs = plan[src]
+                texts = part["unit"].unique().tolist()
+                found: dict[tuple[int, ...], float] = {}
+                index = {x: i for i, x in enumerate(alphabet[: pivot + 1])}
+                for seqs in _sequences(texts, np.ones(len(texts)), index, alphabet[pivot], shortest):
+                    _count(seqs, pairs[: pivot + 1, : pivot + 1], pivot, lengths, found)
+                if found:
+                    yield pd.DataFrame({"src": src, "entity": entity, "pattern": ["".join(alphabet[i] for i in p) for p in found]})
+
+    routed, large_routed = (reduce(DataFrame.unionByName, some) for some in (parts, large_parts))
+    held = _spread(large_routed.drop("salt"), "src", "pivot", "entity").mapInPandas(of_entities, "src string, entity string, pattern string")
+    heavy = held.distinct().groupBy("src", "pattern").agg(F.count("*").alias("n"))
     mined = routed.repartition("src", "pivot", "salt").sortWithinPartitions("src", "pivot").select("src", "pivot", "unit", "w").mapInPandas(mine, "src string, pattern string, n long")
     enough = F.element_at(F.create_map(*(x for src, n in need.items() for x in (F.lit(src), F.lit(n)))), F.col("src"))
     name = F.create_map(*(x for i, letter in enumerate(LETTERS) for x in (F.lit(letter), F.lit(f"E{i + 1}"))))
@@ -266,20 +281,23 @@ def frequent_patterns(df: DataFrame, min_share: float, lengths: tuple[int, ...]
     )
 
 
-def _heavy_counts(many: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """How many of the entities with too many sequences to gather hold each pattern."""
+def _spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows over all tasks by a hash of the whole row, equal keys together within a task."""
+    return df.repartition(*df.columns).sortWithinPartitions(*key)
 
-    def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {x: i for i, x in enumerate(LETTERS)}
-        pairs = np.ones((len(LETTERS), len(LETTERS)), bool)
-        for batch in batches:
-            for (src, entity), part in batch.groupby(["src", "entity"], sort=False):
-                found: dict[tuple[int, ...], float] = {}
-                texts = part["seq"].tolist()
-                for seqs in _sequences(texts, np.ones(len(texts)), index, None, min(lengths)):
-                    _count(seqs, pairs, -1, lengths, found)
-                if found:
-                    yield pd.DataFrame({"src": src, "entity": entity, "pattern": ["".join(LETTERS[i] for i in p) for p in found]})
 
-    held = many.select("src", "entity", "seq").repartition("src", "entity", F.pmod(F.xxhash64("seq"), F.lit(64))).sortWithinPartitions("src", "entity")
-    return held.mapInPandas(patterns, "src string, entity string, pattern string").distinct().groupBy("src", "pattern").agg(F.count("*").alias("n"))
+def _entity_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ordered pairs that the sequences of each entity hold, once for each batch."""
+    index = {x: i for i, x in enumerate(LETTERS)}
+    n = len(LETTERS)
+    for batch in batches:
+        for (src, entity), part in batch.groupby(["src", "entity"], sort=False):
+            held = np.zeros((n, n), bool)
+            texts = part["unit"].unique().tolist()
+            for seqs in _sequences(texts, np.ones(len(texts)), index, None, 2):
+                base, first = np.arange(len(seqs.after), dtype=np.int64) * seqs.after.shape[1], seqs.after[:, 0]
+                for item in range(n):
+                    if len(keep := np.flatnonzero(first[:, item])):
+                        held[item] |= seqs.held(base[keep], first[keep, item].astype(np.int64))[1] > 0
+            a, b = np.nonzero(held)
+            yield pd.DataFrame({"src": src, "entity": entity, "a": a.astype(np.int32), "b": b.astype(np.int32)})

@@ -19,7 +19,7 @@ def same_events(templates: DataFrame, id_col: str = "EventId", template_col: str
     Numbers are the same event when their templates have the same `template_key`, also through other numbers. At
     most `LAST_EVENT` numbers exist, so at most the square of that many rows reach the driver, whatever the table's
     size. Rows whose id is no event id and null templates are ignored; an empty table makes every event its own."""
-    number = F.substring(event_values(F.col(id_col)), 2, 12).try_cast("int").alias("n")
+    number = F.substr(event_values(F.col(id_col)), F.lit(2)).try_cast("int").alias("n")
     keyed = (
         templates.select(number, template_key(F.col(template_col)).alias("k"))
         .where(F.col("n").between(1, LAST_EVENT) & F.col("k").isNotNull())

@@ -86,9 +86,10 @@ def event_values(text: Column) -> Column:
     or its brackets or quotes are unpaired, ``?`` where a value is no event id, '' for no value."""
     body = text.substr(F.lit(2), F.length(text) - 2)
     bare = F.replace(F.replace(text.substr(F.lit(3), F.length(text) - 4), F.lit('", "'), F.lit(",")), F.lit('","'), F.lit(","))
-    json_like = text.rlike(r'^\["[E0-9", ]*"\]\z')
+    short = ~text.rlike("E0|[0-9]{3}")  # other spellings are for the general way to judge
+    json_like = short & text.rlike(r'^\["[E0-9", ]*"\]\z')
     return (
-        F.when(text.rlike(r"^\[[E0-9,]*\]\z"), body)
+        F.when(short & text.rlike(r"^\[[E0-9,]*\]\z"), body)
         .when(json_like & bare.rlike(r"^[E0-9,]+\z"), bare)
         .when(text.isNotNull(), _general(text, _EVENT, "E"))
     )
@@ -107,7 +108,7 @@ def event_numbers(values: Column, names: Sequence[int] | None = None) -> Column:
     ``names`` replaces number n by ``names[n]``, for events that are the same under several numbers."""
     names = list(names) if names else list(range(LAST_EVENT + 1))
     table = F.array(F.lit(None).cast("int"), *(F.lit(n) for n in names[1:]))
-    numbers = F.transform(F.split(values, ","), lambda x: F.when(x.startswith("E"), F.get(table, x.substr(F.lit(2), F.lit(12)).try_cast("int"))))
+    numbers = F.transform(F.split(values, ","), lambda x: F.when(x.startswith("E"), F.get(table, F.substr(x, F.lit(2)).try_cast("int"))))
     return F.when(values == "", F.array().cast("array<int>")).otherwise(numbers)
 
 

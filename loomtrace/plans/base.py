@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions.sequences import BLANKS, bracket_list, number_list, trace_signature
+from loomtrace.operators.unpack import accepted, typed_traces
+from loomtrace.plans.packing_sql import TRACES as JUDGED
 from loomtrace.sources.tables import table
 
 TRIM = r"' ' || chr(9) || chr(13) || chr(10)"
@@ -29,16 +31,18 @@ raw AS (
          CASE WHEN NOT list_contains(gitems, '') THEN list_transform(gitems, lambda x: try_cast(x AS DOUBLE)) END AS gaps
   FROM raw1)"""
 
-#: SQL of one trace per block: its first row whose list is well formed and holds plain event ids only.
+#: SQL of one trace per block: its first valid row that has a label.
 TRACES_SQL = (
-    RAW_SQL
+    f"""valid AS (
+  WITH {JUDGED}
+  SELECT row_id, nullif(lower(trim(BlockId, {TRIM})), '') AS block_id, CASE lower(trim(Label, {TRIM})) WHEN 'success' THEN 'Normal' WHEN 'fail' THEN 'Anomaly' END AS label, Type AS type, Latency AS latency,
+         list_transform(events, lambda x: 'E' || x) AS event_ids, list_transform(gap_texts, lambda x: x::DOUBLE) AS gaps
+  FROM judged JOIN event_traces USING (row_id) WHERE fault IS NULL)"""
     + """,
 traces AS (
   SELECT block_id, t.* FROM (
     SELECT block_id, arg_min(struct_pack(row_id := row_id, event_ids := event_ids, label := label, type := type, gaps := gaps, latency := latency), row_id) AS t
-    FROM raw
-    WHERE block_id IS NOT NULL AND label IS NOT NULL AND len(event_ids) > 0 AND len(list_filter(event_ids, lambda x: NOT regexp_full_match(x, 'E([1-9]|1[0-9]|2[0-9])'))) = 0
-    GROUP BY block_id)),
+    FROM valid WHERE block_id IS NOT NULL AND label IS NOT NULL GROUP BY block_id)),
 signed AS (SELECT *, sha256(to_json(event_ids)::VARCHAR) AS sig FROM traces),
 splits AS (
   SELECT *, CASE WHEN p < 70 THEN 'train' WHEN p < 85 THEN 'validation' ELSE 'test' END AS split
@@ -46,6 +50,11 @@ splits AS (
 )
 
 
+def block_key(block: Column) -> Column:
+    """A block id without letter case and surrounding blanks; null for a blank one."""
+    return F.nullif(F.lower(F.btrim(block, F.lit(BLANKS))), F.lit(""))
+
+
 def clean_label(label: Column) -> Column:
     """Normal or Anomaly of the source's Success and Fail; null for anything else."""
     word = F.lower(F.btrim(label, F.lit(BLANKS)))
@@ -56,7 +65,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of event_traces with clean keys and labels and parsed lists, which are null where malformed."""
     return table(spark, sf_dir, "event_traces").select(
         "row_id",
-        F.nullif(F.lower(F.btrim("BlockId", F.lit(BLANKS))), F.lit("")).alias("block_id"),
+        block_key(F.col("BlockId")).alias("block_id"),
         clean_label(F.col("Label")).alias("label"),
         F.col("Type").alias("type"),
         F.col("Features").alias("features"),
@@ -72,16 +81,19 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace per block: ``block_id``, ``row_id``, ``event_ids``, ``label``, ``type``, ``gaps``, ``latency``.
 
-    A block's trace is its first row, by row_id, with a label and a well-formed list of plain event ids. Rows are
-    reduced to one per block before and after one shuffle by block."""
-    plain = F.get(F.transform(F.array("event_ids"), lambda e: (F.size(e) > 0) & ~F.exists(e, lambda x: ~x.rlike(r"^E(?:[1-9]|1[0-9]|2[0-9])\z"))), F.lit(0))
-    usable = (
-        raw_rows(spark, sf_dir)
-        .withColumn("_ok", F.when(F.spark_partition_id() >= 0, plain))  # evaluated once, above the parsed list
-        .where(F.col("block_id").isNotNull() & F.col("label").isNotNull() & F.col("_ok"))
+    A block's trace is its first row, by row_id, that can be loaded (see `typed_traces`) and has a label. Rows are reduced
+    to one per block before and after one shuffle by block."""
+    usable = accepted(typed_traces(table(spark, sf_dir, "event_traces"))).select(
+        "row_id",
+        block_key(F.col("BlockId")).alias("block_id"),
+        clean_label(F.col("Label")).alias("label"),
+        F.col("Type").alias("type"),
+        F.col("Latency").alias("latency"),
+        F.transform("_events", lambda n: F.concat(F.lit("E"), n.cast("string"))).alias("event_ids"),
+        F.col("_gaps").alias("gaps"),
     )
     first = F.min_by(F.struct("row_id", "event_ids", "label", "type", "gaps", "latency"), "row_id")
-    return usable.groupBy("block_id").agg(first.alias("t")).select("block_id", "t.*")
+    return usable.where("block_id IS NOT NULL AND label IS NOT NULL").groupBy("block_id").agg(first.alias("t")).select("block_id", "t.*")
 
 
 def signed(df: DataFrame) -> DataFrame:

@@ -30,11 +30,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows and lines that can be loaded, as typed traces."""
-    columns = ("BlockId", "Label", "Type", "_events", "_gaps", "_latency")
+    """The rows and lines that can be loaded, as typed traces; their lists as texts of plain ids and of gaps with three
+    decimals."""
+    three = lambda x: F.coalesce(x.try_cast("decimal(38,3)").cast("string"), F.format_string("%.3f", x.try_cast("double")))
 
     def typed(df: DataFrame, src: str, key: str) -> DataFrame:
-        return accepted(df).select(F.lit(src).alias("src"), F.col(key).alias("row_id"), *(F.col(c).alias(c.lstrip("_")) for c in columns))
+        ids = F.array_join(F.transform("_events", lambda n: F.concat(F.lit("E"), n.cast("string"))), " ")
+        gaps = F.when(F.col("_gap_values") == "", "").otherwise(F.array_join(F.transform(F.split("_gap_values", ","), three), " "))
+        return accepted(df).select(F.lit(src).alias("src"), F.col(key).alias("row_id"), "BlockId", "Label", "Type", ids.alias("events"), gaps.alias("gaps"), F.col("_latency").alias("latency"))
 
     return typed(typed_traces(table(spark, sf_dir, "event_traces")), "event_traces", "row_id").unionByName(
         typed(typed_lines(table(spark, sf_dir, "raw_trace_lines")), "raw_trace_lines", "line_id")
@@ -42,4 +45,4 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p5_found": p5_found, "p5_loaded": p5_loaded}
-ORACLES = {"p3_found": packing_sql.P3_FOUND, "p3_values": packing_sql.P3_VALUES, "p5_found": packing_sql.P5_FOUND}
+ORACLES = {"p3_found": packing_sql.P3_FOUND, "p3_values": packing_sql.P3_VALUES, "p5_found": packing_sql.P5_FOUND, "p5_loaded": packing_sql.P5_LOADED}

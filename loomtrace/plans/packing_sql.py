@@ -60,9 +60,14 @@ texts AS (SELECT row_id, quoting, n, CASE WHEN n = 6 THEN {_nth(3)} END AS f, CA
 P5_FOUND = f"""SELECT * FROM (WITH {TRACES} SELECT 'event_traces' AS src, row_id, fault AS reason FROM judged WHERE fault IS NOT NULL)
 UNION ALL SELECT * FROM (WITH {LINES}{TYPED} SELECT 'raw_trace_lines' AS src, row_id, CASE WHEN quoting THEN 'quoting' WHEN n IS NULL OR n <> 6 THEN 'columns' ELSE fault END AS reason FROM judged WHERE quoting OR n IS NULL OR n <> 6 OR fault IS NOT NULL)"""
 
+_THREE = "list_transform(gap_texts, lambda x: CASE WHEN starts_with(x, '.') THEN '0' || x ELSE x END::DECIMAL(38, 3)::VARCHAR)"
+_LISTS = f"array_to_string(list_transform(events, lambda x: 'E' || x), ' ') AS events, array_to_string({_THREE}, ' ') AS gaps, l AS latency"
+P5_LOADED = f"""SELECT * FROM (WITH {TRACES} SELECT 'event_traces' AS src, row_id, BlockId, Label, Type, {_LISTS} FROM judged JOIN event_traces USING (row_id) WHERE fault IS NULL)
+UNION ALL SELECT * FROM (WITH {LINES}{TYPED} SELECT 'raw_trace_lines' AS src, judged.row_id, {_nth(0)} AS BlockId, {_nth(1)} AS Label, {_nth(2)} AS Type, {_LISTS} FROM judged JOIN shaped ON shaped.row_id = judged.row_id WHERE NOT judged.quoting AND n = 6 AND fault IS NULL)"""
+
 _VALUES = f"""WITH {TRACES},
 lists AS (SELECT row_id, 'Features' AS field, f AS text, list_transform(events, lambda x: 'E' || x) AS v FROM judged WHERE fault IS NULL
-  UNION ALL SELECT row_id, 'TimeInterval', g, list_transform(gap_texts, lambda x: CASE WHEN starts_with(x, '.') THEN '0' || x ELSE x END::DECIMAL(38, 3)::VARCHAR) FROM judged WHERE fault IS NULL),
+  UNION ALL SELECT row_id, 'TimeInterval', g, {_THREE} FROM judged WHERE fault IS NULL),
 flat AS (SELECT row_id, field, text, unnest(v) AS value, (generate_subscripts(v, 1) - 1)::INT AS pos FROM lists)"""
 P3_VALUES = _VALUES + " SELECT row_id, field, pos, value FROM flat"
 P3_FOUND = _VALUES + r""" SELECT row_id, field, pos, value FROM flat WHERE NOT regexp_full_match(text, '\[[^ \t\r\n"''`,;|/:>]*(?:,[^ \t\r\n"''`,;|/:>]+)*\]')"""

@@ -98,7 +98,7 @@ query("occurrence_matrix", T + " SELECT block_id, label, type, " + ", ".join(f"l
     lambda s, d: P.occurrence_matrix(traces(s, d), _EVENTS)
 )
 _SUMMARY = ", ".join(f"round(quantile_cont({{0}}::DOUBLE, {p}), 6) AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99))
-_DESCRIBE = T + " SELECT label, '{0}' AS measure, count({0}) AS n, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, min({0})::DOUBLE AS min, " + _SUMMARY + ", max({0})::DOUBLE AS max FROM (SELECT label, latency, len(event_ids) AS length FROM traces) GROUP BY label"
+_DESCRIBE = " SELECT label, '{0}' AS measure, count({0}) AS n, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, min({0})::DOUBLE AS min, " + _SUMMARY + ", max({0})::DOUBLE AS max FROM (SELECT label, latency, len(event_ids) AS length FROM traces) GROUP BY label"
 
 
 def _describe(s, d, value):
@@ -106,8 +106,8 @@ def _describe(s, d, value):
     return made.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p50", "p90", "p95", "p99")})
 
 
-query("summary_by_label_length", _DESCRIBE.format("length"))(lambda s, d: _describe(s, d, "length"))
-query("summary_by_label_latency", _DESCRIBE.format("latency"))(lambda s, d: _describe(s, d, "latency"))
+query("summary_by_label_length", T + _DESCRIBE.format("length"))(lambda s, d: _describe(s, d, "length"))
+query("summary_by_label_latency", T + _DESCRIBE.format("latency"))(lambda s, d: _describe(s, d, "latency"))
 query("type_distribution", T + " SELECT label, type, count(*) AS n FROM traces GROUP BY ALL")(lambda s, d: P.type_tables(traces(s, d))[0])
 query("type_missingness", T + " SELECT label, count(*) AS rows, count(*) FILTER (type IS NULL) AS missing FROM traces GROUP BY label")(lambda s, d: P.type_tables(traces(s, d))[1])
 query("type_leak_mismatches", T + " SELECT count(*) AS rows, count(*) FILTER ((type IS NOT NULL) <> (label = 'Anomaly')) AS mismatches FROM traces")(lambda s, d: P.type_tables(traces(s, d))[2])

@@ -15,7 +15,7 @@ TRACES = "row_id long, Features string, TimeInterval string, Latency double"
 EDGES = [
     None, "", " ", "[]", "[ ]", "[E1]", "[E1,E2]", "E1,E2", "{E1;E2}", "<E1:E2>", "(E1 / E2)", "E1->E2", "E1 E2", "E1\tE2", "[E1\nE2]", "['E1', 'E2']", '["E1","E2"]', '[""E1"",""E2""]',
     "'E1';'E2'", "[e01,E_2]", "[E1,,E2]", "[E1,]", "[,E1]", "[E1", "E1]", "[E1)", '[E1,"E2]', '["E1\']', "[E0]", "[E30]", "[E29]", "[X1]", "[1E]", "[E]", "E-5|E#6", "[E1]\n", " [ E1 , E2 ] ", "[[E1]]", "nan",
-    '"E1"E2', '["E1" "E2"]', "[E1 ; E2 | E3]", "E:5,E/6", "E;5", "[E,5]",
+    '"E1"E2', '["E1" "E2"]', "[E1 ; E2 | E3]", "E:5,E/6", "E;5", "[E,5]", "[E0000000000051]", "[E000000000005E7]", "[E00000000000005]", "(E00000000000005)", '["E00000000000005"]', "[E00000000001599]", "[E005]", "[E123]", "[EE5]", "[5]", "[E5E]",
 ]
 NUMBERS = [None, "", "[]", "[1.0]", "[1]", "[.5]", "[5.]", '["1,5"]', "[1,5]", '"1,5";2.5', "[-1]", "[-0.0]", "[1e3]", "[inf]", "[NaN]", "[1.2.3]", "[0x1F]", "1|2 ;3", "[1.0\n2.0]", "[+1]", "[1,]", "['1']", "[9" + "9" * 400 + "]"]
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.sequences import hash_part, template_text
+from loomtrace.operators.allocation import allocate
 from loomtrace.session import shared_checkpoint
 
 SPLITS = ("train", "validation", "test")
@@ -41,78 +42,18 @@ def hash_split(df: DataFrame, key: str = "sig", train: int = 70, validation: int
     return df.withColumn("split", F.when(part < train, "train").when(part < train + validation, "validation").otherwise("test"))
 
 
-def greedy_classes(blocks: np.ndarray, anomalies: np.ndarray, members: np.ndarray, fractions: Sequence[float], passes: int = 5) -> np.ndarray:
-    """How many groups of each class go to each split, a row for each class of ``members`` groups that agree in blocks
-    and anomalies.
-
-    Largest first, each group goes to the split where the squared deviation of blocks and anomalies grows least. The
-    growth rises evenly with every group of the class that a split has got, so the steps of a whole class are found at
-    once. Then up to ``passes`` rounds allocate each class anew against all others where that lowers the deviation; no
-    split loses its last normal or anomalous block by that."""
-    sums = np.array([max((blocks * members).sum(), 1), max((anomalies * members).sum(), 1)], float)
-    weight = np.c_[blocks, anomalies] / sums
-    order = np.argsort(-weight.max(1, initial=0), kind="stable")
-    target = np.asarray(fractions)[:, None] * (weight * members[:, None]).sum(0)
-    load, chosen = np.zeros((len(fractions), 2)), np.zeros((len(blocks), len(fractions)), np.int64)
-
-    def gain(w: np.ndarray) -> np.ndarray:
-        return (w * (2 * (load - target) + w)).sum(1)
-
-    def allocated(w: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` cheapest steps; the x-th of a split costs its gain and x times ``rise``."""
-        first, rise = gain(w), 2 * (w * w).sum()
-        if n == 1 or rise == 0:
-            return n * np.eye(len(fractions), dtype=np.int64)[first.argmin()]
-        up = np.sort(first)
-        level = next(x for i in range(len(up), 0, -1) if (x := (n * rise + up[:i].sum()) / i) >= up[i - 1])
-        made = np.maximum(np.floor((level - first) / rise).astype(np.int64) - 1, 0)
-        for _ in range(n - int(made.sum())):
-            made[(first + made * rise).argmin()] += 1
-        return made
-
-    for g in order:
-        chosen[g] = allocated(weight[g], int(members[g]))
-        load += chosen[g][:, None] * weight[g]
-    for _ in range(passes):
-        moved = False
-        for g in order:
-            w, old = weight[g], chosen[g].copy()
-            before = ((load - target) ** 2).sum()
-            load -= old[:, None] * w
-            new = allocated(w, int(members[g]))
-            left = (load + new[:, None] * w) * sums
-            lost = (new < old) & ((left[:, 1] < 0.5) | (left[:, 0] - left[:, 1] < 0.5))
-            if (lost.any() or ((load + new[:, None] * w - target) ** 2).sum() >= before - 1e-15) and (new != old).any():
-                new = old
-            load += new[:, None] * w
-            moved |= bool((new != old).any())
-            chosen[g] = new
-        if not moved:
-            break
-    return chosen
-
-
-def greedy_groups(blocks: np.ndarray, anomalies: np.ndarray, fractions: Sequence[float], passes: int = 5) -> np.ndarray:
-    """The split of each group by `greedy_classes`; the groups of a class fill the splits in the given order."""
-    classes, of, members = np.unique(np.c_[blocks, anomalies], axis=0, return_inverse=True, return_counts=True)
-    counts = greedy_classes(classes[:, 0], classes[:, 1], members, fractions, passes)
-    chosen = np.empty(len(blocks), np.int64)
-    chosen[np.argsort(of.ravel(), kind="stable")] = np.repeat(np.tile(np.arange(len(fractions)), len(classes)), counts.ravel())
-    return chosen
-
-
-def greedy_split(df: DataFrame, seed: int = 42, validation: float = 0.15, test: float = 0.15, key: str = "sig", most_groups: int | None = None) -> DataFrame:
+def greedy_split(df: DataFrame, seed: int = 42, validation: float = 0.15, test: float = 0.15, key: str = "sig") -> DataFrame:
     """Groups stay whole; sizes and anomalies of the splits come near their shares.
 
-    Every group takes part: the driver gets the classes of equal blocks and anomalies with their counts, and a group's
-    split comes from its seeded rank in its class, by counts of hash ranges as in `stratified_split`. ``most_groups``
-    is accepted and has no effect."""
+    Every group takes part: the driver gets the classes of equal blocks and anomalies with their counts, which
+    `allocate` distributes, and a group's split comes from its seeded rank in its class, by counts of hash ranges as in
+    `stratified_split`. Every split has blocks of both labels where there are enough groups."""
     size = ["_blocks", "_anomalies"]
     counted = df.groupBy(key).agg(F.count("*").alias("_blocks"), F.count_if(F.col("label") == "Anomaly").alias("_anomalies"))
     groups = counted.withColumn("_key", seeded(seed, key)).withColumn("_range", F.left("_key", F.lit(3)))
     table = groups.groupBy(*size).agg(F.count("*").alias("n")).toPandas().sort_values(size).reset_index(drop=True)
     blocks, anomalies, members = (table[c].to_numpy(np.int64) for c in (*size, "n"))
-    ends = greedy_classes(blocks, anomalies, members, (1 - validation - test, validation, test)).cumsum(1)
+    ends = allocate(np.c_[blocks - anomalies, anomalies], members, (1 - validation - test, validation, test)).cumsum(1)
     rows = [(int(b), int(a), int(e[0]), int(e[1])) for b, a, e in zip(blocks, anomalies, ends)]
     cuts = df.sparkSession.createDataFrame(rows, "_blocks long, _anomalies long, _train long, _validation long")
     ranges = groups.groupBy(*size, "_range").agg(F.count("*").alias("_n"))

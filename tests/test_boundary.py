@@ -23,7 +23,7 @@ def test_answers(spark):
     for r in df.select("t", M.parsed_answer(F.col("t")).alias("x")).collect():
         assert tuple(r["x"]) == ANSWERS.get(r["t"], ("INVALID_OUTPUT", ""))
         if r["t"]:
-            assert C.looks_valid(r["t"]) == (r["x"]["label"] != "INVALID_OUTPUT")
+            assert (C.read_answer(r["t"]) or "INVALID_OUTPUT") == r["x"]["label"]
 
 
 def test_prompts_hold_no_label_of_the_query(spark):
@@ -127,11 +127,18 @@ CONFIG = {
 
 def test_settings_and_reuse(tmp_path):
     assert runs.problems(CONFIG) == []
-    assert "sampling.seed" in runs.problems(CONFIG | {"sampling": {"seed": "1", "validation": 0, "test": "all"}})
+    assert runs.problems(CONFIG | {"sampling": {"seed": "1", "validation": 0, "test": "all"}}) == ["sampling.seed", "sampling.validation"]
+    knn = lambda **x: runs.problems(CONFIG | {"knn": CONFIG["knn"] | x})
+    assert knn(ngram_range=[3, 2]) == ["knn.ngram_range"] == knn(ngram_range=[2]) and knn(hash_dim=True) == ["knn.hash_dim"] and knn(binary=1) == ["knn.binary"] and knn(k_candidates=[]) == ["knn.k_candidates"]
+    assert runs.problems(CONFIG | {"models": ["b"]}) == ["models"] == runs.problems(CONFIG | {"models": ["a", "a"]})
+    off = json.loads(json.dumps(CONFIG))
+    off["retrieval"]["structure_aware"]["sequence"]["weight"] = 0.4
+    assert runs.problems(off) == ["retrieval.structure_aware"] and len(runs.problems({})) > 15
     with pytest.raises(ValueError):
         runs.merged({"a": 1}, {"a": 2})
     assert runs.parameters(CONFIG, "m5", "mixed", 0.5)["weights"] == [0.5, 0.2, 0.3]
-    assert runs.for_model(CONFIG, "a")["llm"] == {"model": "x"}
+    assert runs.parameters(CONFIG, "m2", "normal")["selection"] == {"contexts_sweep": [1, 2]} and runs.parameters(CONFIG, "m1") == {"method": "m1"} and runs.tag("m1") == "m1" != runs.tag("m2", "mixed") == "m2_mixed"
+    assert runs.for_model(CONFIG, "a")["llm"] == {"model": "x"} and runs.for_model(CONFIG, None)["run_name"] == "shared"
     one = runs.signature(CONFIG, "m5", "mixed", {"kb": "h"})
     assert one == runs.signature(json.loads(json.dumps(CONFIG)), "m5", "mixed", {"kb": "h"}) != runs.signature(CONFIG, "m5", "mixed", {"kb": "i"})
     calls = []
@@ -141,6 +148,10 @@ def test_settings_and_reuse(tmp_path):
     assert len(calls) == 2
     with pytest.raises(ValueError):
         runs.locked_threshold(tmp_path, "m5", "s")
+    runs.lock_threshold(tmp_path, "m5", "s", {"threshold": 0.5})
+    assert runs.locked_threshold(tmp_path, "m5", "s") == 0.5
+    with pytest.raises(ValueError):
+        runs.locked_threshold(tmp_path, "m5", "other")
     (tmp_path / "q.txt").write_text("x")
     runs.lock(tmp_path, ["q.txt"])
     assert runs.changed(tmp_path) == []

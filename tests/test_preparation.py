@@ -1,10 +1,13 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomtrace.operators import quality as Q
 from loomtrace.operators import splits as S
 from loomtrace.operators import verify as V
+from loomtrace.operators.allocation import allocate
 from loomtrace.operators.profile import sequence_groups, transitions
 from loomtrace.plans.base import signed
 from loomtrace.streaming.blocks import session_traces
@@ -13,61 +16,53 @@ MANIFEST = "block_id string, sig string, label string, split string, event_ids a
 
 
 @pytest.fixture(scope="module")
-def paired(spark):
-    rows = [(f"blk_{i}_{label}", ["E1", f"E{i + 2}"], label) for i in range(30) for label in ("Normal", "Anomaly")]
+def labelled(spark):
+    """Four hundred blocks of 90 sequences; the lower a sequence's number, the more blocks it has."""
+    rows = [(f"b{i:03d}", [f"E{1 + k % 29}", f"E{1 + k // 29}", "E9"], "Anomaly" if i % 7 == 0 else "Normal") for i in range(400) for k in [(i * i) % 331 % 90]]
     return signed(spark.createDataFrame(rows, "block_id string, event_ids array<string>, label string"))
 
 
-def test_stratified_split_is_exact_and_independent_of_order(paired):
-    a = S.stratified_split(paired, validation=0.2, test=0.2)
+def test_stratified_split_is_exact_and_independent_of_order(labelled):
+    a = S.stratified_split(labelled, validation=0.25, test=0.1)
     counts = {(r["label"], r["split"]): r["count"] for r in a.groupBy("label", "split").count().collect()}
-    assert counts == {(label, split): n for label in ("Normal", "Anomaly") for split, n in (("train", 18), ("validation", 6), ("test", 6))}
-    b = S.stratified_split(paired.orderBy(F.desc("block_id")).repartition(7), validation=0.2, test=0.2)
+    sizes = {"Normal": 342, "Anomaly": 58}
+    assert counts == {(label, split): k for label, n in sizes.items() for v, t in [(n * 25 // 100, n // 10)] for split, k in (("validation", v), ("test", t), ("train", n - v - t))}
+    b = S.stratified_split(labelled.orderBy(F.desc("block_id")).repartition(7), validation=0.25, test=0.1)
     assert a.select("block_id", "split").exceptAll(b.select("block_id", "split")).count() == 0
     assert {r["violations"] for r in S.split_violations(a, None).collect()} == {0}
 
 
-def test_group_split_keeps_groups(paired):
-    made = S.greedy_split(paired)
+def test_group_split_keeps_groups_and_shares(labelled):
+    made = S.greedy_split(labelled)
     assert {r["violations"] for r in S.split_violations(made).collect()} == {0}
     assert {r["shared"] for r in S.pairwise_overlap(made).collect()} == {0}
-    again = S.greedy_split(paired.repartition(5))
+    again = S.greedy_split(labelled.repartition(5))
     assert made.select("block_id", "split").exceptAll(again.select("block_id", "split")).count() == 0
-    few = S.greedy_split(paired, most_groups=3)  # the other groups go by hash
-    assert few.where("split IS NULL").count() == 0 and S.pairwise_overlap(few).agg(F.sum("shared")).first()[0] == 0
-
-
-def test_group_split_allocates_every_group_by_its_rule(paired):
-    small = [(f"{i}-{j}", f"s{i}", "Anomaly" if i % 4 == 0 else "Normal") for i in range(80) for j in range(1 + i % 2)]
-    df = paired.sparkSession.createDataFrame(small, "block_id string, sig string, label string")
-    made = S.greedy_split(df, most_groups=3)
-    assert {(r["split"], r["blocks"], r["anomaly"]) for r in S.composition(made).collect()} == {("train", 84, 14), ("validation", 18, 3), ("test", 18, 3)}
-    assert {r["violations"] for r in S.split_violations(made).collect()} == {0}
-
-
-def test_greedy_classes_take_the_steps_of_single_groups():
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        blocks, members = rng.integers(1, 40, 6), rng.integers(1, 60, 6)
-        anomalies = (blocks * rng.integers(0, 2, 6)).astype(np.int64)
-        counts = S.greedy_classes(blocks, anomalies, members, (0.7, 0.15, 0.15), passes=0)
-        sums = np.array([max((blocks * members).sum(), 1), max((anomalies * members).sum(), 1)], float)
-        weight = np.c_[blocks, anomalies] / sums
-        target, load, want = np.array([0.7, 0.15, 0.15])[:, None] * (weight * members[:, None]).sum(0), np.zeros((3, 2)), np.zeros((6, 3))
-        for g in np.argsort(-weight.max(1), kind="stable"):
-            for _ in range(members[g]):
-                to = (weight[g] * (2 * (load - target) + weight[g])).sum(1).argmin()
-                load[to] += weight[g]
-                want[g, to] += 1
-        assert (counts.sum(1) == members).all() and np.abs(counts - want).max() <= 1  # equal costs may go either way
-
-
-def test_greedy_groups_with_skew():
-    sizes = np.array([500, 200, 100, 50] + [10] * 100)
-    anomalies = np.array([s if i % 10 == 0 else 0 for i, s in enumerate(sizes)])
-    chosen = S.greedy_groups(sizes, anomalies, (0.7, 0.15, 0.15))
-    for k, share in enumerate((0.7, 0.15, 0.15)):
-        assert abs(sizes[chosen == k].sum() / sizes.sum() - share) < 0.01
+    assert made.count() == labelled.count()
+    for r in S.composition(made).collect():
+        assert abs(r["fraction_of_all"] - {"train": 0.7, "validation": 0.15, "test": 0.15}[r["split"]]) < 0.01 and abs(r["anomaly_prevalence"] - 58 / 400) < 0.03
+
+
+@settings(max_examples=40, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(1, 50)), min_size=1, max_size=15, unique_by=lambda x: x[:2]))
+def test_allocation_places_every_group_and_no_move_helps(classes):
+    sizes, members = np.array([c[:2] for c in classes]), np.array([c[2] for c in classes])
+    shares = np.array([0.6, 0.3, 0.1])
+    flow = allocate(sizes, members, shares)
+    assert (flow.sum(1) == members).all() and (flow >= 0).all()
+    own = np.c_[sizes.sum(1), sizes] / np.maximum((np.c_[sizes.sum(1), sizes] * members[:, None]).sum(0), 1)
+    cost = lambda f: (((f.T @ own - shares[:, None] * (own.T @ members)) ** 2).sum(1) / shares).sum()
+    if ((flow.T @ sizes) > 0).all():  # else groups were moved to give every split both labels
+        some = np.flatnonzero(members)
+        for g in some:
+            for a in range(3):
+                for b in range(3):
+                    if a != b and flow[g, a]:
+                        other = flow.copy()
+                        other[g, a] -= 1
+                        other[g, b] += 1
+                        if ((other.T @ sizes) > 0).all():
+                            assert cost(other) >= cost(flow) - 1e-9 or (members < 3).any()
 
 
 def test_normal_knowledge_counts_normal_training_rows_only(spark):
@@ -91,11 +86,11 @@ def test_ordered_index_over_several_partitions(spark):
     assert S.ordered_index(df.limit(0), "c", (F.desc("v"),), "n").count() == 0
 
 
-def test_samples(paired):
-    assert S.sample_uniform(paired, 20).count() == 20 and S.sample_uniform(paired, 1000).count() == 60
-    a = S.sample_uniform(paired, 20).select("block_id")
-    assert a.exceptAll(S.sample_uniform(paired.repartition(6).withColumn("label", F.lit("x")), 20).select("block_id")).count() == 0
-    counts = {r["label"]: r["count"] for r in S.sample_stratified(paired, {"Normal": 4, "Anomaly": 2}).groupBy("label").count().collect()}
+def test_samples(labelled):
+    assert S.sample_uniform(labelled, 20).count() == 20 and S.sample_uniform(labelled, 1000).count() == 400
+    a = S.sample_uniform(labelled, 20).select("block_id")
+    assert a.exceptAll(S.sample_uniform(labelled.repartition(6).withColumn("label", F.lit("x")), 20).select("block_id")).count() == 0
+    counts = {r["label"]: r["count"] for r in S.sample_stratified(labelled, {"Normal": 4, "Anomaly": 2}).groupBy("label").count().collect()}
     assert counts == {"Normal": 4, "Anomaly": 2}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packing_queries", "profile_queries", "preparation_queries", "retrieval_queries", "boundary_queries")
+MODULES = ("packing_queries", "profile_queries", "preparation_queries", "retrieval_queries", "experiment_queries", "boundary_queries")
 
 
 def _gather(what: str) -> dict:

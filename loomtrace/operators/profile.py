@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.sequences import knowledge_id, pairs, trace_signature
+from loomtrace.session import shared_checkpoint
 
 LABELS = ("Normal", "Anomaly")
 
@@ -20,19 +21,47 @@ def trace_features(df: DataFrame) -> DataFrame:
     )
 
 
+def cumulative(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """Each distinct value of each class with ``n``, the rows ``before`` and ``upto`` it in order, and the class's ``total``.
+
+    Values are counted, sorted by range and summed within the parts, whose totals, one row for each part and class,
+    complete the sums; so no class is gathered, however many distinct values it has. Nulls are left out."""
+    rows = df.where(F.col(value).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("_by"), F.col(value).alias("value"))
+    counted = rows.groupBy("_by", "value").agg(F.count("*").alias("n"))
+    # cut here: ranges are drawn from a sample, so that a second evaluation could cut elsewhere
+    placed = shared_checkpoint(counted.repartitionByRange("_by", "value").withColumn("_part", F.spark_partition_id()))
+    within = F.sum("n").over(Window.partitionBy("_by", "_part").orderBy("value"))
+    parts = placed.groupBy("_by", "_part").agg(F.sum("n").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("_by").orderBy("_part")) - F.col("_n")
+    starts = parts.select("_by", "_part", ahead.alias("_ahead"), F.sum("_n").over(Window.partitionBy("_by")).alias("total"))
+    joined = placed.withColumn("_within", within).join(starts, ["_by", "_part"]).withColumn("upto", F.col("_ahead") + F.col("_within"))
+    return joined.select(*([F.col("_by").alias(by)] if by else []), "value", "n", (F.col("upto") - F.col("n")).alias("before"), "upto", "total")
+
+
 def describe(df: DataFrame, value: str, by: str | None = None, percentiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Count, mean, sample deviation, least, chosen linear percentiles and largest; nulls are left out."""
+    """Count, mean, sample deviation, least, chosen linear percentiles and largest; nulls are left out. Percentiles are
+    exact and come from `cumulative` counts, so that no buffer holds a class's values."""
     x = F.col(value).cast("double")
-    quantiles = F.percentile(x, F.array(*(F.lit(p) for p in percentiles)))
     grouped = df.groupBy(by) if by else df.groupBy()
-    made = grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), quantiles.alias("q"), F.max(x).alias("max"))
-    names = [f"p{round(p * 100)}" for p in percentiles]
-    return made.select(*([by] if by else []), "n", "mean", "std", "min", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)), "max")
+    made = grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    counts = cumulative(df.withColumn(value, x), value, by)
+    names = {f"p{round(p * 100)}": (F.col("total") - 1) * F.lit(p) for p in percentiles}
+    covers = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col("value")))
+    places = [(covers(F.floor(at)) + (F.max(at) - F.floor(F.max(at))) * (covers(F.ceil(at)) - covers(F.floor(at)))).alias(name) for name, at in names.items()]
+    ranks = (counts.groupBy(by) if by else counts.groupBy()).agg(*places)
+    joined = made.join(ranks, by, "left") if by else made.crossJoin(ranks)  # one row each
+    return joined.select(*([by] if by else []), "n", "mean", "std", "min", *names, "max")
+
+
+def counted_items(df: DataFrame, items: Column, *keep: str) -> DataFrame:
+    """The distinct ``item`` of each row's array with its number ``k``, counted inside the row, so that nothing is shuffled."""
+    held = df.select(*keep, items.alias("_items")).select(*keep, "_items", F.explode(F.array_distinct("_items")).alias("item"))
+    return held.select(*keep, "item", F.size(F.filter("_items", lambda x: x == F.col("item"))).cast("long").alias("k"))
 
 
 def occurrences(df: DataFrame) -> DataFrame:
-    """Long form of the occurrence matrix: events of each block with their number."""
-    return df.select("block_id", F.explode("event_ids").alias("event_id")).groupBy("block_id", "event_id").agg(F.count("*").alias("n"))
+    """Long form of the occurrence matrix: events of each block with their number; a block is one row."""
+    return counted_items(df, F.col("event_ids"), "block_id").select("block_id", F.col("item").alias("event_id"), F.col("k").alias("n"))
 
 
 def occurrence_matrix(df: DataFrame, events: Sequence[str]) -> DataFrame:
@@ -44,8 +73,7 @@ def occurrence_matrix(df: DataFrame, events: Sequence[str]) -> DataFrame:
 def event_statistics(df: DataFrame) -> DataFrame:
     """Per event: blocks that hold it and occurrences by label, prevalence by label and their difference."""
     sizes = df.agg(*(F.count_if(F.col("label") == x).alias(f"n_{x.lower()}") for x in LABELS))
-    held = df.select("label", F.explode("event_ids").alias("event_id"), "block_id")
-    each = held.groupBy("event_id", "label", "block_id").agg(F.count("*").alias("k")).groupBy("event_id").agg(
+    each = counted_items(df, F.col("event_ids"), "label").withColumnRenamed("item", "event_id").groupBy("event_id").agg(
         *(F.count_if(F.col("label") == x).alias(f"blocks_{x.lower()}") for x in LABELS),
         *(F.coalesce(F.sum(F.when(F.col("label") == x, F.col("k"))), F.lit(0)).alias(f"occurrences_{x.lower()}") for x in LABELS),
     )
@@ -101,13 +129,8 @@ def ambiguous_blocks(df: DataFrame) -> DataFrame:
 
 
 def ecdf(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Empirical distribution function over the distinct values of each class.
-
-    Values are counted before the window, which runs over one row per distinct value."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    total = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("total"))
-    running = F.sum("n").over(Window.partitionBy(by).orderBy("value"))
-    return counted.withColumn("upto", running).join(F.broadcast(total), by).select(by, "value", "n", (F.col("upto") / F.col("total")).alias("fraction"))
+    """Empirical distribution function over the distinct values of each class, from `cumulative` counts."""
+    return cumulative(df, value, by).select(by, "value", "n", (F.col("upto") / F.col("total")).alias("fraction"))
 
 
 def value_shares(df: DataFrame, value: Column, by: str) -> DataFrame:

@@ -61,6 +61,7 @@ def trace_counters(rows: DataFrame, labels: DataFrame, events: list[str]) -> Dat
     return union_checks(
         own,
         repeated_keys(rows, "block_id", "duplicate_trace_block_ids"),
+        counters(labels, unknown_ground_truth_labels=F.col("truth").isNull()),
         missing_keys(labels, rows, "block_id", "labels_without_trace"),
         missing_keys(rows, labels, "block_id", "traces_without_labels"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.sequences import gram_bucket, ngrams
 from loomtrace.functions.vectors import unit, vector_key
+from loomtrace.session import shared_checkpoint
 
 #: Queries of a block, and scores that a task computes at once.
 MOST_QUERIES, SCORES = 20_000, 4_000_000
@@ -24,28 +25,49 @@ MOST_QUERIES, SCORES = 20_000, 4_000_000
 DECIMALS = 9
 
 
-def lcs_length(masks: dict, size: int, other: Sequence) -> int:
-    """Length of the longest common subsequence of the sequence behind ``masks`` (bit i of an event's mask is set where
-    it stands at place i) and ``other``. One big-integer addition per event (Hyyrö, 2004)."""
-    full = (1 << size) - 1
-    row = full
-    for event in other:
-        matched = row & masks.get(event, 0)
-        row = ((row + matched) | (row - matched)) & full
-    return size - row.bit_count()
+def lcs_matrix(queries: Sequence[Sequence], candidates: Sequence[Sequence]) -> np.ndarray:
+    """Longest common subsequence over the longer length of every query with every candidate; 1 for two empty sequences.
 
-
-def event_masks(events: Sequence) -> dict:
-    masks: dict = {}
-    for i, event in enumerate(events):
-        masks[event] = masks.get(event, 0) | 1 << i
-    return masks
-
-
-def lcs_scores(query: Sequence, candidates: Sequence[Sequence]) -> np.ndarray:
-    """Longest common subsequence over the longer length; 1 for two empty sequences."""
-    masks, n = event_masks(query), len(query)
-    return np.array([1.0 if not n and not len(c) else lcs_length(masks, n, c) / max(n, len(c)) for c in candidates])
+    One query goes against all candidates at once: place i of the query is bit i of a candidate's row of 64-bit words, and
+    each event of the candidates is one addition with carry over the words (Hyyrö, 2004). Candidates stand by falling
+    length, so that a step touches those only that have so many events."""
+    places: dict = {}
+    coded = [np.fromiter((places.setdefault(e, len(places)) for e in c), np.int64, len(c)) for c in candidates]
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    order = np.argsort(-lengths, kind="stable")
+    sizes = lengths[order]
+    longest = int(sizes[0]) if len(sizes) else 0
+    grid = np.full((longest, len(order)), len(places), np.int64)  # by step, so that a step's events lie together
+    for column, i in enumerate(order):
+        grid[: lengths[i], column] = coded[i]
+    active = [int(np.searchsorted(-sizes, -step)) for step in range(longest)]  # candidates longer than the step
+    out = np.empty((len(queries), len(order)))
+    for q, query in enumerate(queries):
+        n = len(query)
+        words = max(1, -(-n // 64))
+        masks = np.zeros((words, len(places) + 1), np.uint64)
+        for i, event in enumerate(query):
+            if event in places:
+                masks[i // 64, places[event]] |= np.uint64(1 << (i % 64))
+        rows = np.full((words, len(order)), ~np.uint64(0))
+        for step, count in enumerate(active):
+            events, carry = grid[step, :count], None
+            for w in range(words):
+                row = rows[w, :count]
+                matched = row & masks[w].take(events)
+                total = row + matched
+                over = total < row
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64) if w + 1 < words else None
+                np.bitwise_or(total, row & ~matched, out=row)
+        if n % 64:
+            rows[-1] |= ~np.uint64((1 << (n % 64)) - 1)
+        common = 64 * words - np.bitwise_count(rows).sum(0, dtype=np.int64)
+        longer = np.maximum(sizes, n)
+        out[q, order] = np.where(longer > 0, common / np.maximum(longer, 1), 1.0)
+    return out
 
 
 def jaccard_scores(queries: Sequence[Sequence], candidates: Sequence[Sequence]) -> np.ndarray:
@@ -89,13 +111,14 @@ def block_top(queries: DataFrame, base: DataFrame, k: int, score: Callable[[pd.D
                 if not len(block) or not len(asked):
                     continue
                 own_ids = block[base_id].to_numpy()
-                by_id = np.argsort(own_ids, kind="stable")
+                kept = min(k + 1, len(own_ids))
                 step = max(1, SCORES // len(block))
                 for start in range(0, len(asked), step):
                     scores = np.round(score(asked.iloc[start : start + step], block), DECIMALS)
                     for q, row in enumerate(scores, start):
-                        order = by_id[np.argsort(-row[by_id], kind="stable")[: k + 1]]
-                        found = [(-row[i], own_ids[i]) for i in order if not (leave_out_self and own_ids[i] == ids[q])]
+                        # all that tie with the last kept one go on, and the ids decide
+                        best_here = np.flatnonzero(row >= np.partition(row, len(row) - kept)[len(row) - kept])
+                        found = [(-row[i], own_ids[i]) for i in best_here if not (leave_out_self and own_ids[i] == ids[q])]
                         best[q] = heapq.nsmallest(k, best[q] + found)
             rows = [(ids[q], i, -s) for q, found in enumerate(best) for s, i in found]
             yield pd.DataFrame(rows, columns=[*names, "score"])
@@ -133,8 +156,7 @@ def structure_block(events: str, weights: tuple[float, float, float]) -> Callabl
         if weights[1]:
             total += weights[1] * jaccard_scores([tuple(x) for x in asked[events]], sequences)
         if weights[2]:
-            for q, own in enumerate(asked[events]):
-                total[q] += weights[2] * lcs_scores(tuple(own), sequences)
+            total += weights[2] * lcs_matrix([tuple(x) for x in asked[events]], sequences)
         return total
 
     return score
@@ -200,3 +222,38 @@ def vector_audit(queries: DataFrame, base: DataFrame, query_id: str, vector: str
     )
     keyed = queries.select(query_id, "label", vector_key(F.col(vector), decimals).alias("_key"))
     return keyed.join(groups, "_key", "left").drop("_key").withColumn("ambiguous", F.coalesce((F.col("anomaly_matches") > 0) & (F.col("normal_matches") > 0), F.lit(False)))
+
+
+def overlap_audit(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """How far queries are known to the base: ``block_id``, ``label``, ``exact`` (whether a base row has the same vector,
+    rounded), ``ambiguous`` (such rows of both labels), ``nearest`` (the smallest such ``base_id``, else that of the most
+    similar row), ``score`` and ``prediction``.
+
+    Both have ``cells`` and ``weights`` of `gram_cells` and ``label`` (Normal or Anomaly). Queries with the same vector in
+    the base are answered by an equality join, by the majority of its labels, NORMAL in a tie; only the others are
+    compared with the whole base."""
+    key = F.to_json(F.struct("cells", F.transform("weights", lambda w: F.round(w, 7)).alias("w")))
+    groups = base.groupBy(key.alias("_key")).agg(F.count_if(F.col("label") == "Anomaly").alias("a"), F.count_if(F.col("label") == "Normal").alias("n"), F.min("base_id").alias("nearest"))
+    keyed = queries.withColumn("_key", key)
+    said = F.when(F.col("a") > F.col("n"), "ANOMALY").otherwise("NORMAL")
+    known = keyed.join(groups, "_key").select("block_id", "label", F.lit(True).alias("exact"), ((F.col("a") > 0) & (F.col("n") > 0)).alias("ambiguous"), "nearest", F.lit(1.0).alias("score"), said.alias("prediction"))
+    unknown = shared_checkpoint(keyed.join(groups.select("_key"), "_key", "left_anti").drop("_key"))
+    top = block_top(unknown.select("block_id", "cells", "weights"), base.select("base_id", "cells", "weights"), 1, gram_block, "block_id", "base_id")
+    near = top.join(base.select("base_id", F.upper("label").alias("prediction")), "base_id").select("block_id", F.col("base_id").alias("nearest"), "score", "prediction")
+    rest = unknown.select("block_id", "label").join(near, "block_id", "left").select("block_id", "label", F.lit(False).alias("exact"), F.lit(False).alias("ambiguous"), "nearest", "score", "prediction")
+    return known.unionByName(rest)
+
+
+def gram_block(asked: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
+    """Cosines of `gram_cells`."""
+    return np.clip(dense_rows(asked["cells"], asked["weights"]) @ dense_rows(block["cells"], block["weights"]).T, -1, 1)
+
+
+def audit_ratios(audited: DataFrame) -> DataFrame:
+    """``queries``, ``exact_share``, ``ambiguous_share``, ``accuracy`` over all, and over exact and other queries; null
+    where there are none."""
+    right = (F.upper("label") == F.col("prediction")).cast("double")
+    return audited.agg(
+        F.count("*").alias("queries"), F.avg(F.col("exact").cast("double")).alias("exact_share"), F.avg(F.col("ambiguous").cast("double")).alias("ambiguous_share"),
+        F.avg(right).alias("accuracy"), F.avg(F.when(F.col("exact"), right)).alias("exact_accuracy"), F.avg(F.when(~F.col("exact"), right)).alias("other_accuracy"),
+    )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.functions.sequences import template_text, trace_signature
+from loomtrace.functions.packed import event_numbers, event_values
+from loomtrace.functions.sequences import BLANKS, template_text, trace_signature
 from loomtrace.operators.quality import counters, missing_keys, repeated_keys, same_rows, union_checks
 from loomtrace.operators.splits import SPLITS
+from loomtrace.session import shared_checkpoint
 
 
 def verify_sequences(prepared: DataFrame, source: DataFrame, templates: dict[str, str]) -> DataFrame:
@@ -78,3 +80,47 @@ def verify_annotations(annotations: DataFrame, manifest: DataFrame) -> DataFrame
             conflict_annotation_differs=~F.col("conflicting_trace").eqNullSafe(F.col("_conflict")),
         ),
     )
+
+
+def _plain_events(text: Column) -> Column:
+    """Plainly spelled ids of a packed list; null where it can't be read or holds something else."""
+    numbers = event_numbers(event_values(text))
+    return F.when((F.size(numbers) > 0) & ~F.exists(numbers, lambda n: n.isNull()), F.transform(numbers, lambda n: F.concat(F.lit("E"), n.cast("string"))))
+
+
+def verify_delivered(blocks: DataFrame, knowledge: DataFrame, labels: DataFrame) -> DataFrame:
+    """Checks of delivered tables, which may be dirty: ``blocks`` (block_id, trace_signature, event_ids, sequence_length,
+    label, conflicting_trace), ``knowledge`` (trace_id, event_ids, template_text) and ``labels`` (block_id, truth; one row
+    per block). One row per check with the number of rows that break it. What is missing or can't be read is counted as
+    such and breaks no other check; a conflict is one between readable labels of rows with the same events."""
+    word = F.lower(F.btrim("label", F.lit(BLANKS)))
+    read = blocks.select(
+        F.nullif(F.lower(F.btrim("block_id", F.lit(BLANKS))), F.lit("")).alias("block_id"),
+        F.nullif(F.regexp_extract(F.lower("trace_signature"), "([0-9a-f]{64})", 1), F.lit("")).alias("sig"),
+        F.when(F.spark_partition_id() >= 0, _plain_events(F.col("event_ids"))).alias("events"),  # evaluated once
+        F.col("event_ids").isNotNull().alias("listed"), "sequence_length", F.col("conflicting_trace").alias("flag"),
+        F.when(word == "normal", "Normal").when(word == "anomaly", "Anomaly").alias("label"),
+    )
+    own = shared_checkpoint(read.withColumn("again", trace_signature(F.col("events"))))
+    conflicts = own.where("again IS NOT NULL").groupBy("again").agg((F.count_distinct("label") > 1).alias("both"))
+    joined = own.join(labels, "block_id", "left").join(conflicts, "again", "left")
+    kept = shared_checkpoint(knowledge.select("trace_id", F.when(F.spark_partition_id() >= 0, trace_signature(_plain_events(F.col("event_ids")))).alias("again"), F.col("template_text").isNull().alias("bare")))
+    lacking = kept.select(F.col("trace_id").alias("sig")).join(own.select("sig"), "sig", "left_anti")
+    return union_checks(
+        counters(
+            joined,
+            block_ids_missing=F.col("block_id").isNull(),
+            signatures_missing=F.col("sig").isNull(),
+            events_unreadable=F.col("listed") & F.col("events").isNull(),
+            events_missing=~F.col("listed"),
+            signature_differs=F.col("sig") != F.col("again"),
+            length_differs=F.col("sequence_length") != F.when(F.col("events").isNotNull(), F.size("events")),
+            labels_unknown=F.col("label").isNull(),
+            label_differs=F.col("label") != F.col("truth"),
+            conflict_flag_differs=F.col("flag") != F.col("both"),
+        ),
+        repeated_keys(own, "block_id", "block_ids_repeated"),
+        repeated_keys(kept, "trace_id", "knowledge_ids_repeated"),
+        counters(kept, knowledge_id_differs=F.col("trace_id") != F.col("again"), knowledge_texts_missing=F.col("bare")),
+        lacking.agg(F.lit("knowledge_without_block").alias("check"), F.count("*").alias("violations")),
+    )

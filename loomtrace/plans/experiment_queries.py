@@ -75,12 +75,29 @@ def threshold_locks(s: SparkSession, d: str) -> DataFrame:
     return _experiment(s, d)[1].withColumns({c: F.round(c, 6) for c in ("threshold", "f1", "average_contexts")})
 
 
-QUERIES = {"rag_predictions": rag_predictions, "rag_summary": rag_summary, "threshold_locks": threshold_locks}
+def context_distribution(s: SparkSession, d: str) -> DataFrame:
+    """Test queries of every run by the number of contexts they were shown."""
+    run = _experiment(s, d)[0].where("method <> 'm0'")
+    return E.context_distribution(run, "method", "kb", "setting").select("method", "kb", "setting", F.explode("context_count_distribution").alias("contexts", "n"))
+
+
+def prediction_identity(s: SparkSession, d: str) -> DataFrame:
+    """Whether every run answers exactly the sampled test queries with their labels."""
+    rows = hash_split(signed(traces(s, d)))
+    queries = X.queries_of(rows).where("split = 'test'")
+    return X.identity_violations(X.run_experiment(rows, templates(s, d))[0], queries, "method", "kb", "setting")
+
+
+QUERIES = {"rag_predictions": rag_predictions, "rag_summary": rag_summary, "threshold_locks": threshold_locks, "context_distribution": context_distribution, "prediction_identity": prediction_identity}
 _CELLS = "count(*) AS queries, count(*) FILTER (label = 'ANOMALY' AND prediction = 'ANOMALY') AS \"TP\", count(*) FILTER (label = 'NORMAL' AND prediction = 'NORMAL') AS \"TN\", count(*) FILTER (label = 'NORMAL' AND prediction = 'ANOMALY') AS \"FP\", count(*) FILTER (label = 'ANOMALY' AND prediction = 'NORMAL') AS \"FN\""
 ORACLES = {
     "rag_predictions": _SQL + " SELECT method, kb, setting, block_id, label, context_count, prediction, prompt_tokens FROM final",
     "rag_summary": _SQL + f""", c AS (SELECT method, kb, setting, {_CELLS}, avg(context_count) AS average_contexts, coalesce(avg(prompt_tokens), 0) AS average_prompt_tokens FROM final GROUP BY ALL)
  SELECT method, kb, setting, queries, "TP", "TN", "FP", "FN", round(coalesce("TP" / nullif("TP" + "FP", 0), 0), 6) AS precision, round(coalesce("TP" / nullif("TP" + "FN", 0), 0), 6) AS recall,
   round(coalesce(2 * "TP" / nullif(2 * "TP" + "FP" + "FN", 0), 0), 6) AS f1, round(average_contexts, 6) AS average_contexts, round(average_prompt_tokens, 6) AS average_prompt_tokens FROM c""",
+    "context_distribution": _SQL + " SELECT method, kb, setting, context_count::VARCHAR AS contexts, count(*) AS n FROM final WHERE method <> 'm0' GROUP BY ALL",
+    "prediction_identity": _SQL + """, t AS (SELECT block_id, upper(label) AS label FROM q WHERE split = 'test'), runs AS (SELECT method, kb, setting, count(*) AS n, count(DISTINCT block_id) AS d FROM final GROUP BY ALL)
+ SELECT 'predictions_of_unknown_queries' AS "check", count(*) AS violations FROM final WHERE block_id NOT IN (SELECT block_id FROM t) UNION ALL SELECT 'prediction_labels_differ', count(*) FROM final f JOIN t USING (block_id) WHERE f.label <> t.label
+ UNION ALL SELECT 'repeated_predictions', coalesce(sum(n - d), 0)::BIGINT FROM runs UNION ALL SELECT 'missing_predictions', coalesce(sum((SELECT count(*) FROM t) - d), 0)::BIGINT FROM runs""",
     "threshold_locks": _SQL + " SELECT method, kb, setting, threshold, round(f1, 6) AS f1, round(average_contexts, 6) AS average_contexts FROM locked",
 }

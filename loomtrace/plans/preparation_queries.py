@@ -12,6 +12,8 @@ from loomtrace.operators import sets as K
 from loomtrace.operators import splits as S
 from loomtrace.operators import verify as V
 from loomtrace.plans.base import BLANKS, RAW_SQL, TRACES_SQL, TRIM, raw_rows, signed, templates, traces
+from loomtrace.plans.packing_sql import events_sql
+from loomtrace.session import shared_checkpoint
 from loomtrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -147,6 +149,7 @@ query("quality_counters", "WITH " + RAW_SQL + ", " + _LABELS_SQL + f""",
  UNION ALL SELECT 'invalid_latency', count(*) FILTER (bad_latency) FROM j
  UNION ALL SELECT 'latency_vs_interval_sum_disagreement', count(*) FILTER (latency IS NOT NULL AND NOT bad_latency AND abs(latency - gap_sum) > 1e-6) FROM j
  UNION ALL SELECT 'duplicate_trace_block_ids', (count(block_id) - count(DISTINCT block_id))::BIGINT FROM raw
+ UNION ALL SELECT 'unknown_ground_truth_labels', count(*) FILTER (truth IS NULL) FROM labels
  UNION ALL SELECT 'labels_without_trace', count(*) FROM labels WHERE block_id NOT IN (SELECT block_id FROM raw WHERE block_id IS NOT NULL)
  UNION ALL SELECT 'traces_without_labels', count(DISTINCT block_id) FROM raw WHERE block_id IS NOT NULL AND block_id NOT IN (SELECT block_id FROM labels)""")(
     lambda s, d: Q.trace_counters(raw_rows(s, d), _labels(s, d), _EVENTS)
@@ -165,11 +168,41 @@ query("matrix_quality_counters", T + ", " + _LABELS_SQL + f""" SELECT * FROM (VA
  ('prepared_without_trace', 0), ('representatives_outside_normal_train', 0), ('seen_flag_differs', 0), ('signature_differs', 0), ('signatures_across_splits', 0), ('splits_without_both_labels', 0), ('template_text_differs', 0), ('traces_not_prepared', 0)) v("check", violations)""")
 def verifier_checks(s: SparkSession, d: str) -> DataFrame:
     """All checks of tables prepared from the traces."""
-    source = traces(s, d)
+    source = shared_checkpoint(traces(s, d))
     conflicts = P.sequence_groups(source).select("event_ids", F.col("conflicting").alias("conflicting_trace"))
-    prepared = S.with_template_text(signed(source), templates(s, d)).join(conflicts, "event_ids").withColumnRenamed("sig", "trace_signature")
-    manifest = S.hash_split(signed(source)).select("block_id", F.col("sig").alias("trace_signature"), "label", "split")
+    prepared = shared_checkpoint(S.with_template_text(signed(source), templates(s, d)).join(conflicts, "event_ids").withColumnRenamed("sig", "trace_signature"))
+    manifest = shared_checkpoint(S.hash_split(signed(source)).select("block_id", F.col("sig").alias("trace_signature"), "label", "split"))
     knowledge = S.normal_knowledge(S.hash_split(signed(source))).withColumnRenamed("sig", "trace_id")
     annotations = S.seen_flags(manifest, "trace_signature")
     checks = Q.union_checks(V.verify_sequences(prepared, source, templates(s, d)), V.verify_manifest(manifest, prepared, True), V.verify_knowledge(knowledge, manifest), V.verify_annotations(annotations, manifest))
     return checks.withColumn("violations", F.col("violations").cast("int"))
+
+
+_HEX = "nullif(regexp_extract(lower({}), '([0-9a-f]{{64}})', 1), '')"
+_DELIVERED = f"""WITH {_LABELS_SQL},
+ b AS (SELECT nullif(lower(trim(block_id, {TRIM})), '') AS block, {_HEX.format("trace_signature")} AS sig, {events_sql("event_ids")} AS events, event_ids IS NOT NULL AS listed, sequence_length AS n, conflicting_trace AS flag,
+   CASE lower(trim(label, {TRIM})) WHEN 'normal' THEN 'Normal' WHEN 'anomaly' THEN 'Anomaly' END AS label FROM block_sequences),
+ own AS (SELECT *, CASE WHEN events IS NOT NULL THEN sha256('[' || array_to_string(list_transform(events, lambda x: '"E' || x || '"'), ',') || ']') END AS again FROM b),
+ c AS (SELECT events, count(DISTINCT label) > 1 AS both_ FROM own WHERE events IS NOT NULL GROUP BY events),
+ j AS (SELECT own.*, truth, both_ FROM own LEFT JOIN labels ON labels.block_id = own.block LEFT JOIN c USING (events)),
+ k AS (SELECT trace_id, {events_sql("event_ids")} AS events, template_text FROM normal_knowledge_base)
+ SELECT 'block_ids_missing' AS "check", count(*) FILTER (block IS NULL) AS violations FROM j
+ UNION ALL SELECT 'block_ids_repeated', (count(block) - count(DISTINCT block))::BIGINT FROM j
+ UNION ALL SELECT 'signatures_missing', count(*) FILTER (sig IS NULL) FROM j
+ UNION ALL SELECT 'events_unreadable', count(*) FILTER (listed AND events IS NULL) FROM j
+ UNION ALL SELECT 'events_missing', count(*) FILTER (NOT listed) FROM j
+ UNION ALL SELECT 'signature_differs', count(*) FILTER (sig <> again) FROM j
+ UNION ALL SELECT 'length_differs', count(*) FILTER (n <> len(events)) FROM j
+ UNION ALL SELECT 'labels_unknown', count(*) FILTER (label IS NULL) FROM j
+ UNION ALL SELECT 'label_differs', count(*) FILTER (label <> truth) FROM j
+ UNION ALL SELECT 'conflict_flag_differs', count(*) FILTER (flag <> both_) FROM j
+ UNION ALL SELECT 'knowledge_ids_repeated', (count(trace_id) - count(DISTINCT trace_id))::BIGINT FROM k
+ UNION ALL SELECT 'knowledge_id_differs', count(*) FILTER (trace_id <> sha256('[' || array_to_string(list_transform(events, lambda x: '"E' || x || '"'), ',') || ']')) FROM k
+ UNION ALL SELECT 'knowledge_texts_missing', count(*) FILTER (template_text IS NULL) FROM k
+ UNION ALL SELECT 'knowledge_without_block', count(*) FROM k WHERE trace_id NOT IN (SELECT sig FROM own WHERE sig IS NOT NULL)"""
+
+
+@query("delivered_checks", _DELIVERED)
+def delivered_checks(s: SparkSession, d: str) -> DataFrame:
+    """Checks of the tables as they were delivered: block_sequences, normal_knowledge_base and anomaly_label."""
+    return V.verify_delivered(table(s, d, "block_sequences"), table(s, d, "normal_knowledge_base"), _labels(s, d))

@@ -64,10 +64,10 @@ _GRAMS = T + f""",
    list_transform(range(1, len(event_ids)), lambda i: event_ids[i] || chr({ord(GRAM_SEPARATOR)}) || event_ids[i + 1]),
    CASE WHEN len(event_ids) >= 3 THEN list_transform(range(1, len(event_ids) - 1), lambda i: event_ids[i] || chr({ord(GRAM_SEPARATOR)}) || event_ids[i + 1] || chr({ord(GRAM_SEPARATOR)}) || event_ids[i + 2]) ELSE [] END) END) AS gram FROM traces)"""
 query("ngrams", _GRAMS + " SELECT gram, count(*) AS n, count(DISTINCT block_id) AS blocks FROM grams GROUP BY gram")(
-    lambda s, d: traces(s, d).select("block_id", F.explode(ngrams(F.col("event_ids"))).alias("gram")).groupBy("gram", "block_id").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("n"), F.count("*").alias("blocks"))
+    lambda s, d: P.counted_items(traces(s, d), ngrams(F.col("event_ids")), "block_id").withColumnRenamed("item", "gram").groupBy("gram").agg(F.sum("k").alias("n"), F.count("*").alias("blocks"))
 )
 query("ngram_bucket_counts", _GRAMS + " SELECT block_id, (('0x' || substr(md5(gram), 1, 15))::BIGINT % 1024)::INT AS bucket, count(*) AS n FROM grams GROUP BY ALL")(
-    lambda s, d: traces(s, d).select("block_id", F.explode(ngrams(F.col("event_ids"))).alias("gram")).groupBy("block_id", gram_bucket(F.col("gram"), 1024).alias("bucket")).agg(F.count("*").alias("n"))
+    lambda s, d: P.counted_items(traces(s, d), F.transform(ngrams(F.col("event_ids")), lambda g: gram_bucket(g, 1024)), "block_id").select("block_id", F.col("item").alias("bucket"), F.col("k").alias("n"))
 )
 _PAIRS = T + """,
  flat AS (SELECT block_id, label, unnest(list_transform(range(1, len(event_ids)), lambda i: struct_pack(a := event_ids[i], b := event_ids[i + 1]))) AS p FROM traces WHERE len(event_ids) > 1),

@@ -9,6 +9,7 @@ from loomtrace.functions.sequences import jaccard
 from loomtrace.functions.vectors import cosine, unit
 from loomtrace.operators import evaluation as E
 from loomtrace.operators import retrieval as R
+from loomtrace.operators.splits import stratified_split
 from loomtrace.plans.base import RAW_SQL, TRACES_SQL, raw_rows, traces
 from loomtrace.plans.preparation_queries import _LABELS_SQL, _labels
 from loomtrace.sources.tables import table
@@ -55,8 +56,8 @@ query("cosine_columns", _TOP + " SELECT vec_id, base_id, round(score, 6) AS scor
 
 def _column_scores(s: SparkSession, d: str) -> DataFrame:
     queries, base = _vectors(s, d)
-    asked = queries.select("vec_id", unit(F.col("embedding")).alias("q"))  # a stated query set against all rows
-    return base.select(F.col("vec_id").alias("base_id"), unit(F.col("embedding")).alias("b")).join(F.broadcast(asked), F.col("vec_id") != F.col("base_id")).select("vec_id", "base_id", F.round(F.round(cosine(F.col("q"), F.col("b")), 9), 6).alias("score"))
+    asked = queries.select("vec_id", unit(F.col("embedding")).alias("q"))  # a stated query set against all rows; broadcast if its size allows
+    return base.select(F.col("vec_id").alias("base_id"), unit(F.col("embedding")).alias("b")).join(asked, F.col("vec_id") != F.col("base_id")).select("vec_id", "base_id", F.round(F.round(cosine(F.col("q"), F.col("b")), 9), 6).alias("score"))
 
 
 _VOTES = _TOP + """, ks AS (SELECT unnest([1, 3, 5]) AS k),
@@ -108,9 +109,9 @@ query("lcs_topk", _BASE + f" scored AS (SELECT block_id, base_id, round({_LCS},
 
 @query("jaccard_columns", _BASE + f" scored AS (SELECT block_id, base_id, round({_JACCARD}, 6) AS score FROM q, base) SELECT * FROM scored")
 def jaccard_columns(s: SparkSession, d: str) -> DataFrame:
-    """The Jaccard scores in column expressions, a stated query set against all rows."""
+    """The Jaccard scores in column expressions, a stated query set against all rows, broadcast if its size allows."""
     queries, base = _structure(s, d)
-    return base.withColumnRenamed("event_ids", "b").join(F.broadcast(queries.withColumnRenamed("event_ids", "a"))).select("block_id", "base_id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("score"))
+    return base.withColumnRenamed("event_ids", "b").crossJoin(queries.withColumnRenamed("event_ids", "a")).select("block_id", "base_id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 _GRAMS = """ grams AS (SELECT id, unnest(CASE WHEN len(e) < 2 THEN e ELSE list_concat(list_transform(range(1, len(e)), lambda i: e[i] || chr(31) || e[i + 1]),
@@ -208,27 +209,34 @@ query("confusion_rows", _SOURCE + f""", c AS (SELECT {_COUNTS} FROM said) SELECT
 )
 
 
-def _run_rows(s: SparkSession, d: str) -> DataFrame:
-    n = F.size("event_ids")
-    return _source_predictions(s, d).where("event_ids IS NOT NULL AND prediction IS NOT NULL").select(
-        "label", "prediction", (n % 4).alias("context_count"), F.when(n % 5 > 0, n * 12).alias("prompt_tokens"), (n % 3).alias("request_count"), F.when(n % 2 == 0, F.col("latency")).alias("latency_seconds"),
-        F.lit(None).cast("double").alias("query_seconds_uncached"), (n % 2 == 1).alias("cache_hit"), (n % 3).alias("new_api_calls"), F.lit(100).alias("candidate_count"), (100 - n % 4).alias("filtered_out"),
-    )
-
-
-_RUN = _SOURCE + ", run AS (SELECT actual, prediction, len(event_ids) AS n, latency FROM said WHERE event_ids IS NOT NULL AND prediction IS NOT NULL)"
-query("run_summary", _RUN + f""", c AS (SELECT {_COUNTS}, avg(n % 4) AS average_contexts, sum(n * 12) FILTER (n % 5 > 0 AND n % 3 > 0) / sum(n % 3) FILTER (n % 5 > 0 AND n % 3 > 0) AS average_prompt_tokens,
- avg(latency) FILTER (n % 2 = 0) AS average_latency_seconds_uncached, count(*) FILTER (n % 2 = 1) AS cache_hits, sum(n % 3)::BIGINT AS new_api_calls, sum(100 - n % 4) / (100 * count(*)) AS candidate_removal_rate FROM run)
- SELECT queries, "TP", "TN", "FP", "FN", round(average_contexts, 6) AS average_contexts, round(average_prompt_tokens, 6) AS average_prompt_tokens, round(average_latency_seconds_uncached, 6) AS average_latency_seconds_uncached, cache_hits, new_api_calls, round(candidate_removal_rate, 6) AS candidate_removal_rate, {_RATES} FROM c""")(
-    lambda s, d: E.run_summary(_run_rows(s, d)).select(
-        "queries", "TP", "TN", "FP", "FN", "cache_hits", "new_api_calls", *(F.round(c, 6).alias(c) for c in ("average_contexts", "average_prompt_tokens", "average_latency_seconds_uncached", "candidate_removal_rate")), *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1"))
-    )
-)
-query("context_distribution", _RUN + " SELECT (n % 4)::VARCHAR AS contexts, count(*) AS n FROM run GROUP BY 1")(
-    lambda s, d: E.context_distribution(_run_rows(s, d)).select(F.explode("context_count_distribution").alias("contexts", "n"))
-)
 query("vector_overlap_audit", _TOP + """, k AS (SELECT list_transform(e, lambda x: round(x, 7)) AS key, count(*) AS matches, count(*) FILTER (label = 'ANOMALY') AS anomaly_matches, count(*) FILTER (label = 'NORMAL') AS normal_matches, min(vec_id) AS first_match FROM v WHERE vec_id % 100 <> 0 GROUP BY 1),
  q AS (SELECT vec_id, label, list_transform(e, lambda x: round(x, 7)) AS key FROM v WHERE vec_id % 100 = 0)
  SELECT vec_id, label, matches, anomaly_matches, normal_matches, first_match, coalesce(anomaly_matches > 0 AND normal_matches > 0, false) AS ambiguous FROM q LEFT JOIN k USING (key)""")(
     lambda s, d: R.vector_audit(_vectors(s, d)[0], _vectors(s, d)[1].where("vec_id % 100 <> 0").withColumn("base_id", F.col("vec_id")), "vec_id", "embedding")
 )
+
+
+def _audit(s: SparkSession, d: str) -> DataFrame:
+    """Held-out blocks of the stratified split (row ids divisible by 100) against all training sequences with their labels."""
+    rows = stratified_split(traces(s, d))
+    base = rows.where("split = 'train'").groupBy("event_ids", "label").agg(F.min("block_id").alias("base_id"))
+    asked = rows.where("split <> 'train' AND row_id % 100 = 0").select("block_id", "label", "event_ids")
+    return R.overlap_audit(R.gram_cells(asked, "event_ids"), R.gram_cells(base, "event_ids"))
+
+
+_AUDIT = T + """, strat AS (SELECT *, CASE WHEN at_ < floor(total * 0.15::DOUBLE) THEN 'validation' WHEN at_ < 2 * floor(total * 0.15::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM
+   (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || block_id), block_id) - 1 AS at_, count(*) OVER (PARTITION BY label) AS total FROM traces)),
+ q AS (SELECT block_id, label, event_ids AS a FROM strat WHERE split <> 'train' AND row_id % 100 = 0), base AS (SELECT event_ids AS b, label, min(block_id) AS base_id FROM strat WHERE split = 'train' GROUP BY ALL),""" + _GRAMS + """
+ keys AS (SELECT id, string_agg(bucket || ':' || round(n / norm, 7), ' ' ORDER BY bucket) AS key FROM cells JOIN norms USING (id) GROUP BY id),
+ groups_ AS (SELECT key, count(*) FILTER (label = 'Anomaly') AS na, count(*) FILTER (label = 'Normal') AS nn, min(base_id) AS nearest FROM base JOIN keys ON id = base_id GROUP BY key),
+ known AS (SELECT block_id, label, true AS exact, na > 0 AND nn > 0 AS ambiguous, nearest, 1.0::DOUBLE AS score, CASE WHEN na > nn THEN 'ANOMALY' ELSE 'NORMAL' END AS prediction FROM q JOIN keys ON id = block_id JOIN groups_ USING (key)),
+ others AS (SELECT * FROM q WHERE block_id NOT IN (SELECT block_id FROM known)),
+ dots AS (SELECT x.id AS block_id, y.id AS base_id, sum(x.n * y.n) AS dot FROM cells x JOIN cells y USING (bucket) WHERE x.id IN (SELECT block_id FROM others) AND y.id IN (SELECT base_id FROM base) GROUP BY ALL),
+ near AS (SELECT o.block_id, o.label, base.base_id, upper(base.label) AS prediction, round(least(1, coalesce(dot, 0) / nq.norm / nb.norm), 9) AS score FROM others o JOIN base ON true LEFT JOIN dots ON dots.block_id = o.block_id AND dots.base_id = base.base_id JOIN norms nq ON nq.id = o.block_id JOIN norms nb ON nb.id = base.base_id
+   QUALIFY row_number() OVER (PARTITION BY o.block_id ORDER BY round(least(1, coalesce(dot, 0) / nq.norm / nb.norm), 9) DESC, base.base_id) = 1),
+ audited AS (SELECT block_id, label, exact, ambiguous, nearest, score, prediction FROM known UNION ALL SELECT block_id, label, false, false, base_id, score, prediction FROM near)"""
+query("overlap_audit", _AUDIT + " SELECT block_id, label, exact, ambiguous, nearest, round(score, 6) AS score, prediction FROM audited")(lambda s, d: _audit(s, d).withColumn("score", F.round("score", 6)))
+query("audit_ratios", _AUDIT + """ SELECT count(*) AS queries, round(avg(exact::INT), 9) AS exact_share, round(avg(ambiguous::INT), 9) AS ambiguous_share, round(avg((upper(label) = prediction)::INT), 9) AS accuracy,
+ round(avg((upper(label) = prediction)::INT) FILTER (exact), 9) AS exact_accuracy, round(avg((upper(label) = prediction)::INT) FILTER (NOT exact), 9) AS other_accuracy FROM audited""")(
+    lambda s, d: R.audit_ratios(_audit(s, d)).select("queries", *(F.round(c, 9).alias(c) for c in ("exact_share", "ambiguous_share", "accuracy", "exact_accuracy", "other_accuracy")))
+)

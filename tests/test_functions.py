@@ -65,7 +65,7 @@ def test_lcs_three_ways(spark):
     want = [1.0 if not a and not b else table_lcs(a, b) / max(len(a), len(b)) for a, b in rows]
     frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "id long, a array<string>, b array<string>")
     assert collected(frame, S.lcs_share(F.col("a"), F.col("b"))) == pytest.approx(want)
-    assert [R.lcs_scores(a, [b])[0] for a, b in rows] == pytest.approx(want)
+    assert [R.lcs_matrix([a], [b])[0, 0] for a, b in rows] == pytest.approx(want)
     assert collected(frame, S.jaccard(F.col("a"), F.col("b"))) == pytest.approx([R.jaccard_scores([a], [b])[0, 0] for a, b in rows])
 
 
@@ -121,3 +121,22 @@ def test_other_hash_of_grams(df):
     got = collected(df, S.blake_bucket(64)(S.ngrams(F.col("e"))))
     place = lambda g: int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") % 64
     assert got[3] == [place(g) for g in ("E1\x1fE2", "E2\x1fE2", "E2\x1fE1", "E1\x1fE2\x1fE2", "E2\x1fE2\x1fE1")]
+
+
+def test_lcs_of_long_and_short_sequences_together():
+    rng = random.Random(8)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, last = [0], row
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    queries, candidates = ([[rng.randrange(5) for _ in range(n)] for n in sizes] for sizes in ((0, 1, 63, 64, 65, 128, 150, 200), (0, 1, 2, 64, 70, 128, 129, 260, 64)))
+    got = R.lcs_matrix(queries, candidates)
+    for i, a in enumerate(queries):
+        for j, b in enumerate(candidates):
+            assert got[i, j] == pytest.approx(plain(a, b) / max(len(a), len(b)) if a or b else 1.0)
+    assert R.lcs_matrix([], candidates).shape == (0, 9) and R.lcs_matrix(queries, []).shape == (8, 0)

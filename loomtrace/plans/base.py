@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions.sequences import BLANKS, bracket_list, number_list, trace_signature
 from loomtrace.operators.unpack import accepted, typed_traces
 from loomtrace.plans.packing_sql import TRACES as JUDGED
+from loomtrace.session import shared_checkpoint
 from loomtrace.sources.tables import table
 
 TRIM = r"' ' || chr(9) || chr(13) || chr(10)"
@@ -83,7 +84,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A block's trace is its first row, by row_id, that can be loaded (see `typed_traces`) and has a label. Rows are reduced
     to one per block before and after one shuffle by block."""
-    usable = accepted(typed_traces(table(spark, sf_dir, "event_traces"))).select(
+    usable = accepted(typed_traces(on_all_cores(table(spark, sf_dir, "event_traces")))).select(
         "row_id",
         block_key(F.col("BlockId")).alias("block_id"),
         clean_label(F.col("Label")).alias("label"),
@@ -96,6 +97,18 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usable.where("block_id IS NOT NULL AND label IS NOT NULL").groupBy("block_id").agg(first.alias("t")).select("block_id", "t.*")
 
 
+def held_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`traces`, read once for queries that use them several times."""
+    return shared_checkpoint(traces(spark, sf_dir))
+
+
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """The rows of a scan that has fewer parts than the session has cores, spread over all cores; any other as it is, so
+    that nothing is shuffled where files are many or large."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def signed(df: DataFrame) -> DataFrame:
     return df.withColumn("sig", trace_signature(F.col("event_ids")))
 

@@ -9,7 +9,7 @@ from loomtrace.functions.sequences import template_text
 from loomtrace.operators import classify as C
 from loomtrace.operators import prompts as M
 from loomtrace.operators import splits as S
-from loomtrace.plans.base import TRACES_SQL, signed, templates, traces
+from loomtrace.plans.base import TRACES_SQL, held_traces, signed, templates
 from loomtrace.sources import files
 from loomtrace.sources.tables import table
 from loomtrace.streaming.blocks import session_traces
@@ -55,7 +55,7 @@ query("parse_llm_output_all")(lambda s, d: _parsed(_answers(s, d)))
 
 def _chats(s: SparkSession, d: str) -> DataFrame:
     """A prompt for each test sequence, with the two most frequent normal and anomalous training sequences."""
-    rows = S.hash_split(signed(traces(s, d)))
+    rows = S.hash_split(signed(held_traces(s, d)))
     text = lambda df: df.withColumn("text", template_text(F.col("event_ids"), templates(s, d)))
     train = rows.where("split = 'train'").groupBy("label", "sig").agg(F.count("*").alias("n"), F.any_value("event_ids").alias("event_ids"))
     best = None

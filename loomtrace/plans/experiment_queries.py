@@ -9,7 +9,7 @@ from loomtrace.operators import evaluation as E
 from loomtrace.operators import experiment as X
 from loomtrace.operators import prompts as M
 from loomtrace.operators.splits import hash_split
-from loomtrace.plans.base import TRACES_SQL, signed, templates, traces
+from loomtrace.plans.base import TRACES_SQL, held_traces, signed, templates
 from loomtrace.plans.retrieval_queries import _JACCARD, _LCS
 
 _SYSTEM = M.SYSTEM_PROMPT.replace("'", "''")
@@ -55,7 +55,7 @@ _SQL = (
 
 
 def _experiment(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return X.run_experiment(hash_split(signed(traces(s, d))), templates(s, d))
+    return X.run_experiment(hash_split(signed(held_traces(s, d))), templates(s, d))
 
 
 def rag_predictions(s: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def context_distribution(s: SparkSession, d: str) -> DataFrame:
 
 def prediction_identity(s: SparkSession, d: str) -> DataFrame:
     """Whether every run answers exactly the sampled test queries with their labels."""
-    rows = hash_split(signed(traces(s, d)))
+    rows = hash_split(signed(held_traces(s, d)))
     queries = X.queries_of(rows).where("split = 'test'")
     return X.identity_violations(X.run_experiment(rows, templates(s, d))[0], queries, "method", "kb", "setting")
 

@@ -11,7 +11,7 @@ from loomtrace.operators import quality as Q
 from loomtrace.operators import sets as K
 from loomtrace.operators import splits as S
 from loomtrace.operators import verify as V
-from loomtrace.plans.base import BLANKS, RAW_SQL, TRACES_SQL, TRIM, raw_rows, signed, templates, traces
+from loomtrace.plans.base import BLANKS, RAW_SQL, TRACES_SQL, TRIM, held_traces, raw_rows, signed, templates, traces
 from loomtrace.plans.packing_sql import events_sql
 from loomtrace.session import shared_checkpoint
 from loomtrace.sources.tables import table
@@ -40,15 +40,15 @@ def query(name: str, sql: str | None = None):
 
 
 def _split(s: SparkSession, d: str) -> DataFrame:
-    return S.hash_split(signed(traces(s, d)))
+    return S.hash_split(signed(held_traces(s, d)))
 
 
 query("stratified_split", T + """, ranked AS (SELECT block_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || block_id), block_id) - 1 AS at_, count(*) OVER (PARTITION BY label) AS total FROM traces)
  SELECT block_id, label, CASE WHEN at_ < floor(total * 0.15::DOUBLE) THEN 'validation' WHEN at_ < floor(total * 0.15::DOUBLE) + floor(total * 0.15::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM ranked""")(
-    lambda s, d: S.stratified_split(traces(s, d)).select("block_id", "label", "split")
+    lambda s, d: S.stratified_split(held_traces(s, d)).select("block_id", "label", "split")
 )
 query("hash_group_split", T + " SELECT block_id, label, sig, split FROM splits")(lambda s, d: _split(s, d).select("block_id", "label", "sig", "split"))
-query("group_split_greedy")(lambda s, d: S.greedy_split(signed(traces(s, d))).select("block_id", "label", "sig", "split"))
+query("group_split_greedy")(lambda s, d: S.greedy_split(signed(held_traces(s, d))).select("block_id", "label", "sig", "split"))
 query("split_violations", T + """ SELECT 'repeated_blocks' AS "check", (count(*) - count(DISTINCT block_id))::BIGINT AS violations FROM splits
  UNION ALL SELECT 'unassigned_rows', count(*) FILTER (split IS NULL) FROM splits
  UNION ALL SELECT 'splits_without_both_labels', count(*) FROM (SELECT split FROM splits GROUP BY split HAVING count(DISTINCT label) < 2)
@@ -61,18 +61,18 @@ query("pairwise_overlap", T + """, strat AS (SELECT sig, CASE WHEN at_ < floor(t
    (SELECT sig, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || block_id), block_id) - 1 AS at_, count(*) OVER (PARTITION BY label) AS total FROM signed)),
  held AS (SELECT sig, list_distinct(list(split)) AS s FROM strat GROUP BY sig)
  SELECT a, b, count(*) FILTER (list_contains(s, a) AND list_contains(s, b)) AS shared FROM held, (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) p(a, b) GROUP BY a, b""")(
-    lambda s, d: S.pairwise_overlap(S.stratified_split(signed(traces(s, d))))
+    lambda s, d: S.pairwise_overlap(S.stratified_split(signed(held_traces(s, d))))
 )
 _STRAT = T + """, strat AS (SELECT *, CASE WHEN at_ < floor(total * 0.15::DOUBLE) THEN 'validation' WHEN at_ < 2 * floor(total * 0.15::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM
    (SELECT block_id, sig, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || block_id), block_id) - 1 AS at_, count(*) OVER (PARTITION BY label) AS total FROM signed)),
  facts AS (SELECT sig, bool_or(split = 'train') AS seen_in_train, bool_or(split = 'train' AND label = 'Normal') AS exact_match_in_normal_kb, count(DISTINCT label) > 1 AS conflicting_trace FROM strat GROUP BY sig),
  flagged AS (SELECT block_id, sig, label, split, seen_in_train, exact_match_in_normal_kb, conflicting_trace FROM strat JOIN facts USING (sig) WHERE split <> 'train')"""
 query("evaluation_annotations", _STRAT + " SELECT * FROM flagged")(
-    lambda s, d: S.seen_flags(S.stratified_split(signed(traces(s, d)))).select("block_id", "sig", "label", "split", "seen_in_train", "exact_match_in_normal_kb", "conflicting_trace")
+    lambda s, d: S.seen_flags(S.stratified_split(signed(held_traces(s, d)))).select("block_id", "sig", "label", "split", "seen_in_train", "exact_match_in_normal_kb", "conflicting_trace")
 )
 query("seen_unseen_by_label", _STRAT + """ SELECT split, label, count(*) AS blocks, count(*) FILTER (seen_in_train) AS seen, count(*) FILTER (exact_match_in_normal_kb) AS exact,
  round(count(*) FILTER (seen_in_train) / count(*), 9) AS seen_rate, round(count(*) FILTER (exact_match_in_normal_kb) / count(*), 9) AS exact_rate FROM flagged GROUP BY split, label""")(
-    lambda s, d: S.seen_report(S.stratified_split(signed(traces(s, d)))).withColumns({c: F.round(c, 9) for c in ("seen_rate", "exact_rate")})
+    lambda s, d: S.seen_report(S.stratified_split(signed(held_traces(s, d)))).withColumns({c: F.round(c, 9) for c in ("seen_rate", "exact_rate")})
 )
 query("normal_kb", T + """, kb AS (SELECT sig AS trace_id, count(*) AS occurrence_count, min(block_id) AS representative_block_id, any_value(event_ids) AS event_ids FROM splits WHERE split = 'train' AND label = 'Normal' GROUP BY sig),
  flat AS (SELECT trace_id, unnest(event_ids) AS e, generate_subscripts(event_ids, 1) AS i FROM kb),
@@ -154,12 +154,16 @@ query("quality_counters", "WITH " + RAW_SQL + ", " + _LABELS_SQL + f""",
  UNION ALL SELECT 'traces_without_labels', count(DISTINCT block_id) FROM raw WHERE block_id IS NOT NULL AND block_id NOT IN (SELECT block_id FROM labels)""")(
     lambda s, d: Q.trace_counters(raw_rows(s, d), _labels(s, d), _EVENTS)
 )
+def _matrix_counters(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return Q.matrix_counters(P.occurrence_matrix(rows, _EVENTS), labels, rows, _EVENTS)
+
+
 _ZERO = "('matrix_events_without_template', 0), ('templates_without_matrix_column', 0), ('unknown_matrix_labels', 0), ('invalid_matrix_cells', 0), ('trace_matrix_count_disagreement', 0), ('matrix_without_trace', 0)"
 query("matrix_quality_counters", T + ", " + _LABELS_SQL + f""" SELECT * FROM (VALUES {_ZERO}) v("check", violations)
  UNION ALL SELECT 'matrix_label_disagreement', count(*) FILTER (label IS DISTINCT FROM truth) FROM traces LEFT JOIN labels USING (block_id)
  UNION ALL SELECT 'labels_without_matrix', count(*) FROM labels WHERE block_id NOT IN (SELECT block_id FROM traces)
  UNION ALL SELECT 'matrix_without_labels', count(*) FROM traces WHERE block_id NOT IN (SELECT block_id FROM labels)""")(
-    lambda s, d: Q.matrix_counters(P.occurrence_matrix(traces(s, d), _EVENTS), _labels(s, d), traces(s, d), _EVENTS).withColumn("violations", F.col("violations").cast("int"))
+    lambda s, d: _matrix_counters(held_traces(s, d), _labels(s, d)).withColumn("violations", F.col("violations").cast("int"))
 )
 
 
@@ -168,7 +172,7 @@ query("matrix_quality_counters", T + ", " + _LABELS_SQL + f""" SELECT * FROM (VA
  ('prepared_without_trace', 0), ('representatives_outside_normal_train', 0), ('seen_flag_differs', 0), ('signature_differs', 0), ('signatures_across_splits', 0), ('splits_without_both_labels', 0), ('template_text_differs', 0), ('traces_not_prepared', 0)) v("check", violations)""")
 def verifier_checks(s: SparkSession, d: str) -> DataFrame:
     """All checks of tables prepared from the traces."""
-    source = shared_checkpoint(traces(s, d))
+    source = held_traces(s, d)
     conflicts = P.sequence_groups(source).select("event_ids", F.col("conflicting").alias("conflicting_trace"))
     prepared = shared_checkpoint(S.with_template_text(signed(source), templates(s, d)).join(conflicts, "event_ids").withColumnRenamed("sig", "trace_signature"))
     manifest = shared_checkpoint(S.hash_split(signed(source)).select("block_id", F.col("sig").alias("trace_signature"), "label", "split"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.sequences import GRAM_SEPARATOR, gram_bucket, knowledge_id, ngrams, rendered_trace, run_lengths, template_text
 from loomtrace.operators import profile as P
-from loomtrace.plans.base import RAW_SQL, TRACES_SQL, raw_rows, signed, templates, traces
+from loomtrace.plans.base import RAW_SQL, TRACES_SQL, held_traces, raw_rows, signed, templates, traces
 from loomtrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -74,7 +74,7 @@ _PAIRS = T + """,
  sizes AS (SELECT label, count(*) AS size FROM traces GROUP BY label),
  counted AS (SELECT label, p.a AS source, p.b AS target, count(*) AS n, count(DISTINCT block_id) AS blocks FROM flat GROUP BY ALL)
  SELECT label, source, target, n, round(n / sum(n) OVER (PARTITION BY label), 9) AS share, blocks, round(blocks / size, 9) AS prevalence FROM counted JOIN sizes USING (label)"""
-query("transitions", _PAIRS)(lambda s, d: P.transitions(traces(s, d)).withColumns({c: F.round(c, 9) for c in ("share", "prevalence")}))
+query("transitions", _PAIRS)(lambda s, d: P.transitions(held_traces(s, d)).withColumns({c: F.round(c, 9) for c in ("share", "prevalence")}))
 _STATS = T + """,
  flat AS (SELECT block_id, label, unnest(event_ids) AS event_id FROM traces),
  stats AS (SELECT event_id, count(DISTINCT block_id) FILTER (label = 'Normal') AS blocks_normal, count(DISTINCT block_id) FILTER (label = 'Anomaly') AS blocks_anomaly,
@@ -85,7 +85,7 @@ _STATS = T + """,
 
 
 def _event_statistics(s, d):
-    return P.event_statistics(traces(s, d)).withColumns({c: F.round(c, 9) for c in ("prevalence_normal", "prevalence_anomaly", "prevalence_difference")})
+    return P.event_statistics(held_traces(s, d)).withColumns({c: F.round(c, 9) for c in ("prevalence_normal", "prevalence_anomaly", "prevalence_difference")})
 
 
 query("event_statistics", _STATS)(_event_statistics)
@@ -102,7 +102,7 @@ _DESCRIBE = " SELECT label, '{0}' AS measure, count({0}) AS n, round(avg({0}), 6
 
 
 def _describe(s, d, value):
-    made = P.describe(P.trace_features(traces(s, d)), value, "label").withColumn("measure", F.lit(value))
+    made = P.describe(P.trace_features(held_traces(s, d)), value, "label").withColumn("measure", F.lit(value))
     return made.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p50", "p90", "p95", "p99")})
 
 
@@ -140,13 +140,13 @@ query("canonical_sequences", T + """, each AS (SELECT event_ids, label, count(*)
  both_ AS (SELECT event_ids, count(DISTINCT label) > 1 AS conflicting_sequence FROM traces GROUP BY 1)
  SELECT array_to_string(event_ids, ' ') AS pattern, label, occurrence_count, representative_block_id, conflicting_sequence,
    lower(label) || '_' || substr(sha1('[' || list_aggregate(list_transform(event_ids, lambda x: '"' || x || '"'), 'string_agg', ', ') || ']'), 1, 16) AS trace_id FROM each JOIN both_ USING (event_ids)""")(
-    lambda s, d: P.canonical_traces(traces(s, d)).withColumn("pattern", F.array_join("event_ids", " ")).drop("event_ids")
+    lambda s, d: P.canonical_traces(held_traces(s, d)).withColumn("pattern", F.array_join("event_ids", " ")).drop("event_ids")
 )
 query("duplicate_summary", _GROUPS + """ SELECT sum(blocks)::BIGINT AS blocks, count(*) AS sequences, count(*) FILTER (blocks > 1) AS repeated_sequences, coalesce(sum(blocks) FILTER (blocks > 1), 0)::BIGINT AS blocks_in_repeated,
  (sum(blocks) - count(*))::BIGINT AS blocks_beyond_first, count(*) FILTER (normal > 0 AND anomaly > 0) AS conflicting_sequences, coalesce(sum(blocks) FILTER (normal > 0 AND anomaly > 0), 0)::BIGINT AS conflicting_blocks,
  coalesce(sum(least(normal, anomaly)), 0)::BIGINT AS least_errors FROM grouped""")(lambda s, d: P.duplicate_summary(traces(s, d)))
 query("ambiguous_blocks", _GROUPS + """ SELECT t.block_id, t.label, sha256(to_json(t.event_ids)::VARCHAR) AS trace_signature, len(t.event_ids)::INT AS length FROM traces t JOIN grouped g USING (event_ids) WHERE normal > 0 AND anomaly > 0""")(
-    lambda s, d: P.ambiguous_blocks(traces(s, d))
+    lambda s, d: P.ambiguous_blocks(held_traces(s, d))
 )
 query("trace_examples", T + """, ranked AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY block_id)::INT AS rank, block_id, array_to_string(event_ids, ' ') AS events FROM traces)
  SELECT * FROM ranked WHERE rank <= 2""")(lambda s, d: P.examples(traces(s, d)))

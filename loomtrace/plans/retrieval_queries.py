@@ -10,7 +10,7 @@ from loomtrace.functions.vectors import cosine, unit
 from loomtrace.operators import evaluation as E
 from loomtrace.operators import retrieval as R
 from loomtrace.operators.splits import stratified_split
-from loomtrace.plans.base import RAW_SQL, TRACES_SQL, raw_rows, traces
+from loomtrace.plans.base import RAW_SQL, TRACES_SQL, held_traces, raw_rows
 from loomtrace.plans.preparation_queries import _LABELS_SQL, _labels
 from loomtrace.sources.tables import table
 
@@ -86,7 +86,7 @@ query("knn_k_selection", _VOTES + f", c AS (SELECT k, {_COUNTS} FROM said GROUP
 
 def _structure(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Queries (blocks whose row id is divisible by 100) and all distinct sequences, by smallest block."""
-    rows = traces(s, d)
+    rows = held_traces(s, d)
     base = rows.groupBy("event_ids").agg(F.min("block_id").alias("base_id"))
     return rows.where(F.col("row_id") % 100 == 0).select("block_id", "event_ids"), base
 
@@ -218,7 +218,7 @@ query("vector_overlap_audit", _TOP + """, k AS (SELECT list_transform(e, lambda
 
 def _audit(s: SparkSession, d: str) -> DataFrame:
     """Held-out blocks of the stratified split (row ids divisible by 100) against all training sequences with their labels."""
-    rows = stratified_split(traces(s, d))
+    rows = stratified_split(held_traces(s, d))
     base = rows.where("split = 'train'").groupBy("event_ids", "label").agg(F.min("block_id").alias("base_id"))
     asked = rows.where("split <> 'train' AND row_id % 100 = 0").select("block_id", "label", "event_ids")
     return R.overlap_audit(R.gram_cells(asked, "event_ids"), R.gram_cells(base, "event_ids"))

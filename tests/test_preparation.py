@@ -105,14 +105,17 @@ def test_quality_counters_find_injected_faults(spark):
     clean = [("a", "Normal", ["E1", "E2"], [1.0], 1.0), ("b", "Anomaly", ["E1"], [], 0.0)]
     labels = spark.createDataFrame([("a", "Normal"), ("b", "Anomaly")], "block_id string, truth string")
     none = Q.trace_counters(spark.createDataFrame(clean, schema), labels, ["E1", "E2"])
-    assert none.count() == 14 and Q.failed(none) == []
+    assert none.count() == 15 and Q.failed(none) == []
     Q.require(none)
     bad = [(None, "Normal", ["E1"], [], 0.0), ("a", None, None, None, None), ("a", "Anomaly", [], [], -1.0), ("c", "Normal", ["E9", "E1"], [float("nan"), None], 5.0)]
     found = {r["check"]: r["violations"] for r in Q.trace_counters(spark.createDataFrame(clean + bad, schema), labels, ["E1", "E2"]).collect()}
     assert found == {
         "missing_trace_block_ids": 1, "unknown_trace_labels": 1, "trace_label_disagreement": 2, "malformed_features": 1, "empty_traces": 1, "unknown_event_tokens": 1, "interval_length_disagreement": 1,
         "invalid_intervals": 2, "malformed_time_fields": 1, "invalid_latency": 1, "latency_vs_interval_sum_disagreement": 0, "duplicate_trace_block_ids": 2, "labels_without_trace": 0, "traces_without_labels": 1,
+        "unknown_ground_truth_labels": 0,
     }
+    unlabelled = labels.unionByName(spark.createDataFrame([("c", None)], labels.schema))
+    assert Q.failed(Q.trace_counters(spark.createDataFrame([*clean, ("c", "Normal", ["E1"], [], 0.0)], schema), unlabelled, ["E1", "E2"])) == ["unknown_ground_truth_labels"]
     with pytest.raises(ValueError):
         Q.require(Q.trace_counters(spark.createDataFrame(clean + bad, schema), labels, ["E1", "E2"]))
 

@@ -8,18 +8,21 @@ factor, found from histograms of hash over probability, makes the source's token
 documents.
 
 The driver gets sums of cells only: sources are those of the weights table, languages are tags of two or three letters,
-topics number ``TOPICS``, histograms have ``BUCKETS`` places a source. No rows are dropped or gathered; every document is
-weighed.
+topics number ``TOPICS``, histograms have ``BUCKETS`` places a source; and of the topics' model, ``SEEDS`` documents' bags at
+once and ``TOPICS`` sums of ``PLACES`` places. No rows are dropped or gathered; every document is weighed.
 
 Topics come from a model that is trained here: spherical k-means over hashed bags of tokens, weighted by their inverse
-document frequency, of at most ``SAMPLE`` documents chosen by a hash of their key. Every document is then assigned in
-the pass that counts its tokens.
+document frequency, of all documents. A text is encoded once; its bag is kept beside its number of tokens, and every
+pass reads all bags: one counts in how many documents a place occurs, some draw first centres by distance from those
+there are, and each round sums the directions of all documents by nearest centre. Directions and centres are whole
+numbers whose sums are exact, so that the model is the same however the rows are spread.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -28,13 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.llm.encode import VOCABULARY, encoder_of
-from loomtrace.llm.neighbours import means
 from loomtrace.llm.truncation import source_key
 from loomtrace.session import shared_checkpoint
 
 BUCKETS, ROUNDS = 4096, 200
-#: Topics, places of a bag of tokens, documents that the topics are fitted on, documents that are assigned at once.
-TOPICS, PLACES, SAMPLE, AT_ONCE = 16, 1024, 5000, 2048
+#: Topics, places of a bag of tokens (a power of two), first centres drawn in one pass, documents in one matrix product.
+TOPICS, PLACES, SEEDS, AT_ONCE = 16, 1024, 4, 256
+#: The length of directions and centres, the parts of one in which a bag holds damped counts, the share by which a round of k-means has to come nearer to go on.
+UNIT, PARTS, NEARER = 2**20, 2**17, 1e-3
 OTHER = "(other)"
 # Three-letter names of languages and the two-letter ones.
 LONG_NAMES = {"eng": "en", "vie": "vi", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "zho": "zh", "chi": "zh", "jpn": "ja"}
@@ -54,47 +58,162 @@ def language_key(lang: Column) -> Column:
     return F.when(F.coalesce(first, F.lit("")) == "", OTHER).otherwise(F.coalesce(F.element_at(known, first), first))
 
 
-def bags(ids: Sequence[Sequence[int]]) -> np.ndarray:
-    """Bags of token ids, hashed to `PLACES`, with damped counts."""
+def bags(ids: Sequence[Sequence[int]]) -> list[bytes]:
+    """Bags of token ids, hashed to `PLACES`: four bytes for each place that occurs, with its damped count and number."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for own in ids for x in own), np.int64, int(sizes.sum()))
-    at = np.repeat(np.arange(len(ids)), sizes) * PLACES + flat * 2_654_435_761 % 2**32 % PLACES
-    return np.log1p(np.bincount(at, minlength=len(ids) * PLACES).reshape(len(ids), PLACES)).astype(np.float32)
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+    counts = np.bincount(np.repeat(np.arange(len(ids)), sizes) * PLACES + flat * 2_654_435_761 % 2**32 % PLACES, minlength=len(ids) * PLACES)
+    at = np.flatnonzero(counts)
+    packed = (np.rint(np.log1p(counts[at]) * PARTS).astype(np.int64) * PLACES + at % PLACES).astype("<u4").tobytes()
+    ends = 4 * np.searchsorted(at, np.arange(len(ids) + 1) * PLACES)
+    return [packed[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+class Directions(NamedTuple):
+    """The directions of documents, with whole numbers for components: each component's document, place and value, and
+    the same as a matrix."""
+
+    row: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    matrix: np.ndarray
+
+
+def directions(bags: Sequence[bytes], rarity: np.ndarray) -> Directions:
+    """Bags as directions of length `UNIT`, places weighted by ``rarity``; an empty bag is all zeros."""
+    packed = np.frombuffer(b"".join(bags), "<u4")
+    row = np.repeat(np.arange(len(bags)), np.fromiter(map(len, bags), np.int64, len(bags)) // 4)
+    place = (packed % PLACES).astype(np.int64)
+    weight = (packed // PLACES) / PARTS * rarity[place]
+    value = np.rint(weight * (UNIT / np.maximum(np.sqrt(np.bincount(row, weight * weight, len(bags))), 1e-12))[row])
+    matrix = np.zeros((len(bags), PLACES))
+    matrix[row, place] = value
+    return Directions(row, place, value, matrix)
+
+
+def _slices(column: pa.Array) -> Iterator[list]:
+    return (column.slice(at, AT_ONCE).to_pylist() for at in range(0, len(column), AT_ONCE))
+
+
+def _summed(bagged: DataFrame, size: int, add: Callable[[list[bytes], np.ndarray], None]) -> np.ndarray:
+    """``size`` whole numbers that ``add`` sums over all bags, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for batch in batches:
+            for own in _slices(batch.column(0)):
+                add(own, sums)
+        held = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(sums[held])], names=["at", "n"])
+
+    sums = np.zeros(size, np.int64)
+    found = bagged.select("_bag").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # size rows at most
+    sums[found["at"].to_numpy()] = found["n"].to_numpy()
+    return sums
+
+
+def _rarity(bagged: DataFrame) -> np.ndarray:
+    """The inverse document frequency of every place, over all documents."""
+
+    def add(bags: list[bytes], sums: np.ndarray) -> None:
+        sums[:PLACES] += np.bincount(np.frombuffer(b"".join(bags), "<u4") % PLACES, minlength=PLACES)
+        sums[PLACES] += len(bags)
+
+    sums = _summed(bagged, PLACES + 1, add)
+    return np.log((1 + sums[PLACES]) / (1 + sums[:PLACES])) + 1
+
+
+def _first_centres(bagged: DataFrame, rarity: np.ndarray) -> np.ndarray:
+    """Up to `TOPICS` documents' directions. All documents take part in each draw, with a chance in proportion to their
+    distance from the nearest centre there is (k-means++, `SEEDS` at a time); documents that equal one are not drawn."""
+    centres = np.zeros((0, PLACES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.concatenate([_far(directions(own, rarity).matrix, centres) for own in _slices(batch.column(2))] or [np.zeros(0)])
+            chance = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(11)).astype(float)
+            race = np.divide(-np.log((chance + 0.5) / 2**53), far, out=np.full(len(far), np.inf), where=far > 0)
+            best = np.argsort(race, kind="stable")[:SEEDS]
+            best = pa.array(best[np.isfinite(race[best])])
+            yield pa.RecordBatch.from_arrays([pa.array(race).take(best), batch.column(0).take(best), batch.column(2).take(best)], names=["race", "_draw", "_bag"])
+
+    for turn in range(TOPICS):  # every turn adds one at least
+        raced = bagged.select("_draw", F.xxhash64("_draw", F.lit(turn)).alias("chance"), "_bag").mapInArrow(run, "race double, _draw long, _bag binary")
+        first = [bytes(r["_bag"]) for r in raced.orderBy("race", "_draw", "_bag").limit(SEEDS).collect()]
+        for own in directions(first, rarity).matrix:
+            if len(centres) < TOPICS and _far(own[None], centres)[0] > 0:
+                centres = np.concatenate([centres, own[None]])
+        if not first or len(centres) == TOPICS:
+            break
+    return centres
+
+
+def _far(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """One less the cosine of the nearest centre, 0 up to the rounding of directions."""
+    if not len(centres):
+        return np.ones(len(matrix))
+    far = 1 - (matrix @ centres.T).max(1) / UNIT**2
+    return np.where(far > 1e-4, far, 0.0)
+
+
+def fit_topics(bagged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The places' rarity and up to `TOPICS` centres of all documents; of none, one centre of zeros.
+
+    ``bagged`` has ``_bag`` and ``_draw``, a number for each document by which first centres are drawn."""
+    rarity = _rarity(bagged)
+    centres = _first_centres(bagged, rarity)
+    if not len(centres):
+        return rarity, np.zeros((1, PLACES))
+
+    def add(bags: list[bytes], sums: np.ndarray) -> None:
+        own = directions(bags, rarity)
+        cosines = own.matrix @ centres.T
+        nearest = cosines.argmax(1)
+        sums[:-1] += np.bincount(nearest[own.row] * PLACES + own.place, own.value, centres.size).astype(np.int64)
+        sums[-1] += int((cosines.max(1) // UNIT).sum())
+
+    near = 0
+    while True:
+        *sums, now = _summed(bagged, centres.size + 1, add).tolist()
+        means = np.array(sums, float).reshape(centres.shape)
+        norm = np.linalg.norm(means, axis=1, keepdims=True)
+        centres = np.where(norm > 0, np.rint(means / np.maximum(norm, 1e-12) * UNIT), centres)
+        if now <= near * (1 + NEARER):
+            return rarity, centres
+        near = now
 
 
 def sized_documents(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), path: str = VOCABULARY) -> DataFrame:
     """``key``, the columns of ``keep``, ``n_tokens`` BIGINT and ``topic`` STRING of every document.
 
     Null, empty and blank texts have the topic ``(other)``, null and empty ones no token. The topics of a table depend
-    on its rows alone. Repeated keys stay repeated; an empty table gives no row."""
-    rows = df.count()
-    each = max(1, rows // SAMPLE)
-    taken = df.where((F.pmod(F.xxhash64(key), F.lit(each)) == 0) & (F.length(F.trim(text)) > 0)).select(key, text).toArrow()
-    encoder = encoder_of(path)
-    texts = [t for _, t in sorted(zip(taken[key].to_pylist(), taken[text].to_pylist()), key=lambda x: (str(x[0]), x[1]))][: 2 * SAMPLE]
-    drawn = bags([encoder(t) for t in texts])
-    rarity = (np.log((1 + len(drawn)) / (1 + (drawn > 0).sum(0))) + 1).astype(np.float32)
-
-    def directions(bag: np.ndarray) -> np.ndarray:
-        weighted = bag * rarity
-        return weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
-
-    topics = means(directions(drawn), TOPICS) if len(drawn) else np.zeros((1, PLACES), np.float32)
+    on its rows alone, and on all of them. Repeated keys stay repeated; an empty table gives no row."""
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
     n = 1 + len(keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder_of(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                batch = whole.slice(at, AT_ONCE)
-                texts = batch.column(n).to_pylist()
-                ids = [own(t) for t in texts]
-                nearest = (directions(bags(ids)) @ topics.T).argmax(1)
-                names = [f"topic {i + 1}" if t and t.strip() else OTHER for i, t in zip(nearest.tolist(), texts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([len(x) for x in ids], pa.int64()), pa.array(names, pa.string())], names=[*batch.schema.names[:n], "n_tokens", "topic"])
-
-    return df.select(key, *keep, text).mapInArrow(run, f"{fields}, n_tokens long, topic string")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for batch in batches:
+            sizes, held = [], []
+            for texts in _slices(batch.column(n + 1)):
+                ids = [encoder(t) for t in texts]
+                sizes += map(len, ids)
+                held += bags([x if t and t.strip() else () for x, t in zip(ids, texts)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=[*batch.schema.names[: n + 1], "n_tokens", "_bag"])
+
+    drawn = df.select(key, *keep, F.xxhash64(key, text).alias("_draw"), text)
+    bagged = shared_checkpoint(drawn.mapInArrow(count, f"{fields}, _draw long, n_tokens long, _bag binary"))
+    rarity, topics = fit_topics(bagged.where(F.length("_bag") > 0))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = []
+            for held in _slices(batch.column(n + 1)):
+                nearest = (directions(held, rarity).matrix @ topics.T).argmax(1)
+                names += [f"topic {i + 1}" if x else OTHER for i, x in zip(nearest.tolist(), held)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(names, pa.string())], names=[*batch.schema.names[: n + 1], "topic"])
+
+    return bagged.select(key, *keep, "n_tokens", "_bag").mapInArrow(assign, f"{fields}, n_tokens long, topic string")
 
 
 def rake(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], caps: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:

@@ -155,6 +155,17 @@ def test_topics_part_unlike_texts(spark):
     assert X.sized_documents(df.limit(0), "id", "body").count() == 0
 
 
+def test_topics_come_from_every_document(spark):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)) for _ in range(12)]
+    rows = [(i, texts[i % 4]) for i in range(12_000)] + [(20_000 + i, t) for i, t in enumerate(texts[4:])]
+    df = spark.createDataFrame(rows, "id long, body string")
+    sized = X.sized_documents(df, "id", "body")
+    topics = sized.join(df, "id").groupBy("body").agg(F.collect_set("topic").alias("own")).collect()
+    assert len(topics) == 12 and all(len(r["own"]) == 1 for r in topics) and len({r["own"][0] for r in topics}) == 12
+    assert sized.exceptAll(X.sized_documents(df.repartition(7), "id", "body")).count() == 0
+
+
 def test_mix_query(spark):
     report = {r["source"]: r for r in QUERIES["p8_report"](spark, DATA).collect()}
     assert len(report) == 8 and QUERIES["p8_mix"](spark, DATA).count() == sum(r["n_docs"] for r in report.values())

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtrace.functions.packed import LAST_EVENT
+
 GRAM_SEPARATOR = "\u001f"
 BLANKS = " \t\r\n"
 
@@ -123,6 +125,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def event_bits(events: Column) -> Column:
+    """The distinct events of a sequence as bits of a BIGINT; an id other than E1 to the last event's is an error."""
+    number = lambda e: F.when(e.startswith("E"), F.substr(e, F.lit(2)).try_cast("int"))
+    bit = lambda e: F.when(number(e).between(1, LAST_EVENT), F.call_function("shiftleft", F.lit(1).cast("long"), number(e))).otherwise(F.raise_error(F.concat(F.lit("no event id: "), F.coalesce(e, F.lit("null")))).cast("long"))
+    return F.aggregate(events, F.lit(0).cast("long"), lambda bits, e: bits.bitwiseOR(bit(e)))
+
+
+def jaccard_bits(a: Column, b: Column, decimals: int) -> Column:
+    """The `jaccard` of two `event_bits`, rounded: looked up by the numbers of common and of all events, since rounding
+    costs far more than counting bits."""
+    shares = F.array(F.lit(1.0), *(F.round(F.lit(common) / F.lit(every), decimals) for every in range(1, LAST_EVENT + 1) for common in range(every + 1)))
+    common, every = F.bit_count(a.bitwiseAND(b)), F.bit_count(a.bitwiseOR(b))
+    return F.get(shares, F.call_function("shiftright", every * (every + 1), F.lit(1)) + common)
+
+
 def lcs_share(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence over the longer length; 1 for two empty sequences, 0 for one.
 

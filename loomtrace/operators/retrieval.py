@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.functions.sequences import gram_bucket, ngrams
+from loomtrace.functions.sequences import event_bits, gram_bucket, jaccard_bits, ngrams
 from loomtrace.functions.vectors import unit, vector_key
 from loomtrace.session import shared_checkpoint
 
@@ -23,6 +23,8 @@ from loomtrace.session import shared_checkpoint
 MOST_QUERIES, SCORES = 20_000, 4_000_000
 #: Scores are ranked after rounding, so that equal scores tie whatever the order of summation.
 DECIMALS = 9
+#: Queries that stand in one row while all pairs are made.
+PAIRED = 1_000
 
 
 def lcs_matrix(queries: Sequence[Sequence], candidates: Sequence[Sequence]) -> np.ndarray:
@@ -136,6 +138,26 @@ def block_top(queries: DataFrame, base: DataFrame, k: int, score: Callable[[pd.D
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def jaccard_pairs(queries: DataFrame, base: DataFrame, events: str, query_id: str, base_id: str, decimals: int = 6) -> DataFrame:
+    """``query_id``, ``base_id``, ``score``: the Jaccard share of distinct events of every query with every row of
+    ``base``, rounded. All in column expressions.
+
+    Sequences become bits before they are paired. Queries stand about ``PAIRED`` to a row, ordered by their events; every
+    such row meets every part of the base and is opened there. Nothing is broadcast or sent to the driver, and a result
+    holds few distinct queries close together, which keeps written columns small."""
+    if PAIRED < 1:
+        raise ValueError("a row holds at least one query")
+    spark = base.sparkSession
+    rows = max(1, -(-queries.count() // PAIRED))
+    asked = queries.select(event_bits(F.col(events)).alias("_asked"), query_id)
+    held = asked.groupBy(F.pmod(F.hash(query_id), F.lit(rows))).agg(F.array_sort(F.collect_list(F.struct("_asked", query_id))).alias("_held")).select("_held")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = base.select(base_id, event_bits(F.col(events)).alias("_bits")).repartition(parts, base_id)
+    # by the hint neither side is broadcast, as a broadcast base would leave all pairs to the few tasks of the queries
+    pairs = held.hint("shuffle_replicate_nl").crossJoin(spread).select(base_id, "_bits", F.inline("_held"))
+    return pairs.select(query_id, base_id, jaccard_bits(F.col("_asked"), F.col("_bits"), decimals).alias("score"))
+
+
 def cosine_block(query_vector: str, base_vector: str) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
     def score(asked: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
         return np.clip(unit_rows(np.stack(asked[query_vector])) @ unit_rows(np.stack(block[base_vector])).T, -1, 1)

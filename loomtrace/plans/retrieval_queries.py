@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.functions.sequences import jaccard
 from loomtrace.functions.vectors import cosine, unit
 from loomtrace.operators import evaluation as E
 from loomtrace.operators import retrieval as R
@@ -109,9 +108,8 @@ query("lcs_topk", _BASE + f" scored AS (SELECT block_id, base_id, round({_LCS},
 
 @query("jaccard_columns", _BASE + f" scored AS (SELECT block_id, base_id, round({_JACCARD}, 6) AS score FROM q, base) SELECT * FROM scored")
 def jaccard_columns(s: SparkSession, d: str) -> DataFrame:
-    """The Jaccard scores in column expressions, a stated query set against all rows, broadcast if its size allows."""
-    queries, base = _structure(s, d)
-    return base.withColumnRenamed("event_ids", "b").crossJoin(queries.withColumnRenamed("event_ids", "a")).select("block_id", "base_id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("score"))
+    """The Jaccard scores in column expressions, a stated query set against all rows."""
+    return R.jaccard_pairs(*_structure(s, d), "event_ids", "block_id", "base_id")
 
 
 _GRAMS = """ grams AS (SELECT id, unnest(CASE WHEN len(e) < 2 THEN e ELSE list_concat(list_transform(range(1, len(e)), lambda i: e[i] || chr(31) || e[i + 1]),
